@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import quality_rules, secret_scan, sentencepiece_codec, token_counts, url_filter
+from logtide.llm import license_scan, quality_rules, secret_scan, sentencepiece_codec, token_counts, url_filter, warc
 from logtide.llm.common import load
 
 
@@ -24,6 +24,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(load(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"))
 
@@ -33,6 +41,8 @@ QUERIES = {
     "op2_sentencepiece_codec": op2_sentencepiece_codec,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
+    "op5_warc": op5_warc,
+    "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
 }
 
@@ -94,7 +104,18 @@ FROM d LEFT JOIN found USING (row_id)
 """
 
 
+_OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM m
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": _OP5_SQL,
     "op3_secret_scan": _op3_sql(),
     "op9_url_filter": _OP9_SQL,
 }
