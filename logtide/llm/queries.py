@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import license_scan, quality_rules, secret_scan, sentencepiece_codec, token_counts, url_filter, warc
+from logtide.llm import decontaminate, license_scan, quality_rules, secret_scan, sentencepiece_codec, token_counts, url_filter, warc
 from logtide.llm.common import load
 
 
@@ -28,6 +28,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(load(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op5_warc": op5_warc,
+    "op6_decontaminate": op6_decontaminate,
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
 }
