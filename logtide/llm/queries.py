@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import decontaminate, license_scan, quality_rules, secret_scan, sentencepiece_codec, token_counts, url_filter, warc
+from logtide.llm import decontaminate, license_scan, ngram_join, quality_rules, secret_scan, sentencepiece_codec, token_counts, url_filter, warc
 from logtide.llm.common import load
 
 
@@ -40,6 +40,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece_codec": op2_sentencepiece_codec,
@@ -49,6 +53,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _OP9_SQL = r"""
