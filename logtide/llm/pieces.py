@@ -42,11 +42,13 @@ class Vocabulary:
     pieces: list[bytes] = field(default_factory=list)
     longest: int = 1
     crossing: list[str] | None = None
+    crosses: re.Pattern | None = None
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
         crossing = [p for p in self.ids if CHUNKS.findall(p) != [p]]
         self.crossing = crossing if len(crossing) <= MANY_CROSSING else None
+        self.crosses = re.compile("|".join(map(re.escape, crossing)) or r"(?!)") if self.crossing is not None else None
         self.blank_first = all(BLANK not in p.lstrip(BLANK) for p in self.ids)
         self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
 
@@ -153,15 +155,15 @@ class StreamingViterbi:
 
     def reset(self) -> None:
         self.text = ""  # not yet committed
-        self.done = 0  # positions of it that have been worked out
-        self.left = ""  # the piece before it
-        self.back: list[int] = [0]  # by position, the start of its last piece
+        #: By position, the piece that ends there on the best path; at 0, the last committed one.
+        self.last: list[str] = [""]
         self.score: list[float] = [0.0]
         self.widest = 0
 
     def push(self, more: str) -> list[int]:
+        done = len(self.text)
         self.text += more
-        self._advance()
+        (self._pairs if self.m else self._scores)(done)
         return self._commit(False)
 
     def finish(self) -> list[int]:
@@ -170,49 +172,53 @@ class StreamingViterbi:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.push(text) + self.finish()
-
-    def _advance(self) -> None:
-        text, n = self.text, len(self.text)
-        first = max(0, self.done - self.v.longest + 1)
-        found: list[list[str]] = [[] for _ in range(n - self.done)]
-        for end, piece in self.automaton.iter(text, first):
-            if end >= self.done and end - len(piece) + 1 >= 0:
-                found[end - self.done].append(piece)
-        at = self._pair if self.m else self._scored
-        for i in range(self.done, n):
-            at(i + 1, found[i - self.done])
-        self.done = n
-
-    def _pair(self, end: int, pieces: list[str]) -> None:
-        text, back = self.text, self.back
-        single = text[end - 1]
-        for p in pieces if single in pieces else [*pieces, single]:
-            start = end - len(p)
-            left = text[back[start] : start] if start else self.left
-            if self.m.stable(left, p):
-                back.append(start)
-                return
-        raise AssertionError("a prefix without a last piece")
-
-    def _scored(self, end: int, pieces: list[str]) -> None:
-        best, start = None, end - 1
-        scores, score = self.v.scores, self.score
-        lengths = sorted((len(p) for p in pieces), reverse=True)
-        for k in lengths:  # longest first, and only a greater sum replaces it
-            s = score[end - k] + scores[self.text[end - k : end]]
-            if best is None or s > best:
-                best, start = s, end - k
-        if 1 not in lengths:
-            s = score[end - 1] + self.v.worst
-            if best is None or s > best:
-                best, start = s, end - 1
-        score.append(best)
-        self.back.append(start)
-
-    def _commit(self, last: bool) -> list[int]:
-        n = self.done
-        if last:
+        """Ids of a whole text, as one window."""
+        self.text = text
+        (self._pairs if self.m else self._scores)(0)
+        return self.finish()
+
+    def _pairs(self, done: int) -> None:
+        text, last, known, stable = self.text, self.last, self.m.known, self.m.stable
+        for end, piece in self.automaton.iter(text, max(0, done - self.v.longest + 1)):
+            settled = len(last)
+            if end < done or settled > end + 1:
+                continue
+            while settled <= end:  # no piece ends there: a character without one
+                last.append(text[settled - 1])
+                settled += 1
+            start = end + 1 - len(piece)
+            if start < 0:
+                continue
+            left = last[start]
+            ok = known.get((left, piece))
+            if ok or (ok is None and stable(left, piece)):
+                last.append(piece)
+        for i in range(len(last) - 1, len(text)):
+            last.append(text[i])
+
+    def _scores(self, done: int) -> None:
+        text, last, score, scores, worst = self.text, self.last, self.score, self.v.scores, self.v.worst
+        found: list[list[str]] = [[] for _ in range(len(text) - done)]
+        for end, piece in self.automaton.iter(text, max(0, done - self.v.longest + 1)):
+            if end >= done and len(piece) <= end + 1:
+                found[end - done].append(piece)
+        for i in range(done, len(text)):
+            best, kept, single = None, "", text[i]
+            pieces = sorted(found[i - done], key=len, reverse=True)
+            for p in pieces:  # longest first, and only a greater sum replaces it
+                s = score[i + 1 - len(p)] + scores[p]
+                if best is None or s > best:
+                    best, kept = s, p
+            if single not in pieces:
+                s = score[i] + worst
+                if best is None or s > best:
+                    best, kept = s, single
+            score.append(best)
+            last.append(kept)
+
+    def _commit(self, final: bool) -> list[int]:
+        last, n = self.last, len(self.text)
+        if final:
             boundary = n
         else:
             # all positions a later piece can start from, walked back until one is left
@@ -220,32 +226,30 @@ class StreamingViterbi:
             while len(alive) > 1:
                 top = max(alive)
                 alive.discard(top)
-                alive.add(self.back[top])
+                alive.add(top - len(last[top]))
             boundary = alive.pop()
             self.widest = max(self.widest, n - boundary)
-        if not boundary:
-            return []
-        out, end, spans = [], boundary, []
-        while end:
-            spans.append((self.back[end], end))
-            end = self.back[end]
-        for a, b in reversed(spans):
-            piece = self.text[a:b]
-            got = self.v.ids.get(piece)
-            out += [got] if got is not None else self.v.spell(piece)
-        a, b = spans[0]
-        self.left = self.text[a:b]
-        self.text = self.text[boundary:]
-        self.done -= boundary
-        self.back = [max(0, x - boundary) for x in self.back[boundary:]]
-        base = self.score[boundary] if not self.m else 0.0
-        self.score = [s - base for s in self.score[boundary:]] if not self.m else self.score[:1]
+        out, at, ids = [], boundary, self.v.ids
+        while at:
+            piece = last[at]
+            got = ids.get(piece)
+            if got is not None:
+                out.append(got)
+            else:
+                out += reversed(self.v.spell(piece))
+            at -= len(piece)
+        out.reverse()
+        if boundary and not final:
+            self.text, self.last = self.text[boundary:], last[boundary:]
+            if not self.m:
+                base = self.score[boundary]
+                self.score = [s - base for s in self.score[boundary:]]
         return out
 
 
 def cuts(vocab: Vocabulary, text: str) -> list[str]:
     """Cut a normalised text at boundaries that no piece crosses; every path meets at each of them."""
-    if vocab.crossing is None or any(p in text for p in vocab.crossing):
+    if vocab.crosses is None or vocab.crosses.search(text):
         return [text] if text else []
     return CHUNKS.findall(text)
 
@@ -253,7 +257,7 @@ def cuts(vocab: Vocabulary, text: str) -> list[str]:
 class Remembered(dict):
     """Results by chunk, worked out when first asked for; forgotten altogether beyond ``limit`` entries."""
 
-    def __init__(self, work, limit: int = 300_000):
+    def __init__(self, work, limit: int = 500_000):
         super().__init__()
         self.work, self.limit = work, limit
 

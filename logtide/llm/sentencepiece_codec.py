@@ -15,6 +15,7 @@ model's own mark for a blank) comes back as a blank.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,10 +42,13 @@ class Encoder:
         self.of_word = pieces.Remembered(self._word)
 
     def _chunk(self, chunk: str) -> bytes:
-        out: list[int] = []
+        if len(chunk) <= PUSH:
+            return array("i", self.stream.encode(chunk)).tobytes()
+        out = array("i")
         for i in range(0, len(chunk), PUSH):
-            out += self.stream.push(chunk[i : i + PUSH])
-        return np.array(out + self.stream.finish(), dtype=np.int32).tobytes()
+            out.extend(self.stream.push(chunk[i : i + PUSH]))
+        out.extend(self.stream.finish())
+        return out.tobytes()
 
     def _word(self, word: str) -> bytes:
         return b"".join(map(self.of_chunk.__getitem__, pieces.parts(self.v, word)))

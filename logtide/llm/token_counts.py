@@ -19,6 +19,7 @@ whole; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,31 +48,34 @@ class Counter:
 
     def best(self, chunk: str) -> tuple[float, int]:
         """Score and number of pieces of the best unigram path."""
-        v, width = self.u, self.u.longest + 1
+        v = self.u
+        scores, worst, width = v.scores, v.worst, v.longest + 1
         score, count = [0.0] * width, [0] * width
-        ends = self.automaton.iter(chunk)
-        nxt = next(ends, None)
-        for i, char in enumerate(chunk):
-            lengths = []
-            while nxt is not None and nxt[0] == i:
-                lengths.append(len(nxt[1]))
-                nxt = next(ends, None)
-            lengths.sort(reverse=True)
-            best, n = None, 0
-            for k in lengths:
-                j = (i + 1 - k) % width
-                s = score[j] + v.scores[chunk[i + 1 - k : i + 1]]
-                if best is None or s > best:
-                    best, n = s, count[j] + 1
-            if 1 not in lengths:
-                j = i % width
-                s = score[j] + v.worst
-                if best is None or s > best:
-                    best, n = s, count[j] + len(v.spell(char))
-            score[(i + 1) % width], count[(i + 1) % width] = best, n
+        at, best, n, single = 0, None, 0, False  # of the position now worked on
+        for end, piece in itertools.chain(self.automaton.iter(chunk), ((len(chunk), ""),)):
+            while at < end:
+                if not single:
+                    s = score[at % width] + worst
+                    if best is None or s > best:
+                        best, n = s, count[at % width] + len(v.spell(chunk[at]))
+                at += 1
+                score[at % width], count[at % width] = best, n
+                best, single = None, False
+            if not piece:
+                break
+            # pieces that end together come longest first, and only a greater sum replaces
+            k = len(piece)
+            j = (end + 1 - k) % width
+            s = score[j] + scores[piece]
+            if best is None or s > best:
+                best, n = s, count[j] + 1
+            if k == 1:
+                single = True
         return score[len(chunk) % width], count[len(chunk) % width]
 
     def own_count(self, chunk: str) -> int:
+        if len(chunk) <= PUSH:
+            return len(self.merge.encode(chunk))
         n = 0
         for i in range(0, len(chunk), PUSH):
             n += len(self.merge.push(chunk[i : i + PUSH]))
