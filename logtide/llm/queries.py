@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import decontaminate, license_scan, ngram_join, quality_rules, secret_scan, sentencepiece_codec, token_counts, url_filter, warc
+from logtide.llm import decontaminate, gru_lm, license_scan, ngram_join, quality_rules, secret_scan, sentencepiece_codec, token_counts, url_filter, warc
 from logtide.llm.common import load
 
 
@@ -32,6 +32,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op7_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(load(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(load(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
+    "op7_gru_lm": op7_gru_lm,
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_join": op10_ngram_join,
