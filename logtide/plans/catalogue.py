@@ -1,6 +1,452 @@
-"""Registered queries over the driver's tables and their DuckDB equivalents."""
+"""Registered queries over the driver's tables and their DuckDB equivalents.
+
+The ``events`` table is a valid log: position = event_id + 1, type = event_type, data =
+props.  Derived logs (duplicates, poison, change messages, chunks) are made from it by
+rules that SQL can state as well.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from logtide.functions import envelope, keys, offsets, ulid
+from logtide.operators import delivery, metrics, state
+from logtide.operators.registry import TypeRegistry
+from logtide.operators.upcast import Upcasts
+from logtide.sources import chunks
+
+OWN = "bus-1"
+SNAPSHOT_AT = 400
+TRUNCATE_AT = 500
+
+_REGISTRY = TypeRegistry()
+# built without a session, which a schema in text form would need
+_KEY_LABEL = T.StructType().add("key", T.LongType()).add("label", T.StringType())
+PROPS = {n: _REGISTRY.register(n, T.StructType().add("k", T.LongType())) for n in ("signup", "purchase", "error", "view", "click")}
+CLICK_2 = _REGISTRY.register("click.v2", _KEY_LABEL)
+CLICK_3 = _REGISTRY.register("click.v3", T.StructType([*_KEY_LABEL.fields, T.StructField("twice", T.LongType())]))
+USER = _REGISTRY.register("user", T.StructType().add("event", T.LongType()))
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    position = F.col("event_id") + 1
+    return e.select(
+        position.alias("position"),
+        offsets.format_column(position).alias("offset"),
+        F.concat(F.lit("ev-"), F.col("event_id").cast("string")).alias("id"),
+        F.concat(F.lit("bus-"), (F.col("user_id") % 3).cast("string")).alias("origin"),
+        F.col("event_type").alias("type"),
+        F.col("props").alias("data"),
+        F.col("ts").alias("timestamp"),
+        "event_id",
+        "user_id",
+        "value",
+    )
+
+
+_LOG = """log AS (
+  SELECT event_id + 1 AS position, lpad(CAST(event_id + 1 AS VARCHAR), 20, '0') AS "offset", 'ev-' || event_id AS id,
+         'bus-' || (user_id % 3) AS origin, event_type AS type, props AS data, ts AS timestamp, event_id, user_id, value
+  FROM events)"""
+
+
+def _with(ctes: str, body: str) -> str:
+    return f"WITH {ctes}\n{body}"
+
+
+def _poisoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with a payload of the wrong type at every 997th event."""
+    bad = F.when(F.col("event_id") % 997 == 600, F.lit('{"k": "poison"}')).otherwise(F.col("data"))
+    return log(spark, sf_dir).withColumn("data", bad)
+
+
+_POISON = "event_id % 997 = 600"
+_K = "CAST(json_extract_string(data, '$.k') AS BIGINT)"
+
+
+def _doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with every tenth event once more behind all others."""
+    rows = log(spark, sf_dir)
+    again = rows.where("event_id % 10 = 0").withColumn("position", F.col("position") + 1_000_000)
+    return rows.unionByName(again)
+
+
+def _messages(spark: SparkSession, sf_dir: str, resets: bool) -> DataFrame:
+    """The log as change messages of users, with resets at every 2500th event if asked for."""
+    rows = log(spark, sf_dir)
+    key = F.col("user_id").cast("string")
+    value = F.to_json(F.struct(F.col("event_id").alias("event")))
+    data = F.when(F.col("type") == "signup", state.insert("user", key, value)).when(F.col("type") == "error", state.delete("user", key)).otherwise(state.update("user", key, value))
+    kind = F.lit(state.CHANGE)
+    if resets:
+        reset = F.col("event_id") % 2500 == 0
+        data = F.when(reset, F.lit(state.control(state.RESET))).otherwise(data)
+        kind = F.when(reset, F.lit(state.CONTROL)).otherwise(kind)
+    return rows.select("position", "offset", kind.alias("type"), data.alias("data"), "event_id")
+
+
+USERS = [state.Collection(USER)]
+
+
+# ---- scans ----------------------------------------------------------------------------------------------
+
+
+def log_scan_range(spark, sf_dir):
+    return log(spark, sf_dir).where("position > 250").orderBy("position").limit(100).select("position", "offset", "type", "data")
+
+
+def log_tail(spark, sf_dir):
+    return log(spark, sf_dir).agg(F.coalesce(offsets.format_column(F.max("position")), F.lit("")).alias("tail"))
+
+
+def log_tail_empty(spark, sf_dir):
+    return log(spark, sf_dir).where("position < 0").agg(F.coalesce(offsets.format_column(F.max("position")), F.lit("")).alias("tail"))
+
+
+def log_replay_from(spark, sf_dir):
+    return log(spark, sf_dir).where(F.col("position") > offsets.parse_offset("00000000000000000700")).select("position", "offset", "id", "origin", "type", "data", "timestamp")
+
+
+def log_keyset_page(spark, sf_dir):
+    return log(spark, sf_dir).where("position > 300 and position <= 350").select("position", "offset", "type")
+
+
+def offset_compare(spark, sf_dir):
+    rows = log(spark, sf_dir).where("event_id < 200")
+    plain = F.col("user_id").cast("string")
+    return rows.select("position", offsets.compare_columns(F.col("offset"), plain).alias("order"), offsets.parse_column(F.col("offset")).alias("parsed"))
+
+
+# ---- delivery -------------------------------------------------------------------------------------------
+
+
+def route_by_type(spark, sf_dir):
+    return metrics.counters(log(spark, sf_dir), ["type"])
+
+
+def filter_predicate(spark, sf_dir):
+    rows = delivery.matching(delivery.route(log(spark, sf_dir), "purchase"), F.col("value") > 50)
+    return rows.select("position", "value")
+
+
+def unknown_type_skip(spark, sf_dir):
+    return metrics.counters(delivery.of_types(log(spark, sf_dir), ["click", "view", "nothing"]), ["type", "origin"])
+
+
+def once_per_handler(spark, sf_dir):
+    rows = delivery.matching(log(spark, sf_dir), F.col("value") > 20)
+    return delivery.once(rows, ["type"]).select("type", "position", "id")
+
+
+def origin_skip(spark, sf_dir):
+    return delivery.foreign(log(spark, sf_dir), OWN).groupBy("origin").agg(F.count(F.lit(1)).alias("events"), F.max("position").alias("last"))
+
+
+def follow_dedup(spark, sf_dir):
+    return delivery.dedup(_doubled(spark, sf_dir), None).select("id", "position", "type")
+
+
+def follow_dedup_ring(spark, sf_dir):
+    rows = log(spark, sf_dir).withColumn("id", F.concat(F.lit("user-"), F.col("user_id").cast("string")))
+    return delivery.dedup(rows, 64).select("id", "position", "type")
+
+
+def follow_pipeline(spark, sf_dir):
+    rows = delivery.foreign(delivery.dedup(_doubled(spark, sf_dir), None), OWN)
+    out = delivery.deliver(rows, PROPS["click"], policy=delivery.SKIP)
+    return out.events.select("position", "id", "origin", F.col("event.k").alias("k"))
+
+
+def decode_props(spark, sf_dir):
+    out = delivery.deliver(log(spark, sf_dir), PROPS["view"], policy=delivery.SKIP)
+    return out.events.select("position", F.col("event.k").alias("k"))
+
+
+def poison_abort_prefix(spark, sf_dir):
+    rows = _poisoned(spark, sf_dir).withColumn("type", F.lit("click"))
+    return delivery.deliver(rows, PROPS["click"]).events.select("position", F.col("event.k").alias("k"))
+
+
+def poison_skip_checkpoint(spark, sf_dir):
+    rows = _poisoned(spark, sf_dir).where("position <= 601").withColumn("type", F.lit("click"))
+    return delivery.deliver(rows, PROPS["click"], policy=delivery.SKIP).checkpoint
+
+
+def poison_dead_letters(spark, sf_dir):
+    rows = _poisoned(spark, sf_dir).withColumn("type", F.lit("click"))
+    return delivery.deliver(rows, PROPS["click"], policy=delivery.SKIP).dead
+
+
+def replay_checkpoint_filtered(spark, sf_dir):
+    return delivery.deliver(log(spark, sf_dir), PROPS["click"], F.col("event.k") < 5).checkpoint
+
+
+def follow_checkpoint(spark, sf_dir):
+    return log(spark, sf_dir).agg(offsets.format_column(F.max("position")).alias("checkpoint"))
+
+
+# ---- migration ------------------------------------------------------------------------------------------
+
+
+def _upcasts() -> Upcasts:
+    ups = Upcasts()
+    ups.typed(PROPS["click"], CLICK_2, lambda v: {"key": v["k"], "label": F.concat(F.lit("k"), v["k"].cast("string"))})
+    ups.typed(CLICK_2, CLICK_3, lambda v: {"key": v["key"], "label": v["label"], "twice": v["key"] * 2})
+    return ups
+
+
+def upcast_chain(spark, sf_dir):
+    rows = _upcasts().scan(log(spark, sf_dir), CLICK_3.name)
+    return rows.select("position", "offset", "id", "type", "data")
+
+
+def upcast_terminal_types(spark, sf_dir):
+    return metrics.counters(_upcasts().apply(log(spark, sf_dir)), ["type"])
+
+
+def upcast_failure_abort(spark, sf_dir):
+    rows = _poisoned(spark, sf_dir).withColumn("type", F.when(F.col("event_id") % 2 == 0, F.lit("click")).otherwise(F.col("type")))
+    out = delivery.deliver(rows, PROPS["view"], upcasts=_upcasts())
+    return out.events.select("position", F.col("event.k").alias("k"))
+
+
+# ---- state ----------------------------------------------------------------------------------------------
+
+
+def state_fold_lww(spark, sf_dir):
+    rows = state.classify(_messages(spark, sf_dir, False), USERS)
+    return state.fold(rows.where(F.col("outcome") == state.APPLY))
+
+
+def state_fold_reset(spark, sf_dir):
+    return state.fold(state.after_reset(state.classify(_messages(spark, sf_dir, True), USERS)))
+
+
+def state_last_offset(spark, sf_dir):
+    return state.offsets(state.classify(_messages(spark, sf_dir, True), USERS))
+
+
+def state_classify(spark, sf_dir):
+    rows = _messages(spark, sf_dir, True)
+    e = F.col("event_id") % 10
+    data = (
+        F.when(e == 1, F.lit('{"type":"user","key":"1","value":"not-an-object","headers":{"operation":"insert"}}'))
+        .when(e == 2, F.lit('{"headers":{"control":"must-refetch"}}'))
+        .when(e == 3, F.lit('{"url":"/x","headers":{"Accept":"application/json"},"type":200}'))
+        .when(e == 4, F.lit('{"type":"other","key":"1","value":{},"headers":{"operation":"insert"}}'))
+        .otherwise(F.col("data"))
+    )
+    kind = F.when(e == 2, F.lit(state.CONTROL)).when(e == 3, F.lit("http.Request")).otherwise(F.col("type"))
+    return metrics.counters(state.classify(rows.withColumns({"data": data, "type": kind}), USERS, strict=True), ["outcome"])
+
+
+def composite_keys(spark, sf_dir):
+    rows = log(spark, sf_dir).where("event_id < 300")
+    kind = F.concat(F.lit("a/b%"), F.col("type"))
+    key = F.concat((F.col("event_id") % 7).cast("string"), F.lit("%2F/"), F.col("user_id").cast("string"))
+    full = keys.composite_key_column(kind, key)
+    part = F.element_at(F.split(full, "/"), 2)
+    return rows.select("position", full.alias("composite_key"), keys.decode_part_column(part).alias("key"), keys.in_collection(full, "a/b%click").alias("is_click"))
+
+
+def state_collection(spark, sf_dir):
+    return state.collection(state_fold_lww(spark, sf_dir), "user").agg(F.count(F.lit(1)).alias("entities"), F.max("position").alias("last"))
+
+
+def snapshot_plus_tail(spark, sf_dir):
+    rows = state.classify(_messages(spark, sf_dir, False), USERS).where(F.col("outcome") == state.APPLY)
+    snapshot = state.fold(rows.where(F.col("position") <= SNAPSHOT_AT))
+    tail = state.fold(rows.where(F.col("position") > SNAPSHOT_AT), keep_deletes=True)
+    kept = snapshot.join(tail.select("composite_key"), "composite_key", "left_anti").select(*snapshot.columns)
+    return kept.unionByName(tail.where(F.col("operation") != state.DELETE).drop("operation"))
+
+
+def truncate_survivors(spark, sf_dir):
+    rows = log(spark, sf_dir)
+    return rows.agg(F.count_if(F.col("position") <= TRUNCATE_AT).alias("deleted"), F.count_if(F.col("position") > TRUNCATE_AT).alias("left"), offsets.format_column(F.max("position")).alias("tail"))
+
+
+def account_balance(spark, sf_dir):
+    cents = F.round(F.col("value") * 100).cast("long")
+    signed = F.when(F.col("type") == "purchase", cents).when(F.col("type") == "error", -cents).otherwise(F.lit(0).cast("long"))
+    return log(spark, sf_dir).groupBy("user_id").agg(F.sum(signed).alias("balance_cents"))
+
+
+# ---- envelope -------------------------------------------------------------------------------------------
+
+
+def chunk_offsets(spark, sf_dir):
+    rows = log(spark, sf_dir).where("event_id < 1000")
+    number = F.floor(F.col("event_id") / 100)
+    member = F.struct(F.when(F.col("event_id") % 300 == 7, F.col("offset")).alias("offset"), F.col("id"), F.col("type"), F.struct(F.col("user_id").alias("u")).alias("data"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("position", member.alias("m")))), lambda x: x["m"])
+    made = rows.groupBy(number.alias("c")).agg(F.to_json(items).alias("body"))
+    made = made.select(F.col("c").cast("string").alias("chunk_start"), (F.col("c") + 1).cast("string").alias("next_offset"), F.lit(False).alias("up_to_date"), "body")
+    return chunks.decode_chunks(made).select("chunk_start", F.col("member").cast("long").alias("member"), "offset", "id", "type", "data")
+
+
+def ulid_time_prefix(spark, sf_dir):
+    return log(spark, sf_dir).select("position", ulid.time_prefix(F.col("timestamp")).alias("prefix"))
+
+
+def metadata_roundtrip(spark, sf_dir):
+    m = F.when(F.col("event_id") % 3 > 0, F.create_map(F.lit("origin"), F.col("origin"), F.lit("user"), F.col("user_id").cast("string")))
+    text = envelope.metadata_to_json(m)
+    back = envelope.metadata_from_json(text)
+    return log(spark, sf_dir).select("position", text.alias("metadata"), back["user"].alias("user"), envelope.null_if_empty(F.when(F.col("event_id") % 2 == 0, F.col("id")).otherwise(F.lit(""))).alias("id"))
+
+
+def time_text(spark, sf_dir):
+    text = envelope.format_time(F.col("timestamp"))
+    return log(spark, sf_dir).select("position", text.alias("text"), (envelope.parse_time(text) == F.col("timestamp").cast("timestamp")).alias("same"), envelope.parse_time(F.col("data")).isNull().alias("bad_is_null"))
+
+
+# ---- telemetry ------------------------------------------------------------------------------------------
+
+_ERROR = "type = 'error'"
+
+
+def metrics_rate_1m(spark, sf_dir):
+    return metrics.rate(log(spark, sf_dir), ["type"], 1)
+
+
+def metrics_rate_5m(spark, sf_dir):
+    rows = log(spark, sf_dir).withColumn("async", F.col("user_id") % 2 == 0)
+    return metrics.rate(rows, ["type", "async"], 5)
+
+
+def metrics_error_rate(spark, sf_dir):
+    return metrics.rate(log(spark, sf_dir), ["origin"], 5, error=F.expr(_ERROR))
+
+
+def metrics_counters(spark, sf_dir):
+    return metrics.counters(log(spark, sf_dir), ["origin"], F.expr(_ERROR))
+
+
+def metrics_histogram(spark, sf_dir):
+    cells = metrics.buckets(log(spark, sf_dir), F.col("value"), ["type"])
+    return cells.select("type", F.when(F.col("le") < float("inf"), F.col("le")).alias("le"), "n")
+
+
+def metrics_p95(spark, sf_dir):
+    cells = metrics.buckets(log(spark, sf_dir), F.col("value"), [])
+    return metrics.histogram_quantile(cells, 0.95, []).select(F.round("quantile", 6).alias("p95"))
+
+
+def metrics_p95_by_type(spark, sf_dir):
+    cells = metrics.buckets(log(spark, sf_dir), F.col("value"), ["type"])
+    return metrics.histogram_quantile(cells, 0.95, ["type"]).select("type", F.round("quantile", 6).alias("p95"))
+
+
+def metrics_p95_async(spark, sf_dir):
+    rows = log(spark, sf_dir).where("user_id % 2 = 0")
+    cells = metrics.buckets(rows, F.col("value"), ["type"])
+    return metrics.histogram_quantile(cells, 0.95, ["type"]).select("type", F.round("quantile", 6).alias("p95"))
+
+
+def metrics_label_values(spark, sf_dir):
+    return metrics.label_values(log(spark, sf_dir), "type")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        log_scan_range, log_tail, log_tail_empty, log_replay_from, log_keyset_page, offset_compare,
+        route_by_type, filter_predicate, unknown_type_skip, once_per_handler, origin_skip, follow_dedup, follow_dedup_ring, follow_pipeline,
+        decode_props, poison_abort_prefix, poison_skip_checkpoint, poison_dead_letters, replay_checkpoint_filtered, follow_checkpoint,
+        upcast_chain, upcast_terminal_types, upcast_failure_abort,
+        state_fold_lww, state_fold_reset, state_last_offset, state_classify, composite_keys, state_collection, snapshot_plus_tail, truncate_survivors, account_balance,
+        chunk_offsets, ulid_time_prefix, metadata_roundtrip, time_text,
+        metrics_rate_1m, metrics_rate_5m, metrics_error_rate, metrics_counters, metrics_histogram, metrics_p95, metrics_p95_by_type, metrics_p95_async, metrics_label_values,
+    )
+}
+
+_ABORT = f"(SELECT min(position) FROM log WHERE {_POISON})"
+_FOLD = """SELECT 'user' AS entity_type, CAST(user_id AS VARCHAR) AS key, 'user/' || user_id AS composite_key,
+       '{"event":' || max(event_id) || '}' AS value, max(position) AS position
+FROM log WHERE TRUE """
+_ALIVE = " GROUP BY user_id HAVING arg_max(type, position) <> 'error'"
+_RESET = " AND event_id % 2500 <> 0 AND position > coalesce((SELECT max(position) FROM log WHERE event_id % 2500 = 0), 0)"
+_BOUNDS = "(VALUES " + ", ".join(f"(CAST({b} AS DOUBLE))" for b in metrics.BOUNDS) + ", (NULL))"
+
+
+def _quantile(where: str, by: str) -> str:
+    label, group = (f"{by}, ", f"GROUP BY {by}, le") if by else ("", "GROUP BY le")
+    part = f"PARTITION BY {by} " if by else ""
+    return _with(
+        _LOG
+        + f""",
+cells AS (SELECT {label}coalesce(le, 'inf'::DOUBLE) AS le, count(*) FILTER (le IS NULL OR value <= le) AS n
+          FROM log, {_BOUNDS} b(le) WHERE {where} {group}),
+steps AS (SELECT *, lag(le) OVER w AS low, lag(n) OVER w AS below, max(n) OVER ({part}) AS total FROM cells WINDOW w AS ({part}ORDER BY le)),
+hit AS (SELECT *, row_number() OVER ({part}ORDER BY le) AS r FROM steps WHERE n >= 0.95 * total)""",
+        f"""SELECT {label}round(CASE WHEN isinf(le) THEN {metrics.BOUNDS[-1]}
+         ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * (0.95 * total - coalesce(below, 0)) / (n - coalesce(below, 0)) END, 6) AS p95
+FROM hit WHERE r = 1""",
+    )
+
+
+ORACLE_SQL = {
+    "log_scan_range": _with(_LOG, 'SELECT position, "offset", type, data FROM log WHERE position > 250 ORDER BY position LIMIT 100'),
+    "log_tail": _with(_LOG, "SELECT coalesce(lpad(CAST(max(position) AS VARCHAR), 20, '0'), '') AS tail FROM log"),
+    "log_tail_empty": _with(_LOG, "SELECT coalesce(lpad(CAST(max(position) AS VARCHAR), 20, '0'), '') AS tail FROM log WHERE position < 0"),
+    "log_replay_from": _with(_LOG, 'SELECT position, "offset", id, origin, type, data, timestamp FROM log WHERE position > 700'),
+    "log_keyset_page": _with(_LOG, 'SELECT position, "offset", type FROM log WHERE position > 300 ORDER BY position LIMIT 50'),
+    "offset_compare": _with(_LOG, 'SELECT position, CAST(sign(position - user_id) AS INTEGER) AS "order", position AS parsed FROM log WHERE event_id < 200'),
+    "route_by_type": _with(_LOG, "SELECT type, count(*) AS events FROM log GROUP BY type"),
+    "filter_predicate": _with(_LOG, "SELECT position, value FROM log WHERE type = 'purchase' AND value > 50"),
+    "unknown_type_skip": _with(_LOG, "SELECT type, origin, count(*) AS events FROM log WHERE type IN ('click', 'view', 'nothing') GROUP BY type, origin"),
+    "once_per_handler": _with(_LOG, "SELECT type, min(position) AS position, arg_min(id, position) AS id FROM log WHERE value > 20 GROUP BY type"),
+    "origin_skip": _with(_LOG, f"SELECT origin, count(*) AS events, max(position) AS last FROM log WHERE origin <> '{OWN}' GROUP BY origin"),
+    "follow_dedup": _with(_LOG + ", twice AS (SELECT * FROM log UNION ALL SELECT * REPLACE (position + 1000000 AS position) FROM log WHERE event_id % 10 = 0)", "SELECT id, min(position) AS position, arg_min(type, position) AS type FROM twice GROUP BY id"),
+    "follow_pipeline": _with(_LOG, f"SELECT position, id, origin, {_K} AS k FROM log WHERE type = 'click' AND origin <> '{OWN}'"),
+    "decode_props": _with(_LOG, f"SELECT position, {_K} AS k FROM log WHERE type = 'view'"),
+    "poison_abort_prefix": _with(_LOG, f"SELECT position, {_K} AS k FROM log WHERE position < {_ABORT}"),
+    "poison_skip_checkpoint": _with(_LOG, "SELECT lpad(CAST(max(position) AS VARCHAR), 20, '0') AS delivered, lpad(CAST(max(position) AS VARCHAR), 20, '0') AS scanned FROM log WHERE position <= 601"),
+    "poison_dead_letters": _with(_LOG, f"""SELECT position, 'click' AS type, 'undecodable' AS reason, '{{"k": "poison"}}' AS data FROM log WHERE {_POISON}"""),
+    "replay_checkpoint_filtered": _with(_LOG, f"SELECT lpad(CAST(max(position) FILTER (type = 'click' AND {_K} < 5) AS VARCHAR), 20, '0') AS delivered, lpad(CAST(max(position) AS VARCHAR), 20, '0') AS scanned FROM log"),
+    "follow_checkpoint": _with(_LOG, "SELECT lpad(CAST(max(position) AS VARCHAR), 20, '0') AS checkpoint FROM log"),
+    "upcast_chain": _with(_LOG, f"""SELECT position, "offset", id, 'click.v3' AS type, '{{"key":' || {_K} || ',"label":"k' || {_K} || '","twice":' || 2 * {_K} || '}}' AS data FROM log WHERE type = 'click'"""),
+    "upcast_terminal_types": _with(_LOG, "SELECT CASE WHEN type = 'click' THEN 'click.v3' ELSE type END AS type, count(*) AS events FROM log GROUP BY 1"),
+    "upcast_failure_abort": _with(_LOG, f"SELECT position, {_K} AS k FROM log WHERE event_id % 2 = 1 AND type = 'view' AND position < (SELECT min(position) FROM log WHERE {_POISON} AND (event_id % 2 = 0 OR type IN ('click', 'view')))"),
+    "state_fold_lww": _with(_LOG, _FOLD + _ALIVE),
+    "state_fold_reset": _with(_LOG, _FOLD + _RESET + _ALIVE),
+    "state_last_offset": _with(_LOG, "SELECT lpad(CAST(max(position) AS VARCHAR), 20, '0') AS last_offset FROM log"),
+    "state_classify": _with(
+        _LOG,
+        """SELECT CASE WHEN event_id % 10 IN (1, 2) THEN 'undecodable' WHEN event_id % 10 = 3 THEN 'ignored' WHEN event_id % 10 = 4 THEN 'unknown_type'
+            WHEN event_id % 2500 = 0 THEN 'reset' ELSE 'change' END AS outcome, count(*) AS events FROM log GROUP BY 1""",
+    ),
+    "composite_keys": _with(
+        _LOG + ", k AS (SELECT position, 'a/b%' || type AS t, (event_id % 7) || '%2F/' || user_id AS key FROM log WHERE event_id < 300)",
+        """SELECT position, replace(replace(t, '%', '%25'), '/', '%2F') || '/' || replace(replace(key, '%', '%25'), '/', '%2F') AS composite_key, key, t = 'a/b%click' AS is_click FROM k""",
+    ),
+    "state_collection": _with(_LOG, f"SELECT count(*) AS entities, max(position) AS last FROM ({_FOLD}{_ALIVE})"),
+    "snapshot_plus_tail": _with(_LOG, _FOLD + _ALIVE),
+    "truncate_survivors": _with(_LOG, f"""SELECT count(*) FILTER (position <= {TRUNCATE_AT}) AS deleted, count(*) FILTER (position > {TRUNCATE_AT}) AS "left", lpad(CAST(max(position) AS VARCHAR), 20, '0') AS tail FROM log"""),
+    "account_balance": _with(_LOG, "SELECT user_id, CAST(sum(CASE type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END * CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS balance_cents FROM log GROUP BY user_id"),
+    "chunk_offsets": _with(
+        _LOG + ", c AS (SELECT *, event_id // 100 AS c, event_id % 100 AS m FROM log WHERE event_id < 1000)",
+        """SELECT CAST(c AS VARCHAR) AS chunk_start, m AS member, CASE WHEN event_id % 300 = 7 THEN "offset" WHEN event_id = max(event_id) OVER (PARTITION BY c) THEN CAST(c + 1 AS VARCHAR) ELSE CAST(c AS VARCHAR) END AS "offset",
+           id, type, '{"u":' || user_id || '}' AS data FROM c""",
+    ),
+    "ulid_time_prefix": _with(_LOG, "SELECT position, " + " || ".join(f"substr('{ulid.ALPHABET}', CAST((((epoch_us(timestamp) // 1000) >> {s}) & 31) AS INTEGER) + 1, 1)" for s in range(45, -1, -5)) + " AS prefix FROM log"),
+    "metadata_roundtrip": _with(
+        _LOG,
+        """SELECT position, CASE WHEN event_id % 3 > 0 THEN '{"origin":"' || origin || '","user":"' || user_id || '"}' END AS metadata,
+       CASE WHEN event_id % 3 > 0 THEN CAST(user_id AS VARCHAR) END AS "user", CASE WHEN event_id % 2 = 0 THEN id END AS id FROM log""",
+    ),
+    "time_text": _with(_LOG, "SELECT position, regexp_replace(strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0*$', '') || 'Z' AS text, TRUE AS same, TRUE AS bad_is_null FROM log"),
+    "metrics_rate_1m": _with(_LOG, "SELECT time_bucket(INTERVAL 1 MINUTE, timestamp) AS window_start, type, count(*) / 60.0::DOUBLE AS rate FROM log GROUP BY 1, 2"),
+    "metrics_rate_5m": _with(_LOG, 'SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS window_start, type, user_id % 2 = 0 AS "async", count(*) / 300.0::DOUBLE AS rate FROM log GROUP BY 1, 2, 3'),
+    "metrics_error_rate": _with(_LOG, f"SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS window_start, origin, count(*) / 300.0::DOUBLE AS rate, count(*) FILTER ({_ERROR}) / 300.0::DOUBLE AS error_rate FROM log GROUP BY 1, 2"),
+    "metrics_counters": _with(_LOG, f"SELECT origin, count(*) AS events, count(*) FILTER ({_ERROR}) AS errors FROM log GROUP BY origin"),
+    "metrics_histogram": _with(_LOG, f"SELECT type, le, count(*) FILTER (le IS NULL OR value <= le) AS n FROM log, {_BOUNDS} b(le) GROUP BY type, le"),
+    "metrics_p95": _quantile("TRUE", ""),
+    "metrics_p95_by_type": _quantile("TRUE", "type"),
+    "metrics_p95_async": _quantile("user_id % 2 = 0", "type"),
+    "metrics_label_values": _with(_LOG, "SELECT DISTINCT type FROM log"),
+}
