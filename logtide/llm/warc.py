@@ -96,6 +96,18 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block
 
 
+def segments(block: bytes, size: int) -> list[bytes]:
+    """Pieces of about ``size`` bytes.  None but the last ends in a line break, which would run into the record terminator and blur the boundary."""
+    out, at = [], 0
+    while at < len(block):
+        end = at + size
+        while end < len(block) and block[end - 1 : end] in (b"\r", b"\n"):
+            end += 1
+        out.append(block[at:end])
+        at = end
+    return out
+
+
 def records(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
     """The records of one page."""
     own = record_id(page_id, digest)
@@ -109,7 +121,7 @@ def records(page_id: str | None, url: str | None, payload: bytes, digest: str, r
     first = [("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("Content-Type", "application/http; msgtype=response")]
     if len(block) <= segment_bytes:
         return [_record(first, block)]
-    pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
+    pieces = segments(block, segment_bytes)
     out = [_record([*first, ("WARC-Segment-Number", 1)], pieces[0])]
     for n, piece in enumerate(pieces[1:], 2):
         fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(f"{own}#{n}", digest)), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n)]
