@@ -169,7 +169,7 @@ class EventLog:
         ordered.select(*columns, F.spark_partition_id().alias("__p"), ids.alias("__i")).write.parquet(stage)
         try:
             staged = self.spark.read.parquet(stage)
-            sizes = {r["__p"]: (r["n"], r["lo"]) for r in staged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("lo")).toLocalIterator()}
+            sizes = {r["__p"]: (r["n"], r["lo"]) for r in staged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("lo")).collect()}
             total = sum(n for n, _ in sizes.values())
             if not total:
                 return 0, 0
