@@ -28,6 +28,8 @@ CHUNKS = re.compile(r"▁*[A-Za-z\x7f-\u2580\u2582-\U0010ffff]+|▁*[0-9]+|▁*[
 WORDS = re.compile(r"▁*[^▁]+|▁+")
 UNKNOWN_PENALTY = 10
 MANY_CROSSING = 64
+#: Length of the beginnings that are remembered, and how many of them.
+BEGIN, BEGUN = 8, 200_000
 
 
 @dataclass
@@ -144,13 +146,17 @@ class StreamingViterbi:
 
     ``push`` takes more of a (normalised) text and returns the ids that no later
     text can change: those before the boundary at which the backpointer paths from
-    all positions that a later piece can still start from have met.
+    all positions that a later piece can still start from have met.  Matches and
+    scores reach back no further than the longest piece; behind that, only the last
+    piece of each position is kept until the paths meet.
     """
 
     def __init__(self, vocab: Vocabulary, automaton=None, merges: Merges | None = None):
         self.v = vocab
         self.automaton = automaton or vocab.automaton()
         self.m = (merges or Merges(vocab)) if vocab.merges else None
+        #: Last pieces by position for the beginnings of short texts seen before.
+        self.begun: dict[str, list[str]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -172,9 +178,20 @@ class StreamingViterbi:
         return out
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, as one window."""
+        """Ids of a whole text, as one window.  What a beginning settles is remembered for other texts that share it."""
         self.text = text
-        (self._pairs if self.m else self._scores)(0)
+        if not self.m:
+            self._scores(0)
+            return self.finish()
+        begin = text[:BEGIN]
+        known = self.begun.get(begin)
+        if known is not None:
+            self.last = known.copy()
+        self._pairs(0)
+        if known is None and len(text) > BEGIN:
+            if len(self.begun) >= BEGUN:
+                self.begun.clear()
+            self.begun[begin] = self.last[: BEGIN + 1]
         return self.finish()
 
     def _pairs(self, done: int) -> None:
@@ -255,18 +272,27 @@ def cuts(vocab: Vocabulary, text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """Results by chunk, worked out when first asked for; forgotten altogether beyond ``limit`` entries."""
+    """Results by key, worked out when first asked for, in two generations.
 
-    def __init__(self, work, limit: int = 500_000):
+    When ``limit`` entries are there they become the old generation and the one before
+    is forgotten; what is asked for again moves to the young one, so frequent keys
+    stay while memory is bounded by twice the limit.
+    """
+
+    def __init__(self, work, limit: int = 400_000):
         super().__init__()
-        self.work, self.limit = work, limit
+        self.work, self.limit, self.old = work, limit, {}
 
-    def __missing__(self, chunk):
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.work(key)
+            if len(key) > 256:
+                return got
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        if len(chunk) > 256:
-            return self.work(chunk)
-        got = self[chunk] = self.work(chunk)
+        self[key] = got
         return got
 
 

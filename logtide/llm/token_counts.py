@@ -43,6 +43,8 @@ class Counter:
         self.automaton = self.merge.automaton if self.merge else self.u.automaton()
         # scores of the library's kind may be fractions; whole thousandths are summed
         self.scale = 1 if own.merges else 1000
+        #: The four lists of ``_short`` for beginnings seen before.
+        self.begun: dict[str, tuple] = {}
         self.of_chunk = pieces.Remembered(self._chunk)
         self.of_word = pieces.Remembered(self._word)
 
@@ -81,7 +83,54 @@ class Counter:
             n += len(self.merge.push(chunk[i : i + PUSH]))
         return n + len(self.merge.finish())
 
+    def _short(self, chunk: str) -> tuple[float, int, int]:
+        """Score and count of the best unigram path and the merge count, from one run of the automaton over a short chunk."""
+        scores, worst, spell = self.u.scores, self.u.worst, self.u.spell
+        known, stable = self.merge.m.known, self.merge.m.stable
+        begin = chunk[: pieces.BEGIN]
+        begun = self.begun.get(begin)
+        last, own, score, count = [x.copy() for x in begun] if begun else ([""], [0], [0.0], [0])
+        at, best, n, single = len(last) - 1, None, 0, False
+        for end, piece in itertools.chain(self.automaton.iter(chunk), ((len(chunk), ""),)):
+            if end < at:
+                continue
+            while at < end:
+                if not single:
+                    extra = len(spell(chunk[at]))
+                    s = score[at] + worst
+                    if best is None or s > best:
+                        best, n = s, count[at] + extra
+                    if len(last) == at + 1:
+                        last.append(chunk[at])
+                        own.append(own[at] + extra)
+                score.append(best)
+                count.append(n)
+                at += 1
+                best, single = None, False
+            k = len(piece)
+            if not k:
+                break
+            start = end + 1 - k
+            s = score[start] + scores[piece]
+            if best is None or s > best:
+                best, n = s, count[start] + 1
+            if k == 1:
+                single = True
+            if len(last) == end + 1:
+                ok = known.get((last[start], piece))
+                if ok or (ok is None and stable(last[start], piece)):
+                    last.append(piece)
+                    own.append(own[start] + 1)
+        if begun is None and len(chunk) > pieces.BEGIN:
+            if len(self.begun) >= pieces.BEGUN:
+                self.begun.clear()
+            self.begun[begin] = tuple(x[: pieces.BEGIN + 1] for x in (last, own, score, count))
+        return score[-1], count[-1], own[-1]
+
     def _chunk(self, chunk: str) -> int:
+        if self.merge and len(chunk) <= 64:
+            score, n, own = self._short(chunk)
+            return own | n << _COUNT_BITS | round(-score * self.scale) << 2 * _COUNT_BITS
         score, n = self.best(chunk)
         own = self.own_count(chunk) if self.merge else n
         return own | n << _COUNT_BITS | round(-score * self.scale) << 2 * _COUNT_BITS
