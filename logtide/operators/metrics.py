@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: Upper bounds of the duration buckets, in milliseconds.
@@ -60,7 +60,7 @@ def label_values(rows: DataFrame, label: str) -> DataFrame:
     return rows.select(label).distinct()
 
 
-def observed(rows: DataFrame, name: str, error: Column | None = None) -> DataFrame:
+def observed(rows: DataFrame, name: str | Observation, error: Column | None = None) -> DataFrame:
     """``rows`` with counters reported through Spark's observation mechanism under ``name``."""
     out = [F.count(F.lit(1)).alias("events")]
     if error is not None:

@@ -7,6 +7,8 @@ rules that SQL can state as well.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ from logtide.operators import delivery, metrics, state
 from logtide.operators.registry import TypeRegistry
 from logtide.operators.upcast import Upcasts
 from logtide.sources import chunks
+from logtide.sources.log import EventLog
+from logtide.sources.paths import shared_dir
 
 OWN = "bus-1"
 SNAPSHOT_AT = 400
@@ -120,6 +124,28 @@ def offset_compare(spark, sf_dir):
     return rows.select("position", offsets.compare_columns(F.col("offset"), plain).alias("order"), offsets.parse_column(F.col("offset")).alias("parsed"))
 
 
+def _stored(spark, sf_dir) -> EventLog:
+    """The events appended to a new log in two batches, the later half first."""
+    stored = EventLog(spark, f"{shared_dir(spark)}/logtide/log-{uuid.uuid4().hex}")
+    rows = log(spark, sf_dir).select("event_id", "id", "origin", "type", "data", F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("metadata"), "timestamp")
+    half = F.col("event_id") >= 500
+    stored.append(rows.where(half), order_by=["event_id"])
+    stored.append(rows.where(~half), order_by=["event_id"])
+    return stored
+
+
+def log_append_read(spark, sf_dir):
+    rows = _stored(spark, sf_dir).read("00000000000000000100")
+    return rows.select("position", "offset", "id", "origin", "type", "data", F.col("metadata")["user"].alias("user"))
+
+
+def log_truncate_read(spark, sf_dir):
+    stored = _stored(spark, sf_dir)
+    deleted = stored.truncate("70")
+    again = stored.truncate("70")
+    return stored.read().agg(F.lit(deleted).cast("long").alias("deleted"), F.lit(again).cast("long").alias("again"), F.count(F.lit(1)).alias("left"), F.min("offset").alias("first"), F.lit(stored.tail()).alias("tail"))
+
+
 # ---- delivery -------------------------------------------------------------------------------------------
 
 
@@ -264,6 +290,17 @@ def snapshot_plus_tail(spark, sf_dir):
     return kept.unionByName(tail.where(F.col("operation") != state.DELETE).drop("operation"))
 
 
+def snapshot_restore(spark, sf_dir):
+    """State saved as JSON at one offset, restored by another materializer, and carried on from there."""
+    rows = _messages(spark, sf_dir, False)
+    first = state.Materializer(spark, USERS)
+    first.apply(rows.where(F.col("position") <= SNAPSHOT_AT))
+    second = state.Materializer(spark, USERS)
+    second.restore(*first.snapshot())
+    second.apply(rows)
+    return second.state
+
+
 def truncate_survivors(spark, sf_dir):
     rows = log(spark, sf_dir)
     return rows.agg(F.count_if(F.col("position") <= TRUNCATE_AT).alias("deleted"), F.count_if(F.col("position") > TRUNCATE_AT).alias("left"), offsets.format_column(F.max("position")).alias("tail"))
@@ -358,6 +395,7 @@ QUERIES = {
         route_by_type, filter_predicate, unknown_type_skip, once_per_handler, origin_skip, follow_dedup, follow_dedup_ring, follow_pipeline,
         decode_props, poison_abort_prefix, poison_skip_checkpoint, poison_dead_letters, replay_checkpoint_filtered, follow_checkpoint,
         upcast_chain, upcast_terminal_types, upcast_failure_abort,
+        log_append_read, log_truncate_read, snapshot_restore,
         state_fold_lww, state_fold_reset, state_last_offset, state_classify, composite_keys, state_collection, snapshot_plus_tail, truncate_survivors, account_balance,
         chunk_offsets, ulid_time_prefix, metadata_roundtrip, time_text,
         metrics_rate_1m, metrics_rate_5m, metrics_error_rate, metrics_counters, metrics_histogram, metrics_p95, metrics_p95_by_type, metrics_p95_async, metrics_label_values,
@@ -396,6 +434,11 @@ ORACLE_SQL = {
     "log_replay_from": _with(_LOG, 'SELECT position, "offset", id, origin, type, data, timestamp FROM log WHERE position > 700'),
     "log_keyset_page": _with(_LOG, 'SELECT position, "offset", type FROM log WHERE position > 300 ORDER BY position LIMIT 50'),
     "offset_compare": _with(_LOG, 'SELECT position, CAST(sign(position - user_id) AS INTEGER) AS "order", position AS parsed FROM log WHERE event_id < 200'),
+    "log_append_read": _with(
+        _LOG + ", n AS (SELECT *, row_number() OVER (ORDER BY event_id < 500, event_id) AS p FROM log)",
+        """SELECT p AS position, lpad(CAST(p AS VARCHAR), 20, '0') AS "offset", id, origin, type, data, CAST(user_id AS VARCHAR) AS "user" FROM n WHERE p > 100""",
+    ),
+    "log_truncate_read": _with(_LOG, """SELECT CAST(70 AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS again, count(*) - 70 AS "left", lpad('71', 20, '0') AS "first", lpad(CAST(count(*) AS VARCHAR), 20, '0') AS tail FROM log"""),
     "route_by_type": _with(_LOG, "SELECT type, count(*) AS events FROM log GROUP BY type"),
     "filter_predicate": _with(_LOG, "SELECT position, value FROM log WHERE type = 'purchase' AND value > 50"),
     "unknown_type_skip": _with(_LOG, "SELECT type, origin, count(*) AS events FROM log WHERE type IN ('click', 'view', 'nothing') GROUP BY type, origin"),
@@ -426,6 +469,7 @@ ORACLE_SQL = {
     ),
     "state_collection": _with(_LOG, f"SELECT count(*) AS entities, max(position) AS last FROM ({_FOLD}{_ALIVE})"),
     "snapshot_plus_tail": _with(_LOG, _FOLD + _ALIVE),
+    "snapshot_restore": _with(_LOG, f"SELECT * REPLACE (CASE WHEN position <= {SNAPSHOT_AT} THEN {SNAPSHOT_AT} ELSE position END AS position) FROM ({_FOLD}{_ALIVE})"),
     "truncate_survivors": _with(_LOG, f"""SELECT count(*) FILTER (position <= {TRUNCATE_AT}) AS deleted, count(*) FILTER (position > {TRUNCATE_AT}) AS "left", lpad(CAST(max(position) AS VARCHAR), 20, '0') AS tail FROM log"""),
     "account_balance": _with(_LOG, "SELECT user_id, CAST(sum(CASE type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END * CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS balance_cents FROM log GROUP BY user_id"),
     "chunk_offsets": _with(

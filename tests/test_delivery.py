@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtide.operators import delivery, metrics
-from logtide.operators.decode import decode
+from logtide.operators.decode import dead_letters, decode
 from logtide.operators.registry import EventType, RegistryError, TypeRegistry
 from logtide.operators.upcast import UpcastError, Upcasts
 from logtide.sources import chunks
@@ -178,6 +178,16 @@ def test_chunks(spark):
     assert chunks.next_offset(df.where("chunk_start < '5'")).first()[0] == "5"
 
 
+def test_dead_letters_and_observation(spark):
+    from pyspark.sql import Observation
+
+    log = rows(spark, ['{"ID":1}', "[1]"])
+    assert [(r["position"], r["reason"]) for r in dead_letters(log, TEST).collect()] == [(2, "undecodable")]
+    seen = Observation("seen")
+    metrics.observed(log, seen, F.col("data") == "[1]").collect()
+    assert seen.get == {"events": 2, "errors": 1}
+
+
 def test_histogram_quantile(spark):
     df = spark.createDataFrame([(0.2,), (0.3,), (4.0,), (9999.0,)], "v double")
     cells = metrics.buckets(df, F.col("v"), [])

@@ -99,6 +99,26 @@ def test_streamed_fold(parts, tmp_path, spark):
     assert [(r["composite_key"], r["position"], r["deleted"]) for r in out][-1] == ("user/1", 3, True)
 
 
+def test_stream_helpers(parts, tmp_path):
+    log, _, _, event_type = parts
+    append(log, 1, "broken", 3)
+    rows = fl.collect_stream(log.spark, fl.decoded_stream(fl.read_stream(log), event_type), f"{tmp_path}/h")
+    assert [r["event"]["ID"] for r in rows] == [1, 3]
+    tries = []
+
+    class Query:
+        def awaitTermination(self):
+            tries.append(1)
+            if len(tries) < 3:
+                raise RuntimeError("no")
+
+    fl.run_with_retry(Query, least=0.0)
+    assert len(tries) == 3
+    with pytest.raises(RuntimeError):
+        tries.clear()
+        fl.run_with_retry(Query, attempts=2, least=0.0)
+
+
 def test_bus(spark, parts):
     log, _, registry, _ = parts
     bus = Bus(log, registry, origin="me")
