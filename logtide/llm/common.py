@@ -1,29 +1,19 @@
-"""Shared helpers: shared-folder tables, let-binding of Column expressions, text splitting."""
+"""Shared helpers: tables in the shared folder, text splitting."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtide.sources.paths import shared_dir
+
 #: Characters that separate words, as a regular-expression class body and as plain characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="logtide-"))
-    return _own_dir[0]
+_written: list[str] = []
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -31,28 +21,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logtide/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by ``table`` once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for f in df.inputFiles()[:1]:
-        p = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        fs = p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-        if "/logtide/" in p.toString():
-            fs.delete(p, True)
+def release(spark: SparkSession) -> int:
+    """Delete the tables written by this process so far, once no result that reads them is needed any more; their number."""
+    jvm, done = spark._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column) -> Column:
     """The words of a text, split at ASCII white space."""
     return F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda w: w != "")
@@ -60,7 +45,3 @@ def words(text: Column) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def session_conf_int(spark: SparkSession, key: str, default: int) -> int:
-    return int(spark.conf.get(key, str(default)))

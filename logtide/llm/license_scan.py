@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.common import let, lower_ascii
+from logtide.functions.binding import let
+from logtide.llm.common import lower_ascii
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The base phrases with their labels, in words.

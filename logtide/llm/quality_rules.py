@@ -27,7 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import SPACE_CLASS, SPACES, let, table, words
+from logtide.functions.binding import let
+from logtide.llm.common import SPACE_CLASS, SPACES, table, words
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20

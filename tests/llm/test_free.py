@@ -294,3 +294,13 @@ def test_pipeline(spark, tmp_path):
     assert out[24]["text"].endswith(" [SECRET]") and out[24]["n_chars"] == len(out[24]["text"])
     assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in out.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "SentencePiece encoding"]
+
+
+def test_release_deletes_written_tables(spark):
+    import os
+
+    from logtide.llm import common
+
+    path = common.table(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    assert common.release(spark) > 0 and not os.path.exists(path)
