@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.llm.common import table
@@ -49,12 +49,14 @@ CELL_BITS, BLOCKS = 20, 64
 #: First-level groups into which partial sketches are summed.
 SUM_SALTS = 32
 BITMAP = 1024
+#: Shingles that more documents than this may hold are dealt out over several keys.
+HOT = 20_000
 #: Wanted rows up to this many are broadcast to find their texts, more are joined by a shuffle.
 BROADCAST_WANTED = 300_000
-FOLLOWERS_PER_KEY = 500
+FOLLOWERS_PER_KEY = 100
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-_hashes = Remembered(xxhash.xxh64_intdigest)
+_hashes = Remembered(xxhash.xxh64_intdigest, limit=100_000)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -110,7 +112,7 @@ def _sketch(texts: DataFrame) -> np.ndarray:
     partial = texts.mapInArrow(count, "block int, counts binary").withColumn("salt", F.spark_partition_id() % SUM_SALTS)
     once = partial.groupBy("block", "salt").applyInPandas(add, "block int, counts binary")
     total = np.zeros((BLOCKS, part // BLOCKS), np.int64)
-    for row in once.groupBy("block").applyInPandas(add, "block int, counts binary").toLocalIterator():
+    for row in once.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
         total[row["block"]] = np.frombuffer(row["counts"], np.int64)
     return np.minimum(total, 2**31 - 1).astype(np.int32).ravel()
 
@@ -124,29 +126,32 @@ def _described(docs: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = counts.value
         for b in batches:
-            n, sig, grp, prefix, bitmap, rare = [], [], [], [], [], []
+            n, sig, gid, prefix, bitmap, rare, salts = [], [], [], [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py())
                 n.append(len(s))
                 if not len(s):
-                    for x in (sig, grp, prefix, bitmap, rare):
+                    for x in (sig, gid, prefix, bitmap, rare, salts):
                         x.append(None)
                     continue
                 sig.append(_signature(s))
                 keep = len(s) - -(-PERCENT * len(s) // 100) + 1
                 weight = common[_cells(s)]
-                first = s[np.lexsort((s, weight))[:keep]]
+                order = np.lexsort((s, weight))[:keep]
+                first = s[order]
                 prefix.append(first.view(np.int64))
-                grp.append(hashlib.blake2b(first.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest())
+                salts.append(np.where(weight[order] > HOT, weight[order] // (HOT // 2), 0).astype(np.int32))
+                # groups of different prefixes under one number would only mean more candidates
+                gid.append(int.from_bytes(hashlib.blake2b(first.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True))
                 odd = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
                 bitmap.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 rare.append(int(weight.min()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(grp, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.list_(pa.int64())), pa.array(rare, pa.int64())],
-                ["key", "n", "sig", "grp", "prefix", "bitmap", "rare"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(bitmap, pa.list_(pa.int64())), pa.array(rare, pa.int64())],
+                ["key", "n", "sig", "gid", "prefix", "salts", "bitmap", "rare"],
             )
 
-    return rows.mapInArrow(run, f"key {kind}, n long, sig binary, grp binary, prefix array<long>, bitmap array<long>, rare long")
+    return rows.mapInArrow(run, f"key {kind}, n long, sig binary, gid long, prefix array<long>, salts array<int>, bitmap array<long>, rare long")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -232,57 +237,73 @@ def components_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots).distinct()
 
 
-def _first_pairs(classes: DataFrame) -> DataFrame:
-    """One promising pair for every class that has any: with the centre of its group, or that of its group's best bucket."""
-    rank = F.struct(F.col("rare"), F.col("sig"))
-    groups = classes.groupBy("grp").agg(F.max(rank).alias("top"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.max_by("bitmap", rank).alias("bitmap"), F.count(F.lit(1)).alias("size"))
-    groups = table(groups.select("grp", F.col("top.sig").alias("sig"), F.col("top.rare").alias("rare"), "n", "prefix", "bitmap", "size"), "groups")
-    inside = classes.select("grp", F.col("sig").alias("b")).join(groups.where("size > 1").select("grp", F.col("sig").alias("a")), "grp").where("a <> b").select("a", "b")
-    band = F.floor(F.log(F.col("n").cast("double")) / -np.log(PERCENT / 100)).cast("int")
-    slots = groups.select("sig", "n", "rare", band.alias("band"), F.explode("prefix").alias("shingle"))
-    # a group is led by the most central one of its own band of sizes or of the next larger band
-    tops = slots.groupBy("shingle", "band").agg(F.max(F.struct("rare", "sig", "n")).alias("top"), F.count(F.lit(1)).alias("c"))
-    wide = tops.unionByName(tops.withColumn("band", F.col("band") - 1)).groupBy("shingle", "band").agg(F.max("top").alias("top"), F.sum("c").alias("c")).where("c > 1")
-    tried = slots.join(wide, ["shingle", "band"]).where(F.col("top.sig") != F.col("sig")).where(F.struct("rare", "sig") < F.struct(F.col("top.rare"), F.col("top.sig"))).where(_sizes_fit(F.col("n"), F.col("top.n")))
-    votes = tried.groupBy("sig", "n", F.col("top.sig").alias("a"), F.col("top.n").alias("na")).agg(F.count(F.lit(1)).alias("votes"))
-    own = groups.select("sig", "bitmap")
-    other = groups.select(F.col("sig").alias("a"), F.col("bitmap").alias("bitmap_a"))
-    fit = votes.join(own, "sig").join(other, "a").where(_bitmaps_fit("bitmap", "bitmap_a", F.col("n"), F.col("na")))
-    best = fit.groupBy("sig").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
-    return inside.unionByName(best.select("a", F.col("sig").alias("b")))
-
-
-def _cross_pairs(classes: DataFrame, comps: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame) -> DataFrame:
+    """The slots of prefix shingles that more than one group has, each with the most central group of its bucket.
+
+    This is the one shuffle of all prefixes.  Shingles that the sketch knows to be very
+    common are cut into several keys, each with a leader of its own.
+    """
+    groups = rows.where("gid is not null").groupBy("gid").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
+    slot = F.arrays_zip(F.col("prefix").alias("shingle"), F.col("salts").alias("salts"))
+    slots = groups.select("gid", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), F.posexplode(slot).alias("pos", "s"))
+    salted = F.col("s.salts") > 1
+    slots = slots.select("gid", "n", "rare", "pos", F.col("s.shingle").alias("shingle"), F.when(salted, F.pmod(F.col("gid"), F.col("s.salts")).cast("int")).otherwise(F.lit(-1)).alias("salt"))
+    w = Window.partitionBy("shingle", "salt").orderBy(F.desc("rare"), "gid")
+    alone = F.lag("gid").over(w).isNull() & F.lead("gid").over(w).isNull() & (F.col("salt") < 0)
+    top = F.first(F.struct("gid", "n")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    found = slots.withColumn("alone", alone).withColumn("top", top).where("not alone")
+    return table(found.select("shingle", "gid", "n", "pos", F.col("top.gid").alias("a"), F.col("top.n").alias("na")), "shared")
+
+
+def _first_pairs(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """One promising pair for every class that has any: with the head of its group, or that of the group that leads most of its group's buckets."""
+    heads = table(classes.groupBy("gid").agg(F.min("sig").alias("sig"), F.min_by("bitmap", "sig").alias("bitmap")), "heads")
+    inside = classes.select("gid", F.col("sig").alias("b")).join(heads.select("gid", F.col("sig").alias("a")), "gid").where("a <> b").select("a", "b")
+    tried = shared.where(F.col("a") != F.col("gid")).where(_sizes_fit(F.col("n"), F.col("na")))
+    votes = tried.groupBy("gid", "n", "a", "na").agg(F.count(F.lit(1)).alias("votes"))
+    own = heads.select("gid", "bitmap", F.col("sig").alias("sig_b"))
+    other = heads.select(F.col("gid").alias("a"), F.col("bitmap").alias("bitmap_a"), F.col("sig").alias("sig_a"))
+    fit = votes.join(own, "gid").join(other, "a").where(_bitmaps_fit("bitmap", "bitmap_a", F.col("n"), F.col("na")))
+    best = fit.groupBy("sig_b").agg(F.max_by("sig_a", F.struct("votes", "a")).alias("a"))
+    return inside.unionByName(best.select("a", F.col("sig_b").alias("b")))
+
+
+def _cross_pairs(classes: DataFrame, shared: DataFrame, comps: DataFrame) -> DataFrame:
     """All pairs of classes of different components that share a prefix shingle and pass the bounds."""
     named = classes.join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    named = table(named.select("sig", "grp", "comp", "n", "prefix", "bitmap"), "named")
-    units = named.groupBy("grp", "comp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    slots = units.select("grp", "comp", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    named = table(named.select("sig", "gid", "comp", "n", "bitmap"), "named")
+    slots = shared.select("shingle", "gid", "n", "pos").join(named.select("gid", "comp").distinct(), "gid")
+    slots = table(slots, "slots")
+    # shingles of one component only have nothing more to give
     mixed = slots.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
     slots = table(slots.join(mixed, "shingle"), "slots")
-    ranges = slots.groupBy("shingle", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    ranges = slots.groupBy("shingle", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
     x, y = ranges.alias("x"), ranges.alias("y")
-    meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") < F.col("y.comp")) & (100 * F.col("x.high") >= PERCENT * F.col("y.low")) & (100 * F.col("y.high") >= PERCENT * F.col("x.low")))
+    # bounds that some pair of members must pass; exact where a component has one group in the bucket
+    sizes = (100 * F.col("x.high") >= PERCENT * F.col("y.low")) & (100 * F.col("y.high") >= PERCENT * F.col("x.low"))
+    room = F.least(F.col("x.high") - F.col("x.pos"), F.col("y.high") - F.col("y.pos")) >= _overlap(F.col("x.low"), F.col("y.low"))
+    meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") < F.col("y.comp")) & sizes & room)
     meet = meet.select(F.col("x.shingle").alias("shingle"), F.col("x.comp").alias("comp"), F.col("y.comp").alias("comp_b"))
-    one = meet.join(slots, ["shingle", "comp"]).select("shingle", F.col("comp").alias("comp_a"), F.col("comp_b").alias("comp"), F.col("grp").alias("grp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
+    one = meet.join(slots, ["shingle", "comp"]).select("shingle", F.col("comp").alias("comp_a"), F.col("comp_b").alias("comp"), F.col("gid").alias("gid_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
     two = one.join(slots, ["shingle", "comp"])
     room = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n_a") - 1 - F.col("pos_a"))
     two = two.where(_sizes_fit(F.col("n"), F.col("n_a")) & (room >= _overlap(F.col("n"), F.col("n_a"))))
-    groups = two.select("grp_a", "comp_a", F.col("grp").alias("grp_b"), F.col("comp").alias("comp_b")).distinct()
-    a = named.select(F.col("grp").alias("grp_a"), F.col("comp").alias("comp_a"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bitmap_a"))
-    b = named.select(F.col("grp").alias("grp_b"), F.col("comp").alias("comp_b"), F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bitmap_b"))
-    pairs = groups.join(a, ["grp_a", "comp_a"]).join(b, ["grp_b", "comp_b"])
+    groups = two.select("gid_a", "comp_a", F.col("gid").alias("gid_b"), F.col("comp").alias("comp_b")).distinct()
+    a = named.select(F.col("gid").alias("gid_a"), F.col("comp").alias("comp_a"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bitmap_a"))
+    b = named.select(F.col("gid").alias("gid_b"), F.col("comp").alias("comp_b"), F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bitmap_b"))
+    pairs = groups.join(a, ["gid_a", "comp_a"]).join(b, ["gid_b", "comp_b"])
     return pairs.where(_bitmaps_fit("bitmap_a", "bitmap_b", F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def _classified(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows with their class, and (sig, component_id) of every class."""
     rows = table(_described(docs, key), "shingled")
-    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("key").alias("name"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("rare").alias("rare"))
+    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("key").alias("name"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bitmap").alias("bitmap"))
     classes = table(classes, "classes")
-    links = _verified(docs, key, classes, _first_pairs(classes))
+    shared = _shared(rows)
+    links = _verified(docs, key, classes, _first_pairs(classes, shared))
     comps = components_of(links)
-    more = _verified(docs, key, classes, _cross_pairs(classes, comps))
+    more = _verified(docs, key, classes, _cross_pairs(classes, shared, comps))
     comps = components_of(links.unionByName(more))
     named = classes.select("sig", "name").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = named.groupBy("comp").agg(F.min("name").alias("component_id"))
