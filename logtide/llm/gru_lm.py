@@ -19,8 +19,9 @@ grows with the corpus); counts, vocabulary and all scores take every document.
 Scoring carries the state across windows through each whole document.  Documents
 are laid end to end in parallel lanes, long ones first.
 
-Words beyond the ``KNOWN`` most frequent, whose number grows with the corpus, are
-scored by a join with the counts; only the fixed-size head is sent to executors.
+Words beyond the (at most ``KNOWN``) most frequent, whose number grows with the
+corpus, are scored by a join with the counts; only the bounded head is sent to
+executors.
 
 Defined results: null text counts as empty (its only token is the end mark); a null
 id counts as the empty text for the hash; repeated rows are scored alike; an empty
@@ -308,6 +309,27 @@ def counts_of(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int | None = None) -> list[tuple[bytes, int]]:
+    """The most frequent tokens, at most ``most`` of them, by falling count.
+
+    Whole bins of counts (octaves cut in eight) are taken from the top while they fit,
+    so what reaches the driver is bounded however many tasks hold counts.
+    """
+    most = KNOWN if most is None else most
+    bin_ = F.floor(F.log2("c") * 8)
+    bins = counts.groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()
+    least, room = None, most
+    for r in bins:
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["b"]
+    if least is None:
+        return []
+    rows = counts.where(bin_ >= least).collect()
+    return sorted(((bytes(r["token"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def _train_round(net: Network, words: Words, texts: DataFrame) -> Network:
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast((net, words))
@@ -338,7 +360,7 @@ def _train_round(net: Network, words: Words, texts: DataFrame) -> Network:
     # summed in two levels, so that no task and not the driver holds more than a few dozen networks at once
     once = rows.groupBy("salt").applyInPandas(add, "salt int, sums binary, n long")
     total, done = np.zeros(n), 0
-    for r in once.toLocalIterator():
+    for r in once.collect():
         total += np.frombuffer(r["sums"])
         done += r["n"]
     return net.unpacked(total / done) if done else net
@@ -350,8 +372,7 @@ def fit(docs: DataFrame, key: str = "doc_id") -> tuple[Network, Words, DataFrame
     training = docs.where(crc % HELD_OUT != 0)
     counts = table(counts_of(training.select("text")), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = [(bytes(r["token"]), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(KNOWN).collect()]
-    words = Words(top, total["n"] or 0, total["v"])
+    words = Words(frequent(counts), total["n"] or 0, total["v"])
     net = Network.fresh(words.network_counts)
     for k in range(ROUNDS):
         share = F.floor(crc / HELD_OUT) % (STEP_SHARE * ROUNDS) == k
