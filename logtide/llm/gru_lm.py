@@ -10,11 +10,11 @@ The output softmax is factored: words are put by rank of frequency into classes
 ``CLASS`` words, and a word's probability is that of its class times that of the
 word within its class.  Output biases start at the counts, weights at small fixed
 random numbers.  Training is truncated backpropagation in windows of ``WINDOW``
-tokens, the state carried from window to window and reset between documents.  Each
-task trains on its own documents from the common weights, and the weights are
-averaged by tokens trained on; ``ROUNDS`` times.  Gradient steps take one document
-in ``STEP_SHARE`` of the training documents (by a hash of the id, so their number
-grows with the corpus); counts, vocabulary and all scores take every document.
+tokens, the state carried from window to window and reset between documents; lanes
+are equally long, so that no long document is left to make steps alone.  Each task trains on its own documents from the common weights, and the weights are
+averaged by tokens trained on; ``ROUNDS`` times.  The rounds deal the training
+documents among them by a hash of the id, so every one makes gradient steps in
+exactly one round; counts, vocabulary and all scores take every document as well.
 
 Scoring carries the state across windows through each whole document.  Documents
 are laid end to end in parallel lanes, long ones first.
@@ -45,8 +45,10 @@ VOCABULARY, CLASS = 4096, 64
 KNOWN = 131_072
 HIDDEN = 16
 WINDOW, LANES = 16, 64
+#: Few tokens are laid in fewer lanes, so that they still make about so many steps.
+LEAST_STEPS = 100
 SCORE_WINDOW, SCORE_LANES, SCORE_TOKENS = 32, 512, 1_500_000
-STEP_SHARE, ROUNDS = 8, 2
+ROUNDS = 2
 RATE = 0.005
 HELD_OUT = 10
 FLUSH = 400_000
@@ -225,18 +227,54 @@ def _inputs(targets: np.ndarray, fresh: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def stream(net: Network, docs: list[np.ndarray], end: int, width: int, window: int):
+    """Documents end to end, cut into lanes of equal length: (time, lane) arrays of inputs, targets, mask and starts, and the lanes' first states.
+
+    Equal lanes keep every step full, so a long document does not go on alone with
+    steps of its own.  Where a cut falls inside a document, the lane begins with the
+    state that ``net`` has after all of the document before it.
+    """
+    flat = np.concatenate(docs)
+    starts = np.cumsum([0, *map(len, docs[:-1])])
+    length = max(-(-len(flat) // width), window)
+    n = -(-len(flat) // length)
+
+    def laid(x, kind):
+        out = np.zeros(n * length, kind)
+        out[: len(flat)] = x
+        return np.ascontiguousarray(out.reshape(n, length).T)
+
+    first = np.zeros(len(flat), np.float32)
+    first[starts] = 1
+    before = np.roll(flat, 1)
+    before[starts] = end
+    h = np.zeros((n, net.w["wh"].shape[0]), np.float32)
+    cuts = np.arange(1, n) * length
+    owner = starts[np.searchsorted(starts, cuts, side="right") - 1]
+    # (first, length) of what has to be read before each cut, long ones first; a document cut more than once is read to each cut
+    lead = sorted(((int(c - o), int(o), i) for i, (c, o) in enumerate(zip(cuts, owner), 1) if c > o), reverse=True)
+    table_ = net.w["embed"] @ net.w["wx"] + net.w["bias"]
+    at = np.zeros((len(lead), h.shape[1]), np.float32)
+    for t in range(lead[0][0] if lead else 0):
+        live = sum(k > t for k, _, _ in lead)
+        now = before[[o + t for _, o, _ in lead[:live]]][None]
+        _, at[:live], _ = net.states(now, np.zeros((1, live), np.float32), at[:live], table=table_)
+    for x, (_, _, i) in zip(at, lead):
+        h[i] = x
+    return laid(before, np.int32), laid(flat, np.int32), laid(1, bool), laid(first, np.float32), h
+
+
 def train(net: Network, docs: list[np.ndarray], end: int, rate: float = RATE, window: int = WINDOW, width: int = LANES) -> tuple[Network, int]:
     """One pass of truncated backpropagation over ``docs`` (arrays of word numbers); also the number of tokens."""
-    targets, fresh, rows = lanes(docs, width)
-    inputs = _inputs(targets, fresh, end)
+    width = min(width, max(sum(map(len, docs)) // (window * LEAST_STEPS), 1))
+    inputs, targets, used, fresh, h = stream(net, docs, end, width, window)
     net = net.unpacked(net.packed())
     first = {k: np.zeros_like(v) for k, v in net.w.items()}
     second = {k: np.zeros_like(v) for k, v in net.w.items()}
-    h = np.zeros((targets.shape[1], net.w["wh"].shape[0]), np.float32)
     for step, t in enumerate(range(0, len(targets), window), 1):
         part = slice(t, t + window)
-        mask = rows[part] >= 0
-        live = int(mask[0].sum())  # lanes come by falling length
+        mask = used[part]
+        live = int(mask[0].sum())  # only the last lane may be shorter
         cut = (part, slice(0, live))
         h = h[:live]
         _, grads, h = net.gradients(inputs[cut], targets[cut], mask[:, :live], fresh[cut], h)
@@ -246,7 +284,7 @@ def train(net: Network, docs: list[np.ndarray], end: int, rate: float = RATE, wi
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g * g - second[k])
             net.w[k] -= (rate / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
-    return net, int((rows >= 0).sum())
+    return net, int(used.sum())
 
 
 def log_probabilities(net: Network, docs: list[np.ndarray], end: int, width: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
@@ -375,7 +413,7 @@ def fit(docs: DataFrame, key: str = "doc_id") -> tuple[Network, Words, DataFrame
     words = Words(frequent(counts), total["n"] or 0, total["v"])
     net = Network.fresh(words.network_counts)
     for k in range(ROUNDS):
-        share = F.floor(crc / HELD_OUT) % (STEP_SHARE * ROUNDS) == k
+        share = F.floor(crc / HELD_OUT) % ROUNDS == k
         net = _train_round(net, words, training.where(share).select("text"))
     return net, words, counts
 

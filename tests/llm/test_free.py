@@ -200,6 +200,29 @@ def test_scores(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # better than the counts on texts not seen
 
 
+def test_every_training_document_makes_gradient_steps(spark, monkeypatch):
+    rounds = []
+    real = gru_lm._train_round
+    monkeypatch.setattr(gru_lm, "_train_round", lambda net, words, texts: rounds.append([r["text"] for r in texts.collect()]) or real(net, words, texts))
+    gru_lm.fit(spark.createDataFrame([(i, f"word{i} alpha") for i in range(400)], "doc_id long, text string"))
+    training = [f"word{i} alpha" for i in range(400) if zlib.crc32(str(i).encode()) % 10]
+    assert sorted(t for texts in rounds for t in texts) == sorted(training)
+    assert all(rounds) and len(rounds) == gru_lm.ROUNDS
+
+
+def test_training_lanes_hold_every_token_with_its_state():
+    net = gru_lm.Network.fresh(np.array([1.0, 5, 4, 3, 2]), hidden=4, size=3)
+    docs = [np.array([2, 3, 4, 1, 2, 3, 2, 2, 4, 1]), np.array([3, 1]), np.array([4, 2, 3, 3, 2, 1]), np.array([1])]
+    inputs, targets, used, fresh, h = gru_lm.stream(net, docs, 1, 4, 3)
+    assert targets.T[used.T].tolist() == np.concatenate(docs).tolist() and fresh.sum() == len(docs)
+    whole = []
+    for d in docs:
+        states, _, _ = net.states(gru_lm._inputs(d[:, None], np.eye(len(d))[:, :1], 1), np.eye(len(d), dtype=np.float32)[:, :1], np.zeros((1, 4), np.float32))
+        whole.append(states[:, 0])
+    states, _, _ = net.states(inputs, fresh, h)
+    assert np.allclose(states.transpose(1, 0, 2)[used.T], np.concatenate(whole), atol=1e-6)
+
+
 def test_scores_without_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert gru_lm.score(df).count() == 0
