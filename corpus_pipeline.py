@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), where docs is what the stage before it
 kept, and its result is written as Parquet and read again for the next one:
 
 quality rules            rejected documents go
-n-gram Jaccard join      one document of each group of near copies stays
+n-gram Jaccard join      one document of each group of near copies stays (five words, 0.8)
 benchmark decontamination  documents that hold a benchmark item go
 secret scans             secrets are masked in the text
 SentencePiece encoding   every text gets its ids
@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, gram=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by grouped prefixes, and the components of its links.
 
-A document is the set of its distinct three-word shingles (64-bit hashes).  Two
-documents link when the intersection holds at least 0.9 of the union.
+A document is the set of its distinct shingles of ``gram`` words (64-bit hashes).  Two
+documents link when the intersection holds at least ``percent`` of the union; three
+words and 90 unless the caller says otherwise.
 
 1. A count sketch of fixed size, summed over all documents, orders shingles from
    rare to common; any order is correct, this one keeps common passages out of
@@ -23,7 +24,8 @@ by shuffles that Spark splits where they are skewed; a leader with many follower
 copied to several keys.  Verification streams: it holds one leader's set at a time.
 
 Defined results: null or wordless texts have no shingles and link with nothing (their
-component is their own id); a text of one or two words is one shingle; repeated
+component is their own id); a text of fewer words than a
+shingle is one shingle; repeated
 rows and equal ids are separate rows of one class; null ids never name a component
 unless nothing else can; an empty table gives an empty result; other columns are
 ignored by ``components`` and kept by ``one_of_each``.
@@ -43,8 +45,8 @@ from pyspark.sql import functions as F
 from logtide.llm.common import table
 from logtide.llm.pieces import Remembered
 
-PERCENT = 90
-GRAM = 3
+#: What links unless the caller says otherwise.
+GRAM, PERCENT = 3, 90
 CELL_BITS, BLOCKS = 20, 64
 #: First-level groups into which partial sketches are summed.
 SUM_SALTS = 32
@@ -59,27 +61,26 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 _hashes = Remembered(xxhash.xxh64_intdigest, limit=100_000)
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, gram: int = GRAM) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a text."""
     ws = (text or "").encode().lower().split()
     if not ws:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
-    if len(ws) < GRAM:
-        mixed = np.array([len(ws)], np.uint64)
-        for x in h:
-            mixed = (mixed ^ x) * _MIX[0]
-    else:
-        mixed = h[:-2] * _MIX[0] + np.bitwise_xor(h[1:-1], h[1:-1] >> np.uint64(29)) * _MIX[1] + np.bitwise_xor(h[2:], h[2:] >> np.uint64(31)) * _MIX[2]
+    size = min(gram, len(ws))
+    mixed = np.full(len(ws) - size + 1, size, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ h[k : len(ws) - size + 1 + k]) * _MIX[0]
+        mixed ^= mixed >> np.uint64(29)
     mixed ^= mixed >> np.uint64(32)
     mixed *= _MIX[1]
     mixed ^= mixed >> np.uint64(29)
     return np.unique(mixed)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _cells(s: np.ndarray) -> np.ndarray:
@@ -90,7 +91,7 @@ def _signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _sketch(texts: DataFrame) -> np.ndarray:
+def _sketch(texts: DataFrame, gram: int = GRAM) -> np.ndarray:
     """How many documents hold a shingle of each cell."""
     part = 1 << CELL_BITS
 
@@ -99,7 +100,7 @@ def _sketch(texts: DataFrame) -> np.ndarray:
         some = False
         for b in batches:
             for t in b.column(0):
-                np.add.at(cells, _cells(shingles(t.as_py())), 1)
+                np.add.at(cells, _cells(shingles(t.as_py(), gram)), 1)
                 some = True
         if some:
             rows = cells.reshape(BLOCKS, -1)
@@ -117,10 +118,10 @@ def _sketch(texts: DataFrame) -> np.ndarray:
     return np.minimum(total, 2**31 - 1).astype(np.int32).ravel()
 
 
-def _described(docs: DataFrame, key: str) -> DataFrame:
+def _described(docs: DataFrame, key: str, gram: int, percent: int) -> DataFrame:
     """Per row: size, class, group, ordered prefix, parity bitmap, and how common its rarest shingle is."""
     rows = docs.select(docs[key].alias("key"), docs["text"].alias("text"))
-    counts = docs.sparkSession.sparkContext.broadcast(_sketch(rows.select("text")))
+    counts = docs.sparkSession.sparkContext.broadcast(_sketch(rows.select("text"), gram))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +129,14 @@ def _described(docs: DataFrame, key: str) -> DataFrame:
         for b in batches:
             n, sig, gid, prefix, bitmap, rare, salts = [], [], [], [], [], [], []
             for t in b.column(1):
-                s = shingles(t.as_py())
+                s = shingles(t.as_py(), gram)
                 n.append(len(s))
                 if not len(s):
                     for x in (sig, gid, prefix, bitmap, rare, salts):
                         x.append(None)
                     continue
                 sig.append(_signature(s))
-                keep = len(s) - -(-PERCENT * len(s) // 100) + 1
+                keep = len(s) - -(-percent * len(s) // 100) + 1
                 weight = common[_cells(s)]
                 order = np.lexsort((s, weight))[:keep]
                 first = s[order]
@@ -154,22 +155,22 @@ def _described(docs: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, n long, sig binary, gid long, prefix array<long>, salts array<int>, bitmap array<long>, rare long")
 
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
+def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
+    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def _overlap(a: Column, b: Column) -> Column:
+def _overlap(a: Column, b: Column, percent: int) -> Column:
     """Least intersection of linked sets of these sizes."""
-    return F.ceil(F.lit(PERCENT) * (a + b) / F.lit(100.0 + PERCENT) - 1e-9)
+    return F.ceil(F.lit(percent) * (a + b) / F.lit(100.0 + percent) - 1e-9)
 
 
-def _bitmaps_fit(x: str, y: str, a: Column, b: Column) -> Column:
+def _bitmaps_fit(x: str, y: str, a: Column, b: Column, percent: int) -> Column:
     """Parities differ in at most as many bits as the sets differ in elements."""
     bits = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITMAP // 64)), F.lit(0))
-    return bits <= (a + b - 2 * _overlap(a, b))
+    return bits <= (a + b - 2 * _overlap(a, b, percent))
 
 
-def _verified(docs: DataFrame, key: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, key: str, classes: DataFrame, pairs: DataFrame, gram: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link; each class ``a`` leads the classes paired with it."""
     spark = docs.sparkSession
     pairs = table(pairs.select("a", "b").distinct(), "pairs")
@@ -193,14 +194,14 @@ def _verified(docs: DataFrame, key: str, classes: DataFrame, pairs: DataFrame) -
             a, b = [], []
             for x, salt, role, sig, text in zip(*(batch.column(i) for i in range(5))):
                 at, sig = (x.as_py(), salt.as_py()), sig.as_py()
-                s = shingles(text.as_py())
+                s = shingles(text.as_py(), gram)
                 if _signature(s) != sig:  # another text under the same id
                     continue
                 if at != now:
                     now, lead, seen = at, None, None
                 if role.as_py() == 0:
                     lead = s
-                elif sig != seen and lead is not None and linked(lead, s):
+                elif sig != seen and lead is not None and linked(lead, s, percent):
                     seen = sig
                     a.append(at[0])
                     b.append(sig)
@@ -255,20 +256,20 @@ def _shared(rows: DataFrame) -> DataFrame:
     return table(found.select("shingle", "gid", "n", "pos", F.col("top.gid").alias("a"), F.col("top.n").alias("na")), "shared")
 
 
-def _first_pairs(classes: DataFrame, shared: DataFrame) -> DataFrame:
+def _first_pairs(classes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """One promising pair for every class that has any: with the head of its group, or that of the group that leads most of its group's buckets."""
     heads = table(classes.groupBy("gid").agg(F.min("sig").alias("sig"), F.min_by("bitmap", "sig").alias("bitmap")), "heads")
     inside = classes.select("gid", F.col("sig").alias("b")).join(heads.select("gid", F.col("sig").alias("a")), "gid").where("a <> b").select("a", "b")
-    tried = shared.where(F.col("a") != F.col("gid")).where(_sizes_fit(F.col("n"), F.col("na")))
+    tried = shared.where(F.col("a") != F.col("gid")).where(_sizes_fit(F.col("n"), F.col("na"), percent))
     votes = tried.groupBy("gid", "n", "a", "na").agg(F.count(F.lit(1)).alias("votes"))
     own = heads.select("gid", "bitmap", F.col("sig").alias("sig_b"))
     other = heads.select(F.col("gid").alias("a"), F.col("bitmap").alias("bitmap_a"), F.col("sig").alias("sig_a"))
-    fit = votes.join(own, "gid").join(other, "a").where(_bitmaps_fit("bitmap", "bitmap_a", F.col("n"), F.col("na")))
+    fit = votes.join(own, "gid").join(other, "a").where(_bitmaps_fit("bitmap", "bitmap_a", F.col("n"), F.col("na"), percent))
     best = fit.groupBy("sig_b").agg(F.max_by("sig_a", F.struct("votes", "a")).alias("a"))
     return inside.unionByName(best.select("a", F.col("sig_b").alias("b")))
 
 
-def _cross_pairs(classes: DataFrame, shared: DataFrame, comps: DataFrame) -> DataFrame:
+def _cross_pairs(classes: DataFrame, shared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of different components that share a prefix shingle and pass the bounds."""
     named = classes.join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     named = table(named.select("sig", "gid", "comp", "n", "bitmap"), "named")
@@ -280,46 +281,46 @@ def _cross_pairs(classes: DataFrame, shared: DataFrame, comps: DataFrame) -> Dat
     ranges = slots.groupBy("shingle", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
     x, y = ranges.alias("x"), ranges.alias("y")
     # bounds that some pair of members must pass; exact where a component has one group in the bucket
-    sizes = (100 * F.col("x.high") >= PERCENT * F.col("y.low")) & (100 * F.col("y.high") >= PERCENT * F.col("x.low"))
-    room = F.least(F.col("x.high") - F.col("x.pos"), F.col("y.high") - F.col("y.pos")) >= _overlap(F.col("x.low"), F.col("y.low"))
+    sizes = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
+    room = F.least(F.col("x.high") - F.col("x.pos"), F.col("y.high") - F.col("y.pos")) >= _overlap(F.col("x.low"), F.col("y.low"), percent)
     meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") < F.col("y.comp")) & sizes & room)
     meet = meet.select(F.col("x.shingle").alias("shingle"), F.col("x.comp").alias("comp"), F.col("y.comp").alias("comp_b"))
     one = meet.join(slots, ["shingle", "comp"]).select("shingle", F.col("comp").alias("comp_a"), F.col("comp_b").alias("comp"), F.col("gid").alias("gid_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
     two = one.join(slots, ["shingle", "comp"])
     room = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n_a") - 1 - F.col("pos_a"))
-    two = two.where(_sizes_fit(F.col("n"), F.col("n_a")) & (room >= _overlap(F.col("n"), F.col("n_a"))))
+    two = two.where(_sizes_fit(F.col("n"), F.col("n_a"), percent) & (room >= _overlap(F.col("n"), F.col("n_a"), percent)))
     groups = two.select("gid_a", "comp_a", F.col("gid").alias("gid_b"), F.col("comp").alias("comp_b")).distinct()
     a = named.select(F.col("gid").alias("gid_a"), F.col("comp").alias("comp_a"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bitmap_a"))
     b = named.select(F.col("gid").alias("gid_b"), F.col("comp").alias("comp_b"), F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bitmap_b"))
     pairs = groups.join(a, ["gid_a", "comp_a"]).join(b, ["gid_b", "comp_b"])
-    return pairs.where(_bitmaps_fit("bitmap_a", "bitmap_b", F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return pairs.where(_bitmaps_fit("bitmap_a", "bitmap_b", F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def _classified(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def _classified(docs: DataFrame, key: str, gram: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their class, and (sig, component_id) of every class."""
-    rows = table(_described(docs, key), "shingled")
+    rows = table(_described(docs, key, gram, percent), "shingled")
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min("key").alias("name"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bitmap").alias("bitmap"))
     classes = table(classes, "classes")
     shared = _shared(rows)
-    links = _verified(docs, key, classes, _first_pairs(classes, shared))
+    links = _verified(docs, key, classes, _first_pairs(classes, shared, percent), gram, percent)
     comps = components_of(links)
-    more = _verified(docs, key, classes, _cross_pairs(classes, shared, comps))
+    more = _verified(docs, key, classes, _cross_pairs(classes, shared, comps, percent), gram, percent)
     comps = components_of(links.unionByName(more))
     named = classes.select("sig", "name").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = named.groupBy("comp").agg(F.min("name").alias("component_id"))
     return rows, named.join(least, "comp").select("sig", "component_id")
 
 
-def components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def components(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Size of the shingle set and component of every row of ``docs`` (key, text)."""
-    rows, classes = _classified(docs, key)
+    rows, classes = _classified(docs, key, gram, percent)
     out = rows.select("key", "n", "sig").join(classes, "sig", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id names their component, and those without shingles; rows of one id stand or fall together."""
-    rows = table(components(docs, key), "components")
+    rows = table(components(docs, key, gram, percent), "components")
     drop = rows.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("drop_key")).distinct()
     small = drop.count() <= BROADCAST_WANTED
     return docs.join(F.broadcast(drop) if small else drop, docs[key].eqNullSafe(drop["drop_key"]), "left_anti")

@@ -45,7 +45,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(load(spark, sf_dir, "documents"))
+    return ngram_join.components(load(spark, sf_dir, "documents"), gram=3, percent=90)
 
 
 QUERIES = {

@@ -299,6 +299,21 @@ def test_connected_components(spark):
     assert {got[f"{i:03d}"] for i in range(21)} == {"000"} and {got[f"{i:03d}"] for i in range(21, 41)} == {"021"} and got["500"] == "000" and got["701"] == "700"
 
 
+def test_near_copies_of_the_pipeline_stage(spark):
+    rows = []
+    for i in range(8):
+        ws = sentence(100, 3000)
+        rows += [(3 * i, " ".join(ws)), (3 * i + 1, " ".join(ws[:50] + [f"new{i}"] + ws[51:])), (3 * i + 2, " ".join(ws[:20] + ["x"] + ws[21:80] + ["z"] + ws[81:]))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert kept == sorted(set(comp)) and len(kept) < len(ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 # ---- pipeline
 
 
