@@ -270,7 +270,10 @@ def _first_pairs(classes: DataFrame, shared: DataFrame, percent: int) -> DataFra
 
 
 def _cross_pairs(classes: DataFrame, shared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes of different components that share a prefix shingle and pass the bounds."""
+    """All pairs of classes of different components that share a prefix shingle and pass the bounds.
+
+    Those of one group share all of its prefix, also where no other group has a shingle of it.
+    """
     named = classes.join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     named = table(named.select("sig", "gid", "comp", "n", "bitmap"), "named")
     slots = shared.select("shingle", "gid", "n", "pos").join(named.select("gid", "comp").distinct(), "gid")
@@ -289,7 +292,10 @@ def _cross_pairs(classes: DataFrame, shared: DataFrame, comps: DataFrame, percen
     two = one.join(slots, ["shingle", "comp"])
     room = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n_a") - 1 - F.col("pos_a"))
     two = two.where(_sizes_fit(F.col("n"), F.col("n_a"), percent) & (room >= _overlap(F.col("n"), F.col("n_a"), percent)))
-    groups = two.select("gid_a", "comp_a", F.col("gid").alias("gid_b"), F.col("comp").alias("comp_b")).distinct()
+    groups = two.select("gid_a", "comp_a", F.col("gid").alias("gid_b"), F.col("comp").alias("comp_b"))
+    parts = named.select("gid", "comp").distinct()
+    inside = parts.select(F.col("gid").alias("gid_a"), F.col("comp").alias("comp_a")).join(parts.select(F.col("gid").alias("gid_b"), F.col("comp").alias("comp_b")), F.expr("gid_a = gid_b AND comp_a < comp_b"))
+    groups = groups.unionByName(inside).distinct()
     a = named.select(F.col("gid").alias("gid_a"), F.col("comp").alias("comp_a"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bitmap_a"))
     b = named.select(F.col("gid").alias("gid_b"), F.col("comp").alias("comp_b"), F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bitmap_b"))
     pairs = groups.join(a, ["gid_a", "comp_a"]).join(b, ["gid_b", "comp_b"])

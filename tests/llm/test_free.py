@@ -287,6 +287,20 @@ def test_components_of_hot_keys(spark, monkeypatch):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_links_inside_a_group_without_its_head(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_sketch", lambda texts, *_: np.zeros(1 << ngram_join.CELL_BITS, np.int32))
+    for k in range(10_000):  # equal first shingles, and least digest for the one that links with neither
+        base = [f"w{k}x{i}" for i in range(42)]
+        texts = [" ".join(ws) for ws in (base[:14] + ["p"] + base[15:28] + ["q"] + base[29:], base, base[:-1] + ["r"])]
+        sets = [ngram_join.shingles(t) for t in texts]
+        sigs = [ngram_join._signature(s) for s in sets]
+        if len({s[:5].tobytes() for s in sets}) == 1 and sigs[0] == min(sigs):
+            break
+    assert [ngram_join.linked(sets[i], sets[j]) for i, j in ((0, 1), (0, 2), (1, 2))] == [False, False, True]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.components(df).collect()} == {0: 0, 1: 1, 2: 1}
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.components(df).count() == 0 == ngram_join.one_of_each(df).count()
