@@ -13,6 +13,9 @@ from logtide.sources.paths import shared_dir
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Groups up to this many are broadcast to the rows that look them up; keys of more rows than the second number are never shuffled.
+FEW_GROUPS, LARGE_GROUP = 200_000, 10_000
+
 _written: list[str] = []
 
 
@@ -34,6 +37,24 @@ def release(spark: SparkSession) -> int:
     return done
 
 
+def join_by_count(rows: DataFrame, groups: DataFrame, key: str, few: int = FEW_GROUPS, large: int = LARGE_GROUP) -> DataFrame:
+    """``rows`` left-joined to ``groups`` (a written table of one row per key with ``n``, the rows of that key, which is dropped).
+
+    Up to ``few`` groups are broadcast.  Of more, those of more than ``large`` rows, or
+    of more than a ``few``-th of all, are: they cannot be many, and with them gone no key left is hot, so the rest is
+    an ordinary shuffled join.
+    """
+    total = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if total[0] <= few:
+        return rows.join(F.broadcast(groups.drop("n")), key, "left")
+    hot = F.col("n") > max(large, (total[1] or 0) // few)
+    mark = "hot_key_of_join"
+    tagged = rows.join(F.broadcast(groups.where(hot).drop("n").withColumn(mark, F.lit(True))), key, "left")
+    first = tagged.where(F.col(mark)).drop(mark)
+    rest = tagged.where(F.col(mark).isNull()).select(*rows.columns).join(groups.where(~hot).drop("n"), key, "left")
+    return first.unionByName(rest)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,9 @@ equals that of a page with a greater id, a ``revisit`` that refers to the page
 with the greatest id.  A block longer than ``segment_bytes`` is cut into a first
 segment and ``continuation`` records.  Records go to gzip-compressed files through
 Spark's text writer with the record terminator as line separator, so any file
-system that Spark can write to will do.
+system that Spark can write to will do.  Payloads are not shuffled by their digest
+while the repeated digests are few enough to broadcast; beyond that, the digests of
+large groups are still broadcast, and only the rest are shuffled.
 
 Reading.  Lines come back in file order, so a record's block is as many of them as
 its Content-Length says, whatever the payload contains.  Whole records are decoded
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import table
+from logtide.llm.common import join_by_count, table
 from logtide.sources.paths import shared_dir
 
 MIN_REVISIT = 1000
@@ -123,6 +125,8 @@ def records(page_id: str | None, url: str | None, payload: bytes, digest: str, r
     if len(block) <= segment_bytes:
         return [_record(first, block)]
     pieces = segments(block, segment_bytes)
+    if len(pieces) == 1:  # what is beyond the limit is line breaks, which stay with the piece before them
+        return [_record(first, block)]
     out = [_record([*first, ("WARC-Segment-Number", 1)], pieces[0])]
     for n, piece in enumerate(pieces[1:], 2):
         fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(f"{own}#{n}", digest)), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n)]
@@ -137,7 +141,7 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk
     html = F.coalesce(pages["html"], F.lit(""))
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
     same = rows.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
-    joined = rows.join(same.where("n > 1").drop("n"), "digest", "left")
+    joined = join_by_count(rows, table(same.where("n > 1"), "warc-same"), "digest")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     joined = joined.select(F.col("page_id").cast("string"), "url", F.when(~revisit, F.col("html")).alias("html"), "digest", F.when(revisit, F.col("response").cast("string")).alias("refers_to"))
 
@@ -255,8 +259,10 @@ def read(spark, path: str, page_type: str = "bigint") -> DataFrame:
     pages = table(by_origin.drop("origin").mapInArrow(_join, _PAGE), "warc-pages")
     pages = pages.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     responses = pages.where("type = 'response'")
-    sizes = responses.groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = pages.where("type = 'revisit'").drop("payload_bytes").join(sizes, "digest")
+    revisits = pages.where("type = 'revisit'").drop("payload_bytes")
+    wanted = revisits.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    sizes = responses.groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes")).join(wanted, "digest")
+    revisits = join_by_count(revisits, table(sizes, "warc-sizes"), "digest")
     every = responses.unionByName(revisits.select(*responses.columns))
     return every.select(
         F.col("page_id").cast(page_type).alias("page_id"),

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logtide.llm import decontaminate, gru_lm, ngram_join, warc
@@ -46,6 +47,50 @@ def test_warc_empty_and_plain(spark):
     assert warc.round_trip(pages(spark).limit(0)).count() == 0
 
 
+def payload_lengths(payloads):
+    """Lengths read back from the records of these payloads at the default sizes, through the bytes of one file."""
+    import pyarrow as pa
+
+    out = b""
+    for i, p in enumerate(payloads):
+        for r in warc.records(str(i), "http://h/", p, hashlib.sha1(p).hexdigest(), None, warc.SEGMENT_BYTES, warc.CHUNK_BYTES):
+            out += r + warc.END.encode()
+    lines = out.split(warc.END.encode())
+    assert lines.pop() == b""
+    rows = [r for b in warc._parse(iter([pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["value"])])) for r in b.to_pylist()]
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["origin"], []).append(r)
+    got = {}
+    for rs in groups.values():
+        rs.sort(key=lambda r: r["segment"])
+        segs = pa.array([[{k: r[k] for k in ("segment", "total", "block")} for r in rs]])
+        digest = next(r["digest"] for r in rs if r["digest"])
+        page = next(r["page_id"] for r in rs if r["page_id"])
+        batch = pa.RecordBatch.from_arrays([pa.array([page]), pa.array([digest]), pa.array(["response"]), pa.array([None], pa.string()), pa.array([1], pa.int32()), segs], list("abcdef"))
+        got[int(page)] = next(warc._join(iter([batch])))["payload_bytes"][0].as_py()
+    return [got[i] for i in range(len(payloads))]
+
+
+def test_warc_lengths_about_the_segment_size():
+    for unit in (b"x", "é🦄".encode(), b"a\r\n", b"\n", b"\r\n\r\n"):
+        payloads = [(unit * (n // len(unit) + 1))[:n] for n in range(16_200, 16_500)]
+        assert payload_lengths(payloads) == [len(p) for p in payloads]
+    payloads = [("é" * n).encode() for n in range(8_100, 8_250)] + [b"y" * n for n in (0, 1, 32_650, 32_700, 1_000_000)]
+    assert payload_lengths(payloads) == [len(p) for p in payloads]
+
+
+def test_joins_by_count_agree(spark):
+    from logtide.llm import common
+
+    rows = spark.createDataFrame([(f"k{i % 7 if i % 3 else 0}", i) for i in range(100)] + [(None, 1), ("none", 2)], "k string, v int")
+    groups = rows.where("k <> 'none'").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    expected = sorted(map(str, common.join_by_count(rows, groups, "k").collect()))
+    assert len(expected) == 102
+    for few, large in ((3, 1000), (3, 20), (1, 2)):
+        assert sorted(map(str, common.join_by_count(rows, groups, "k", few, large).collect())) == expected
+
+
 def test_warc_checks():
     with pytest.raises(ValueError):
         list(warc._blocks(iter([b"WARC/1.1\r\nContent-Length: 5", b"1234567"])))
