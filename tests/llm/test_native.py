@@ -67,43 +67,99 @@ def test_quality_edges(spark):
     assert quality_rules.keep(d.limit(0)).count() == 0
 
 
+def vectors_of(texts):
+    """Transformed statistics of texts."""
+    out = []
+    for t in texts:
+        ws = WORD.findall(t)
+        punctuation = len(re.findall(r"[!-/:-@\[-`{-~]", t))
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        n = len(ws) + 100
+        out.append([np.log((sum(map(len, ws)) + 500) / n), np.log((punctuation + 13) / n), np.log((lines + 4) / n), np.log((len(set(ws)) + 100) / n)])
+    return np.array(out)
+
+
+def plain_mcd(x, group):
+    """Squared distances of the rows of ``x`` by the reweighted estimates of their groups, and each group's least share of its own scatter."""
+    target, k = np.diag(quality_rules.TARGET), 20.0
+    names = sorted(set(group))
+    members = {g: np.flatnonzero(group == g) for g in names}
+    fixed = np.round(x * 1e5) / 1e5
+
+    def estimates(rows, factor=1.0):
+        raw = {g: (len(r), fixed[r].mean(0), factor * np.cov(fixed[r].T, bias=True).reshape(4, 4)) for g, r in rows.items()}
+        total = sum(n for n, _, _ in raw.values())
+        pooled = (sum(n * c for n, _, c in raw.values()) + k * target) / (total + k)
+        share = {g: min(np.diag(n * c) / np.diag(n * c + k * pooled)) for g, (n, _, c) in raw.items()}
+        return {g: (m, (n * c + k * pooled) / (n + k)) for g, (n, m, c) in raw.items()}, share
+
+    def distances(est):
+        out = np.zeros(len(x))
+        for g, r in members.items():
+            m, s = est[g]
+            out[r] = np.einsum("ij,jk,ik->i", x[r] - m, np.linalg.inv(s), x[r] - m)
+        return out
+
+    def halves(d2):
+        bins = np.clip(np.floor(np.log2(np.maximum(d2, 1e-12)) * 8), -160, 240)
+        limit = {g: np.sort(bins[r])[(len(r) + 1) // 2 - 1] for g, r in members.items()}
+        return {g: r[bins[r] <= limit[g]] for g, r in members.items()}, limit
+
+    start = np.zeros((2, len(x)))
+    for r in members.values():
+        median = [np.sort(np.round(v * 100))[(len(v) + 1) // 2 - 1] / 100 for v in x[r].T]
+        scaled = np.abs(x[r] - median) / np.sqrt(np.diag(target))
+        start[0, r], start[1, r] = (scaled**2).sum(1), scaled.max(1) ** 2
+    found = []
+    for d2 in start:
+        est, _ = estimates(halves(d2)[0])
+        for _ in range(quality_rules.STEPS):
+            est, _ = estimates(halves(distances(est))[0])
+        found.append(est)
+    best = {g: min((f[g] for f in found), key=lambda e: np.linalg.slogdet(e[1])[1]) for g in names}
+    d2 = distances(best)
+    _, limit = halves(d2)
+    within = {}
+    for g, r in members.items():
+        factor = (len(r) * 2 ** ((limit[g] + 0.5) / 8) / 3.3567 + k * 2.109) / (len(r) + k)
+        within[g] = r[d2[r] <= 11.1433 * factor]
+    est, share = estimates(within, 1.0645)
+    return distances(est), share
+
+
+def prose(rng, n, lengths, marks=0.1, breaks=0.05, words=400):
+    ws = ["".join(rng.choice(list("abcdefgh"), rng.integers(*lengths))) for _ in range(words)]
+    out = []
+    for _ in range(n):
+        out.append(ws[rng.integers(0, words)] + ("." if rng.random() < marks else "") + ("\n" if rng.random() < breaks else " "))
+    return "".join(out)
+
+
 def test_quality_estimates_equal_numpy(spark):
-    """The distances of one group against the same concentration steps in numpy."""
+    """The distances of groups of several sizes against the same estimator in numpy."""
     rng = np.random.default_rng(1)
-    texts = [" ".join("x" * rng.integers(2, 9) for _ in range(rng.integers(30, 200))) for _ in range(60)]
-    texts += [" ".join("***" + "x" * rng.integers(2, 9) for _ in range(80)) for _ in range(6)]
-    d = spark.createDataFrame([(i, t, "en", "s", "") for i, t in enumerate(texts)], DOCS)
+    texts = [prose(rng, int(rng.integers(30, 300)), (2, 9)) for _ in range(130)]
+    texts += [" ".join("***" + "x" * rng.integers(2, 9) + "%%%" for _ in range(80)) for _ in range(6)]
+    sources = ["a" if i % 3 else "b" if i % 4 else "c" for i in range(len(texts))]
+    d = spark.createDataFrame([(i, t, "en", s, "") for i, (t, s) in enumerate(zip(texts, sources))], DOCS)
     out = {r["doc_id"]: r for r in quality_rules.judge(d).collect()}
     rows = sorted(i for i in out if not out[i]["base_failed"])
-    counts = np.array([base_counts(texts[i])[:5] for i in rows], float)
-    n = counts[:, 0]
-    x = np.stack([np.log((counts[:, 1] + 250) / (n + 50)), np.log(1 + 25 * counts[:, 2] / (n + 50)), np.log(1 + 10 * counts[:, 3] / 11), np.log(1 + 10 * counts[:, 4] / (n + 50))], 1)
-    target = np.array(quality_rules.TARGET)
-
-    def estimate(d2):
-        b = np.clip(np.floor(np.log2(np.maximum(d2, 1e-12)) * 8), -160, 240)
-        limit = np.sort(b)[(len(b) + 1) // 2 - 1]
-        half = np.round(x[b <= limit] * 1e4) / 1e4
-        m, k = half.mean(0), len(half)
-        c = (half.T @ half) / k - np.outer(m, m)
-        s = k * c / (k + 20)
-        s[np.diag_indices(4)] = (k * np.maximum(np.diag(c), 0) + 20 * target) / (k + 20) + 0.5 * target
-        return m, s
-
-    def distance(m, s):
-        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-
-    median = np.array([np.sort(np.round(v * 100))[(len(v) + 1) // 2 - 1] / 100 for v in x.T])
-    scaled = np.abs(x - median) / np.sqrt(target)
-    found = []
-    for start in ((scaled**2).sum(1), scaled.max(1) ** 2):
-        m, s = estimate(start)
-        for _ in range(quality_rules.STEPS):
-            m, s = estimate(distance(m, s))
-        found.append((np.linalg.slogdet(s)[1], m, s))
-    _, m, s = min(found, key=lambda f: f[0])
-    assert np.allclose([out[i]["distance"] for i in rows], distance(m, s), rtol=1e-4, atol=1e-6)
-    assert [i for i in rows if not out[i]["kept"]] == list(range(60, 66))
+    assert len(rows) > 120
+    distance, _ = plain_mcd(vectors_of([texts[i] for i in rows]), np.array([sources[i] for i in rows]))
+    assert np.allclose([out[i]["distance"] for i in rows], distance, rtol=2e-3, atol=1e-3)
+    assert [i for i in rows if not out[i]["kept"]] == [i for i in rows if i >= 130]
+    est = {r["ks"]: r for r in quality_rules.fit(quality_rules._counted(d))[0].collect()}
+    assert est["=a"]["own_share"] > 0.5 > est["=c"]["own_share"] > 0
+
+
+def test_a_document_is_judged_by_its_group(spark):
+    rng = np.random.default_rng(5)
+    short, long = [prose(rng, 200, (3, 6)) for _ in range(80)], [prose(rng, 200, (9, 12)) for _ in range(80)]
+    probe = prose(rng, 200, (3, 6))
+    rows = [(t, "en", "s") for t in short] + [(t, "en", "l") for t in long] + [(probe, "en", "s"), (probe, "en", "l"), (probe, None, "l")]
+    d = spark.createDataFrame([(i, *r, "") for i, r in enumerate(rows)], DOCS)
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(d).collect()}
+    assert all(kept[i] for i in range(160)) and (kept[160], kept[161], kept[162]) == (True, False, True)
 
 
 def test_salted_join_gives_the_same(spark, monkeypatch):
