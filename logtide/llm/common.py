@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,22 @@ def join_by_count(rows: DataFrame, groups: DataFrame, key: str, few: int = FEW_G
     return first.unionByName(rest)
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """The object under ``key`` in this worker process, made when another or none is held.
+
+    Worker processes serve one operator after another; only one operator's tables and
+    memories stay in such a process at a time.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,11 +13,16 @@ For every window as long as an item:
    copied and the walk moves on by a random bit of (j, word).  Edit distance
    becomes Hamming distance of the copies;
 3. bit-sampling LSH compares ``SAMPLED`` steps of the walk with those of the items
-   of that length, in ``REPEATS`` independent walks, enough for a recall above 0.95
-   at the farthest distance allowed (``tests/llm`` measures it);
+   of that length, in ``REPEATS`` independent walks.  Samples are drawn below step n of
+   an item of n words: no walk has left its n words there, so every copy is a word and
+   none the same by being padding.  At the farthest distance allowed a window agrees
+   with its item in two such steps with probability 0.3 to 0.45, so 24 repeats find
+   more than 0.95; a window of other text does with less than 0.001, so that about one
+   pair in a hundred becomes a candidate (``tests/llm`` measures both);
 4. every candidate is verified by exact edit distance around the window.
 
-The benchmark is the query set; it is taken in blocks of ``BLOCK`` items, each of
+The benchmark is the query set; it is taken in blocks of up to ``BLOCK`` items and
+``BLOCK_CELLS`` (words times different lengths, the size of the largest table), each of
 them sent to the executors once, against all rows.
 
 Defined results: null or wordless texts hold nothing, null or wordless items are
@@ -31,16 +36,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from logtide.llm.common import held
+
 WORD = re.compile(r"[^\W_]+")
 MAX_EDITS = 0.2
-SAMPLED, REPEATS, SEED = 2, 16, 20_240_101
-BLOCK = 5_000
+SAMPLED, REPEATS, SEED = 2, 24, 20_240_101
+BLOCK, BLOCK_CELLS = 20_000, 50_000_000
 #: Words worked on at a time, and candidate windows embedded at a time.
 BATCH_WORDS, BATCH_WINDOWS = 2_000_000, 20_000
 
@@ -80,7 +86,6 @@ class Matcher:
                 vocabulary.setdefault(x, len(vocabulary))
         self.vocabulary = vocabulary
         self.other = len(vocabulary)
-        self.pad = self.other + 1
         self.ids = [i for i, _ in split]
         self.items = [np.array([vocabulary[x] for x in w]) for _, w in split]
         lengths = sorted({len(w) for w in self.items})
@@ -99,9 +104,9 @@ class Matcher:
         # fewest different pairs that a near window of each length has
         self.different = [min(len(np.unique(p)) for w, p in zip(self.items, pairs) if len(w) == n) - 2 * self.edits[n] for n in lengths]
         rng = np.random.default_rng(SEED)
-        steps = 3 * lengths[-1]
-        self.bits = rng.integers(0, 2, (REPEATS, steps, self.pad + 1), dtype=np.int64)
-        self.sampled = np.stack([np.sort(rng.random((REPEATS, SAMPLED)), axis=1) * 3 * n for n in lengths]).astype(np.int64)
+        # bits of (step, word) come from a hash of the word, with a factor and a summand for each repeat and step
+        self.hashes = rng.integers(0, 1 << 32, (REPEATS, lengths[-1], 2), dtype=np.uint32) | np.array([1, 0], np.uint32)
+        self.sampled = np.stack([np.sort(rng.integers(0, n, (REPEATS, SAMPLED)), axis=1) for n in lengths])
         which = np.array([lengths.index(len(w)) for w in self.items])
         joined = np.concatenate(self.items)
         starts = np.concatenate([[0], np.cumsum([len(w) for w in self.items])[:-1]])
@@ -112,20 +117,27 @@ class Matcher:
 
     def _signatures(self, ids: np.ndarray, starts: np.ndarray, which: np.ndarray) -> Iterator[np.ndarray]:
         """For each repeat, the sampled part of the embedding of the windows at ``starts``, as one number each."""
-        n = self.lengths[which]
         last = int(self.sampled[np.unique(which)].max()) + 1
         copies = np.empty((last, len(starts)), np.int64)
+        rows = np.arange(len(starts))
         for r in range(REPEATS):
-            at = np.zeros(len(starts), np.int64)
+            at = starts.copy()
             for j in range(last):
-                symbol = np.where(at < n, ids[np.minimum(starts + at, len(ids) - 1)], self.pad)
-                copies[j] = symbol
-                at += self.bits[r, j][symbol]
+                copies[j] = symbol = ids[np.minimum(at, len(ids) - 1)]  # beyond the window only where nothing is sampled any more
+                factor, summand = self.hashes[r, j]
+                at += (symbol.astype(np.uint32) * factor + summand) >> np.uint32(31)
             key = which.copy()
             for k in range(SAMPLED):
-                key = key * (self.pad + 1) + copies[self.sampled[which, r, k], np.arange(len(starts))]
+                key = key * (self.other + 1) + copies[self.sampled[which, r, k], rows]
             yield key
 
+    def candidates(self, ids: np.ndarray, starts: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(window, items) that agree in the sampled steps of some repeat; ``which``: the windows' lengths."""
+        for (keys, order), mine in zip(self.tables, self._signatures(ids, starts, which)):
+            low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            for w in np.flatnonzero(high > low):
+                yield int(w), order[low[w] : high[w]]
+
     def _windows(self, ids: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Starts of windows with enough word pairs of the items of their length; ``room``: words left in the text."""
         if not len(ids):
@@ -176,10 +188,8 @@ class Matcher:
             starts, which = np.concatenate([s for s, _ in found]), np.concatenate([k for _, k in found])
             for i in range(0, len(starts), BATCH_WINDOWS):
                 s, k = starts[i : i + BATCH_WINDOWS], which[i : i + BATCH_WINDOWS]
-                for (keys, order), mine in zip(self.tables, self._signatures(ids, s, k)):
-                    low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                    for w in np.flatnonzero(high > low):
-                        pairs.update((int(row_of[s[w]]), int(x), int(s[w])) for x in order[low[w] : high[w]])
+                for w, items in self.candidates(ids, s, k):
+                    pairs.update((int(row_of[s[w]]), int(x), int(s[w])) for x in items)
         # texts shorter than an item by no more than the edits allowed have no window; they are verified outright
         for k, n in enumerate(self.lengths):
             slack = self.edits[int(n)]
@@ -221,19 +231,21 @@ class Matcher:
         return out
 
 
-@lru_cache(maxsize=2)
 def _matcher(items: tuple) -> Matcher:
-    return Matcher(list(items))
+    return held(("matcher", items), lambda: Matcher(list(items)))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple]:
     rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id", "text")
-    block: list = []
+    block, total, lengths = [], 0, set()
     for r in rows.toLocalIterator():
+        n = len(words(r[1]))
         block.append((r[0], r[1]))
-        if len(block) == BLOCK:
+        total += n
+        lengths.add(n)
+        if len(block) >= BLOCK or total * len(lengths) >= BLOCK_CELLS:
             yield tuple(block)
-            block = []
+            block, total, lengths = [], 0, set()
     if block:
         yield tuple(block)
 

@@ -29,7 +29,9 @@ WORDS = re.compile(r"▁*[^▁]+|▁+")
 UNKNOWN_PENALTY = 10
 MANY_CROSSING = 64
 #: Length of the beginnings that are remembered, and how many of them.
-BEGIN, BEGUN = 8, 200_000
+BEGIN, BEGUN = 8, 50_000
+#: Characters given to a window at a time; of a text fed at a time; and of a word beyond which it is fed before it ends.
+SLICE, PART, LONG = 64, 65_536, 1024
 
 
 @dataclass
@@ -45,12 +47,15 @@ class Vocabulary:
     longest: int = 1
     crossing: list[str] | None = None
     crosses: re.Pattern | None = None
+    begins: set[str] = field(default_factory=set)
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
         crossing = [p for p in self.ids if CHUNKS.findall(p) != [p]]
         self.crossing = crossing if len(crossing) <= MANY_CROSSING else None
         self.crosses = re.compile("|".join(map(re.escape, crossing)) or r"(?!)") if self.crossing is not None else None
+        #: Proper beginnings of pieces: a text's end that is none of these can start no piece that later text completes.
+        self.begins = {p[:k] for p in self.ids for k in range(1, len(p))}
         self.blank_first = all(BLANK not in p.lstrip(BLANK) for p in self.ids)
         self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
 
@@ -108,14 +113,10 @@ def in_bits(vocab: Vocabulary) -> Vocabulary:
     return Vocabulary(vocab.ids, scores, vocab.bytes_of, vocab.unknown, False, vocab.pieces)
 
 
-def normalized(text: str) -> str:
-    return (BLANK + text).replace(" ", BLANK) if text else ""
-
-
 class Merges:
     """Plain merging of short strings, remembered for pairs of pieces."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 1_000_000):
+    def __init__(self, vocab: Vocabulary, limit: int = 150_000):
         self.scores, self.limit, self.known = vocab.scores, limit, {}
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -145,18 +146,21 @@ class StreamingViterbi:
     """Left-to-right encoder that keeps a window bounded by the longest piece.
 
     ``push`` takes more of a (normalised) text and returns the ids that no later
-    text can change: those before the boundary at which the backpointer paths from
-    all positions that a later piece can still start from have met.  Matches and
-    scores reach back no further than the longest piece; behind that, only the last
-    piece of each position is kept until the paths meet.
+    text can change: those before the boundary at which the backpointer paths of all
+    survivors have met.  Survivors are the positions from which a later piece can
+    still start, that is those whose rest of the text is the beginning of a piece,
+    and the end.  Matches and scores reach back no further than the longest piece;
+    behind that, only the last piece of each position is kept until the paths meet.
     """
 
     def __init__(self, vocab: Vocabulary, automaton=None, merges: Merges | None = None):
         self.v = vocab
         self.automaton = automaton or vocab.automaton()
         self.m = (merges or Merges(vocab)) if vocab.merges else None
-        #: Last pieces by position for the beginnings of short texts seen before.
+        #: Last pieces by position for the beginnings of texts seen before.
         self.begun: dict[str, list[str]] = {}
+        #: Widest window left by a push so far, and number of pushes.
+        self.widest = self.pushes = 0
         self.reset()
 
     def reset(self) -> None:
@@ -164,25 +168,35 @@ class StreamingViterbi:
         #: By position, the piece that ends there on the best path; at 0, the last committed one.
         self.last: list[str] = [""]
         self.score: list[float] = [0.0]
-        self.widest = 0
+        self.fresh = True
 
     def push(self, more: str) -> list[int]:
         done = len(self.text)
         self.text += more
-        (self._pairs if self.m else self._scores)(done)
+        self.pushes += 1
+        if self.m is None:
+            self._scores(done)
+        elif self.fresh:
+            self._begin(more)
+        else:
+            self._pairs(done)
+        self.fresh = False
         return self._commit(False)
 
     def finish(self) -> list[int]:
-        out = self._commit(True)
+        out = self._commit(True) if self.text else []
         self.reset()
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, as one window.  What a beginning settles is remembered for other texts that share it."""
-        self.text = text
-        if not self.m:
-            self._scores(0)
-            return self.finish()
+    def stream(self, text: str) -> list[int]:
+        """Ids of a whole text, pushed slice by slice."""
+        out = self.push(text[:SLICE])
+        for i in range(SLICE, len(text), SLICE):
+            out += self.push(text[i : i + SLICE])
+        return out + self.finish()
+
+    def _begin(self, text: str) -> None:
+        """First push of a text.  What a beginning settles is remembered for other texts that share it."""
         begin = text[:BEGIN]
         known = self.begun.get(begin)
         if known is not None:
@@ -192,7 +206,6 @@ class StreamingViterbi:
             if len(self.begun) >= BEGUN:
                 self.begun.clear()
             self.begun[begin] = self.last[: BEGIN + 1]
-        return self.finish()
 
     def _pairs(self, done: int) -> None:
         text, last, known, stable = self.text, self.last, self.m.known, self.m.stable
@@ -238,8 +251,10 @@ class StreamingViterbi:
         if final:
             boundary = n
         else:
-            # all positions a later piece can start from, walked back until one is left
-            alive = set(range(max(0, n - self.v.longest + 1), n + 1))
+            # survivors, walked back until one is left
+            text, begins = self.text, self.v.begins
+            alive = {n}
+            alive.update(i for i in range(max(0, n - self.v.longest + 1), n) if text[i:] in begins)
             while len(alive) > 1:
                 top = max(alive)
                 alive.discard(top)
@@ -279,7 +294,7 @@ class Remembered(dict):
     stay while memory is bounded by twice the limit.
     """
 
-    def __init__(self, work, limit: int = 400_000):
+    def __init__(self, work, limit: int = 150_000):
         super().__init__()
         self.work, self.limit, self.old = work, limit, {}
 
@@ -301,14 +316,46 @@ def parts(vocab: Vocabulary, word: str) -> list[str]:
     return cuts(vocab, word if word.startswith(BLANK) else BLANK + word)
 
 
-def per_word(vocab: Vocabulary, text: str, of_word: Remembered, of_chunk: Remembered):
-    """Results of the parts of a text in order: of its words, or of the whole where pieces can span words."""
-    if not text:
-        return []
-    if not vocab.blank_first:
-        return map(of_chunk.__getitem__, cuts(vocab, normalized(text)))
-    if BLANK not in text:
-        words = text.split(" ")
-        if "" not in words:
-            return map(of_word.__getitem__, words)
-    return map(of_word.__getitem__, WORDS.findall(normalized(text)))
+def slices(text: str):
+    """Parts in which a text is fed."""
+    return (text[i : i + PART] for i in range(0, len(text), PART))
+
+
+def streamed(vocab: Vocabulary, parts):
+    """Cut a text that comes in parts into words (each with the blanks before it), between which no piece lies.
+
+    Where a word begins all paths have met and the window is empty, so what a word
+    yields depends on the word alone and may be remembered.  Yields (words that are
+    complete, more of a torn word, whether the torn word ends there).  Only a word
+    longer than ``LONG`` is torn, and the whole text where pieces can lie across words.
+    """
+    tail, torn, first = "", False, True
+    for part in parts:
+        if not part:
+            continue
+        text = part.replace(" ", BLANK)
+        if first:
+            text, first, torn = BLANK + text, False, not vocab.blank_first
+        if torn:
+            end = text.find(BLANK) if vocab.blank_first else -1
+            if end < 0:
+                yield (), text, False
+                continue
+            yield (), text[:end], True
+            text, torn = text[end:], False
+        text = tail + text
+        words = text.split(BLANK)
+        if "" in words[1:]:  # several blanks together
+            words = WORDS.findall(text)
+            tail = words.pop()
+        else:
+            tail = BLANK + words.pop()
+            del words[0]
+        yield words, "", False
+        if len(tail) > LONG and tail[-1] != BLANK:
+            yield (), tail, False
+            tail, torn = "", True
+    if torn:
+        yield (), "", True
+    elif tail:
+        yield (tail,), "", False

@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-A text is encoded left to right in a window bounded by the longest piece; ids are
-committed whenever all surviving backpointer paths meet on one boundary.  Texts
-are first cut where no piece of the vocabulary can cross (all paths meet there
-whatever the text), so a word's ids can be remembered for its next occurrence;
-parts of any length stream through the same window.
+A text is fed in parts and encoded left to right in a window bounded by the longest
+piece; ids are committed whenever all surviving backpointer paths meet on one
+boundary, and only what lies behind the last such boundary is kept.  Between words
+the window is always empty (no piece lies across), so the ids that a word went
+through the window to get are remembered for its next occurrence.  Neither the
+window nor what is remembered grows with the text.
 
 Defined results: null text encodes to no ids, as the empty text does; repeated
 rows are encoded alike; an empty table gives an empty result; texts of any length
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtide.llm import pieces
+from logtide.llm.common import held
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a long part pushed at a time, and of texts in one output batch.
-PUSH = 4096
+#: Characters of texts and bytes of ids in one output batch.
 BATCH_CHARS = 4_000_000
 
 
@@ -37,33 +37,37 @@ class Encoder:
 
     def __init__(self, model: bytes):
         self.v = pieces.load_vocabulary(model)
-        self.stream = pieces.StreamingViterbi(self.v)
+        self.window = pieces.StreamingViterbi(self.v)
         self.of_chunk = pieces.Remembered(self._chunk)
-        self.of_word = pieces.Remembered(self._word)
+        self.of_word = pieces.Remembered(self._word, 250_000)
 
     def _chunk(self, chunk: str) -> bytes:
-        if len(chunk) <= PUSH:
-            return array("i", self.stream.encode(chunk)).tobytes()
-        out = array("i")
-        for i in range(0, len(chunk), PUSH):
-            out.extend(self.stream.push(chunk[i : i + PUSH]))
-        out.extend(self.stream.finish())
-        return out.tobytes()
+        return array("i", self.window.stream(chunk)).tobytes()
 
     def _word(self, word: str) -> bytes:
         return b"".join(map(self.of_chunk.__getitem__, pieces.parts(self.v, word)))
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(pieces.per_word(self.v, text or "", self.of_word, self.of_chunk))
+        return self.feed(pieces.slices(text or ""))
+
+    def feed(self, parts) -> bytes:
+        """Ids of a text that comes in parts."""
+        out: list[bytes] = []
+        for words, torn, ended in pieces.streamed(self.v, parts):
+            out.extend(map(self.of_word.__getitem__, words))
+            for i in range(0, len(torn), pieces.SLICE):
+                out.append(array("i", self.window.push(torn[i : i + pieces.SLICE])).tobytes())
+            if ended:
+                out.append(array("i", self.window.finish()).tobytes())
+        return b"".join(out)
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.v.pieces.__getitem__, ids))
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
-@lru_cache(maxsize=4)
 def _encoder(model: bytes) -> Encoder:
-    return Encoder(model)
+    return held(("codec", model), lambda: Encoder(model))
 
 
 def read_model(spark, path: str) -> bytes:

@@ -1,9 +1,10 @@
 """Token counts without ids: a count-only Viterbi.
 
 An Aho-Corasick automaton enumerates the vocabulary's matches; the dynamic
-program carries, for each of the last few positions, the best score and the
-number of pieces on the best path, and no backpointers.  Counts of chunks that no
-piece can cross add up, so those of words seen before are looked up.
+program carries, for each of the last few positions (a ring as long as the longest
+piece), the best score and the number of pieces on the best path, and no
+backpointers.  Counts of words, across which no piece lies, add up, so those of
+words seen before are looked up.
 
 Two counts are given: ``n_tokens``, what the model's own encoder yields (a merge
 vocabulary has the pair rule of ``pieces`` in place of the score), and
@@ -21,132 +22,134 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from logtide.llm import pieces
-from logtide.llm.sentencepiece_codec import MODEL, PUSH, read_model
+from logtide.llm.common import held
+from logtide.llm.sentencepiece_codec import MODEL, read_model
 
 _COUNT_BITS = 40
 
 
-class Counter:
-    """Counts of whole texts.  A part's three figures are packed in one integer, so that adding parts adds all three."""
+class Window:
+    """Count-only dynamic program: last piece, count and score of the positions that a piece can still start from, in rings."""
 
-    def __init__(self, model: bytes):
-        own = pieces.load_vocabulary(model)
-        self.v = own
-        self.merge = pieces.StreamingViterbi(own) if own.merges else None
+    def __init__(self, own: pieces.Vocabulary):
         self.u = pieces.in_bits(own) if own.merges else own
-        self.automaton = self.merge.automaton if self.merge else self.u.automaton()
-        # scores of the library's kind may be fractions; whole thousandths are summed
-        self.scale = 1 if own.merges else 1000
-        #: The four lists of ``_short`` for beginnings seen before.
+        self.automaton = self.u.automaton()
+        self.merges = pieces.Merges(own) if own.merges else None
+        self.width = self.u.longest + 1
+        #: State after the beginnings of texts seen before.
         self.begun: dict[str, tuple] = {}
-        self.of_chunk = pieces.Remembered(self._chunk)
-        self.of_word = pieces.Remembered(self._word)
-
-    def best(self, chunk: str) -> tuple[float, int]:
-        """Score and number of pieces of the best unigram path."""
-        v = self.u
-        scores, worst, width = v.scores, v.worst, v.longest + 1
-        score, count = [0.0] * width, [0] * width
-        at, best, n, single = 0, None, 0, False  # of the position now worked on
-        for end, piece in itertools.chain(self.automaton.iter(chunk), ((len(chunk), ""),)):
-            while at < end:
-                if not single:
-                    s = score[at % width] + worst
-                    if best is None or s > best:
-                        best, n = s, count[at % width] + len(v.spell(chunk[at]))
-                at += 1
-                score[at % width], count[at % width] = best, n
-                best, single = None, False
-            if not piece:
-                break
-            # pieces that end together come longest first, and only a greater sum replaces
-            k = len(piece)
-            j = (end + 1 - k) % width
-            s = score[j] + scores[piece]
-            if best is None or s > best:
-                best, n = s, count[j] + 1
-            if k == 1:
-                single = True
-        return score[len(chunk) % width], count[len(chunk) % width]
-
-    def own_count(self, chunk: str) -> int:
-        if len(chunk) <= PUSH:
-            return len(self.merge.encode(chunk))
-        n = 0
-        for i in range(0, len(chunk), PUSH):
-            n += len(self.merge.push(chunk[i : i + PUSH]))
-        return n + len(self.merge.finish())
-
-    def _short(self, chunk: str) -> tuple[float, int, int]:
-        """Score and count of the best unigram path and the merge count, from one run of the automaton over a short chunk."""
-        scores, worst, spell = self.u.scores, self.u.worst, self.u.spell
-        known, stable = self.merge.m.known, self.merge.m.stable
-        begin = chunk[: pieces.BEGIN]
-        begun = self.begun.get(begin)
-        last, own, score, count = [x.copy() for x in begun] if begun else ([""], [0], [0.0], [0])
-        at, best, n, single = len(last) - 1, None, 0, False
-        for end, piece in itertools.chain(self.automaton.iter(chunk), ((len(chunk), ""),)):
-            if end < at:
+        self.reset()
+
+    def reset(self) -> None:
+        self.at, self.context = 0, ""
+        self.rings = tuple([x] * self.width for x in ("", 0, 0.0, 0))
+
+    def push(self, text: str) -> None:
+        """Go on over more of a text; what came before it is kept as far as a piece can reach back."""
+        begin = text[: pieces.BEGIN] if not self.at and len(text) > pieces.BEGIN else None
+        known = self.begun.get(begin) if begin else None
+        if known is not None:
+            self._run(text, pieces.BEGIN, tuple(r.copy() for r in known))
+            return
+        if begin:
+            self._run(begin, 0, self.rings)
+            if len(self.begun) >= pieces.BEGUN:
+                self.begun.clear()
+            self.begun[begin] = tuple(r.copy() for r in self.rings)
+            text = text[pieces.BEGIN :]
+        self._run(self.context + text, len(self.context), self.rings)
+
+    def _run(self, text: str, done: int, rings: tuple) -> None:
+        """Settle the positions of ``text`` behind its first ``done`` characters, which have been."""
+        scores, worst, spell, width = self.u.scores, self.u.worst, self.u.spell, self.width
+        known, stable = (self.merges.known, self.merges.stable) if self.merges else (None, None)
+        last, own, score, count = rings
+        base = max(self.at, done) - done  # position of the first character
+        i, best, n, single, piece_of, own_n = done, None, 0, False, None, 0
+        for end, piece in itertools.chain(self.automaton.iter(text), ((len(text), ""),)):
+            if end < done:
                 continue
-            while at < end:
-                if not single:
-                    extra = len(spell(chunk[at]))
-                    s = score[at] + worst
-                    if best is None or s > best:
-                        best, n = s, count[at] + extra
-                    if len(last) == at + 1:
-                        last.append(chunk[at])
-                        own.append(own[at] + extra)
-                score.append(best)
-                count.append(n)
-                at += 1
-                best, single = None, False
+            while i < end:
+                here = (base + i) % width
+                if not single or piece_of is None:
+                    extra = len(spell(text[i]))
+                    if not single:
+                        s = score[here] + worst
+                        if best is None or s > best:
+                            best, n = s, count[here] + extra
+                    if piece_of is None:
+                        piece_of, own_n = text[i], own[here] + extra
+                i += 1
+                here = (base + i) % width
+                last[here], own[here], score[here], count[here] = piece_of, own_n, best, n
+                best, single, piece_of = None, False, None
             k = len(piece)
             if not k:
                 break
-            start = end + 1 - k
+            # pieces that end together come longest first, and only a greater sum replaces
+            start = (base + end + 1 - k) % width
             s = score[start] + scores[piece]
             if best is None or s > best:
                 best, n = s, count[start] + 1
             if k == 1:
                 single = True
-            if len(last) == end + 1:
-                ok = known.get((last[start], piece))
-                if ok or (ok is None and stable(last[start], piece)):
-                    last.append(piece)
-                    own.append(own[start] + 1)
-        if begun is None and len(chunk) > pieces.BEGIN:
-            if len(self.begun) >= pieces.BEGUN:
-                self.begun.clear()
-            self.begun[begin] = tuple(x[: pieces.BEGIN + 1] for x in (last, own, score, count))
-        return score[-1], count[-1], own[-1]
+            if piece_of is None and known is not None:
+                left = last[start]
+                ok = known.get((left, piece))
+                if ok or (ok is None and stable(left, piece)):
+                    piece_of, own_n = piece, own[start] + 1
+        self.at, self.rings = base + i, rings
+        self.context = text[max(0, len(text) - self.width + 2) :]
+
+    def finish(self) -> tuple[float, int, int]:
+        """Score and number of pieces of the best path, and the merge count (0 if the vocabulary is none of merges)."""
+        here = self.at % self.width
+        out = self.rings[2][here], self.rings[3][here], self.rings[1][here]
+        self.reset()
+        return out
+
+
+class Counter:
+    """Counts of whole texts.  A part's three figures are packed in one integer, so that adding parts adds all three."""
+
+    def __init__(self, model: bytes):
+        self.v = pieces.load_vocabulary(model)
+        self.window = Window(self.v)
+        # scores of the library's kind may be fractions; whole thousandths are summed
+        self.scale = 1 if self.v.merges else 1000
+        self.of_chunk = pieces.Remembered(self._chunk)
+        self.of_word = pieces.Remembered(self._word, 400_000)
+
+    def _finish(self) -> int:
+        score, n, own = self.window.finish()
+        return (own if self.v.merges else n) | n << _COUNT_BITS | round(-score * self.scale) << 2 * _COUNT_BITS
 
     def _chunk(self, chunk: str) -> int:
-        if self.merge and len(chunk) <= 64:
-            score, n, own = self._short(chunk)
-            return own | n << _COUNT_BITS | round(-score * self.scale) << 2 * _COUNT_BITS
-        score, n = self.best(chunk)
-        own = self.own_count(chunk) if self.merge else n
-        return own | n << _COUNT_BITS | round(-score * self.scale) << 2 * _COUNT_BITS
+        self.window.push(chunk)
+        return self._finish()
 
     def _word(self, word: str) -> int:
         return sum(map(self.of_chunk.__getitem__, pieces.parts(self.v, word)))
 
     def count(self, text: str | None) -> tuple[int, int, float]:
-        packed = sum(pieces.per_word(self.v, text or "", self.of_word, self.of_chunk))
+        packed = 0
+        for words, torn, ended in pieces.streamed(self.v, pieces.slices(text or "")):
+            packed += sum(map(self.of_word.__getitem__, words))
+            for i in range(0, len(torn), pieces.PART):
+                self.window.push(torn[i : i + pieces.PART])
+            if ended:
+                packed += self._finish()
         mask = (1 << _COUNT_BITS) - 1
         return packed & mask, packed >> _COUNT_BITS & mask, -(packed >> 2 * _COUNT_BITS) / self.scale
 
 
-@lru_cache(maxsize=4)
 def _counter(model: bytes) -> Counter:
-    return Counter(model)
+    return held(("counts", model), lambda: Counter(model))
 
 
 def count(docs: DataFrame, model_path: str = MODEL, key: str = "doc_id") -> DataFrame:

@@ -169,6 +169,38 @@ def test_recall_and_precision():
     assert total > 100 and hit / total >= 0.95
 
 
+def test_hashing_finds_near_windows_and_leaves_others():
+    """Recall at the farthest distance and share of candidates among windows of other text, of the hashing alone, in every length."""
+    common = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 3) for i in range(400)]
+    items = [(i, " ".join(rng.choices(common, weights, k=n))) for i, n in enumerate([10, 15, 20, 30, 45, 60] * 5)]
+    m = decontaminate.Matcher(items)
+    found = total = wrong = pairs = 0
+    for x, item in enumerate(m.items):
+        k = int(np.searchsorted(m.lengths, len(item)))
+        same = sum(len(other) == len(item) for other in m.items)
+        for _ in range(20):
+            ws = edited(item.tolist(), int(0.2 * len(item)))
+            window = np.array([m.other if isinstance(w, str) else w for w in ws + ["q"] * len(item)][: len(item)])
+            got = {int(i) for _, some in m.candidates(window, np.array([0]), np.array([k])) for i in some}
+            found, total = found + (x in got), total + 1
+            window = np.array([m.vocabulary.get(w, m.other) for w in rng.choices(common, weights, k=len(item))])
+            got = {int(i) for _, some in m.candidates(window, np.array([0]), np.array([k])) for i in some}
+            wrong, pairs = wrong + len(got), pairs + same
+    assert found / total >= 0.95 and wrong / pairs <= 0.1, (found / total, wrong / pairs)
+
+
+def test_blocks_cover_all_items(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, " ".join(sentence(5 + i % 7))) for i in range(50)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_CELLS", 100)
+    blocks = list(decontaminate._blocks(bench))
+    assert len(blocks) > 5 and sorted(i for b in blocks for i, _ in b) == list(range(50))
+    docs = spark.createDataFrame([(r["item_id"], "x " + r["text"] + " y") for r in bench.collect()], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()}
+    assert {(i, i) for i in range(50)} <= got
+    assert decontaminate.clean(docs, bench).count() == 0
+
+
 def test_decontaminated_rows(spark):
     item = " ".join(sentence(30))
     docs = spark.createDataFrame(

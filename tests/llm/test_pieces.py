@@ -47,14 +47,37 @@ def test_unigram_models_equal_the_library():
 def test_streamed_windows(merges):
     v = pieces.load_vocabulary(MODEL if merges else as_unigram())
     for text in ("".join(rng.choice("abcdefghino") for _ in range(5000)), "x" * 3000, "internationalization" * 100):
-        whole = pieces.StreamingViterbi(v).encode(text)
+        once = pieces.StreamingViterbi(v)
+        whole = once.push(text) + once.finish()
         stream, out, most = pieces.StreamingViterbi(v), [], 0
         for i in range(0, len(text), 37):
             out += stream.push(text[i : i + 37])
             most = max(most, len(stream.text))
         assert out + stream.finish() == whole
+        assert pieces.StreamingViterbi(v).stream(text) == whole
         if merges or text[0] != "x":  # paths of equal score through a run of one letter never meet
-            assert most < 1000  # committed as it goes along
+            assert most < 200 and stream.widest < 150  # committed as it goes along
+
+
+def test_real_texts_go_through_a_bounded_window():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    own, lib = sentencepiece_codec.Encoder(MODEL), sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    for t in texts:
+        assert list(memoryview(own.encode(t)).cast("i")) == lib.encode(t)
+    assert own.window.pushes > 10_000 and own.window.widest <= 2 * own.v.longest
+
+
+def test_parts_of_any_size():
+    own, lib = sentencepiece_codec.Encoder(MODEL), sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    counter = token_counts.Counter(MODEL)
+    word = "".join(rng.choice("abcdefghino.,1é") for _ in range(7000))
+    for text in (f"a {word} b  c", word, f"{word}   {word} ", " " * 3000 + word + " " * 2500 + "z", "a  " * 900):
+        expected = lib.encode(text)
+        for size in (1, 37, 1500, 100_000):
+            assert list(memoryview(own.feed(text[i : i + size] for i in range(0, len(text), size))).cast("i")) == expected
+        assert counter.count(text)[0] == len(expected)
 
 
 def test_counts_equal_the_library():
@@ -63,7 +86,10 @@ def test_counts_equal_the_library():
     for t in TEXTS:
         own, n, score = c.count(t)
         assert (own, n) == (len(lib.encode(t)), len(uni.encode(t))), t
-        assert score <= 0
+        spelt = [uni.id_to_piece(i) for i in uni.encode(t)]
+        unknown = sum(uni.is_byte(i) and int(p[1:-1], 16) & 0xC0 != 0x80 for i, p in zip(uni.encode(t), spelt))  # characters without a piece
+        known = sum(uni.get_score(i) for i in uni.encode(t) if not uni.is_byte(i))
+        assert score == known + unknown * (min(c.window.u.scores.values()) - 10), t
 
 
 def test_cache_keeps_results(monkeypatch):
