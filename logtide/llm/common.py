@@ -15,17 +15,23 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 
 #: Groups up to this many are broadcast to the rows that look them up; keys of more rows than the second number are never shuffled.
-FEW_GROUPS, LARGE_GROUP = 200_000, 10_000
+FEW_GROUPS, LARGE_GROUP, FEW_BYTES = 200_000, 10_000, 32_000_000
 
 _written: list[str] = []
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder among the shared ones, to be deleted by ``release``."""
+    path = f"{shared_dir(spark)}/logtide/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/logtide/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,22 +44,24 @@ def release(spark: SparkSession) -> int:
     return done
 
 
-def join_by_count(rows: DataFrame, groups: DataFrame, key: str, few: int = FEW_GROUPS, large: int = LARGE_GROUP) -> DataFrame:
-    """``rows`` left-joined to ``groups`` (a written table of one row per key with ``n``, the rows of that key, which is dropped).
+def join_by_count(rows: DataFrame, groups: DataFrame, key: str, few: int = FEW_GROUPS, large: int = LARGE_GROUP, size: Column | None = None) -> DataFrame:
+    """``rows`` left-joined to ``groups``, a written table of one row per key.
 
-    Up to ``few`` groups are broadcast.  Of more, those of more than ``large`` rows, or
-    of more than a ``few``-th of all, are: they cannot be many, and with them gone no key left is hot, so the rest is
-    an ordinary shuffled join.
+    Groups are broadcast if there are up to ``few`` of them with up to ``FEW_BYTES`` (by ``size``, a
+    group's bytes).  Otherwise the keys of more than ``large`` rows, or of more than a ``few``-th of
+    all, are broadcast: they cannot be many.  With them gone no key left is hot, so the
+    rest is an ordinary shuffled join.
     """
-    total = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
-    if total[0] <= few:
-        return rows.join(F.broadcast(groups.drop("n")), key, "left")
-    hot = F.col("n") > max(large, (total[1] or 0) // few)
-    mark = "hot_key_of_join"
-    tagged = rows.join(F.broadcast(groups.where(hot).drop("n").withColumn(mark, F.lit(True))), key, "left")
-    first = tagged.where(F.col(mark)).drop(mark)
-    rest = tagged.where(F.col(mark).isNull()).select(*rows.columns).join(groups.where(~hot).drop("n"), key, "left")
-    return first.unionByName(rest)
+    total, weight = groups.agg(F.count(F.lit(1)), F.sum(size if size is not None else F.lit(0))).first()
+    if total <= few and (weight or 0) <= FEW_BYTES:
+        return rows.join(F.broadcast(groups), key, "left")
+    counts = table(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_of_key")).join(groups.select(key), key, "left_semi"), "key-counts")
+    least = max(large, (counts.agg(F.sum("n_of_key")).first()[0] or 0) // few)
+    hot = table(groups.join(counts.where(F.col("n_of_key") > least), key).drop("n_of_key").withColumn("hot_key_of_join", F.lit(True)), "hot-keys")
+    tagged = rows.join(F.broadcast(hot), key, "left")
+    first = tagged.where(F.col("hot_key_of_join")).drop("hot_key_of_join")
+    rest = tagged.where(F.col("hot_key_of_join").isNull()).select(*rows.columns)
+    return first.unionByName(rest.join(groups.join(F.broadcast(hot.select(key)), key, "left_anti"), key, "left"))
 
 
 _held: dict = {}

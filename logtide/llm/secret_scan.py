@@ -1,13 +1,19 @@
 """Secret scans over a ledger of content-addressed blobs.
 
-Every version of every path is addressed by the SHA-256 of its text.  Only blobs
-that the ledger has not yet seen under the current rule version are scanned;
-findings belong to blobs and are joined back to all paths that hold them.
+Every version of every path is addressed by the SHA-256 of its text.  Each rule
+belongs to a rule version, the release that brought it.  Only pairs of blob and rule
+version that the ledger has not yet seen are scanned: a new blob under all versions,
+a known one under new versions alone.  Findings belong to blobs and are joined back
+to all paths that hold them.
 
 A span is the whole match of a rule, in code points, end exclusive.  Matches of
 one kind are leftmost and non-overlapping; a match that fails its rule's length
 condition still uses up its characters.
 
+Texts are shuffled once, to collapse equal blobs (copies are collapsed before the
+shuffle as well); findings are broadcast to the paths while they are few, and beyond
+that only digests that few rows hold are shuffled.
+
 Defined results: null text is the empty text; repeated rows and equal texts get
 equal findings; an empty table gives an empty result; texts of any length are
 scanned whole; other columns are ignored by ``scan`` and kept by ``redact``.
@@ -22,15 +28,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logtide.llm.common import folder, join_by_count, table
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: its pattern, and the least length of one of its groups (0: the match)."""
+    """A kind of secret: its pattern, the least length of one of its groups (0: the match), and the rule version that brought it."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    version: int = 1
 
 
 # The base kinds, in the order in which equal starts are listed.
@@ -40,13 +49,12 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", version=2),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", version=2),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", version=2),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", version=2),
 )
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = 1
 MASK = "[SECRET]"
 
 
@@ -77,8 +85,10 @@ def _matches(text: Column, order: int, rule: Rule) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per finding of ``blobs`` (digest, text): digest, kind (index into ``rules``), start, end."""
-    found = F.concat(*(_matches(F.col("text"), i, r) for i, r in enumerate(rules)))
+    """One row per finding of ``blobs`` (digest, text, and in ``todo`` the rule versions to run): digest, kind (index into ``rules``), start, end."""
+    none = F.array_remove(F.array(F.lit(0)), 0)
+    empty = F.transform(none, lambda _: F.struct(F.lit(0).alias("kind"), F.lit(0).alias("k"), F.lit(0).alias("gap"), F.lit(0).alias("len"), F.lit(True).alias("ok")))
+    found = F.concat(*(F.when(F.array_contains("todo", r.version), _matches(F.col("text"), i, r)).otherwise(empty) for i, r in enumerate(rules)))
     rows = blobs.select("digest", F.explode(found).alias("m")).select("digest", "m.*")
     w = Window.partitionBy("digest", "kind").orderBy("k")
     end = F.sum(F.col("gap") + F.col("len")).over(w)
@@ -86,47 +96,59 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 class BlobLedger:
-    """What has been scanned under which rule version, and what was found, as two Parquet tables at ``path``."""
+    """Which blobs have been scanned under which rule versions, and what was found, as two Parquet tables at ``path``."""
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    @classmethod
+    def fresh(cls, spark) -> BlobLedger:
+        """An empty ledger in the shared folder."""
+        return cls(spark, folder(spark, "secret-ledger"))
+
     def _read(self, name: str, schema: str) -> DataFrame:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+        if there:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.range(0).select(*(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in schema.split(", ")))
 
     def scanned(self) -> DataFrame:
         return self._read("scanned", "digest string, rule_version int")
 
     def findings(self) -> DataFrame:
-        return self._read("findings", "digest string, rule_version int, kind int, start long, end long")
+        return self._read("findings", "digest string, kind string, start long, end long")
 
-    def update(self, versions: DataFrame, rules: tuple[Rule, ...], rule_version: int) -> DataFrame:
-        """Scan the blobs of ``versions`` not yet seen under ``rule_version``, record them, return all findings of that version.
+    def _todo(self, blobs: DataFrame, versions: list[int]) -> DataFrame:
+        """``blobs`` with the rule versions that the ledger has not seen them under, if any."""
+        seen = self.scanned().where(F.col("rule_version").isin(versions)).groupBy("digest").agg(F.collect_set("rule_version").alias("seen"))
+        every = F.array(*(F.lit(v) for v in versions))
+        todo = F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, "seen"))
+        return blobs.join(seen, "digest", "left").withColumn("todo", todo).drop("seen").where(F.size("todo") > 0)
 
-        Findings are written before the blobs are marked as scanned, so a run cut
+    def update(self, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Scan the blobs of ``texts`` under the versions of ``rules`` not yet seen, record both, and return all findings of these rules.
+
+        Findings are written before the pairs are marked as scanned, so a run cut
         short between the two repeats work instead of losing findings; readers
         drop what was then written twice.
         """
-        seen = self.scanned().where(F.col("rule_version") == rule_version).select("digest")
-        blobs = distinct_blobs(versions).join(seen, "digest", "left_anti")
-        tag = F.lit(rule_version).alias("rule_version")
-        scan_blobs(blobs, rules).select("digest", tag, "kind", "start", "end").write.mode("append").parquet(f"{self.path}/findings")
-        blobs.select("digest", tag).write.mode("append").parquet(f"{self.path}/scanned")
-        return self.findings().where(F.col("rule_version") == rule_version).drop("rule_version").distinct()
-
+        versions = sorted({r.version for r in rules})
+        kinds = F.array(*(F.lit(r.kind) for r in rules))
+        found = scan_blobs(self._todo(distinct_blobs(texts), versions), rules)
+        # texts are read again for their digests, which is less than keeping the unseen ones
+        digests = texts.select(digest(texts["text"]).alias("digest")).distinct()
+        pairs = self._todo(digests, versions).select("digest", F.explode("todo").alias("rule_version"))
+        found.select("digest", F.get(kinds, F.col("kind")).alias("kind"), F.col("start").cast("long"), F.col("end").cast("long")).write.mode("append").parquet(f"{self.path}/findings")
+        pairs.write.mode("append").parquet(f"{self.path}/scanned")
+        order = F.array_position(kinds, F.col("kind")).cast("int") - 1
+        return self.findings().where(F.col("kind").isin([r.kind for r in rules])).distinct().withColumn("kind", order)
 
-def distinct_blobs(versions: DataFrame) -> DataFrame:
-    """Each different text of ``versions`` once, under its address."""
-    text = F.coalesce(versions["text"], F.lit(""))
-    return versions.select(digest(versions["text"]).alias("digest"), text.alias("text")).dropDuplicates(["digest"])
 
-
-def _found(versions: DataFrame, rules: tuple[Rule, ...], rule_version: int, ledger: BlobLedger | None) -> DataFrame:
-    if ledger is not None:
-        return ledger.update(versions, rules, rule_version)
-    return scan_blobs(distinct_blobs(versions), rules)
+def distinct_blobs(texts: DataFrame) -> DataFrame:
+    """Each different text once, under its address."""
+    text = F.coalesce(texts["text"], F.lit(""))
+    return texts.select(digest(texts["text"]).alias("digest"), text.alias("text")).dropDuplicates(["digest"])
 
 
 def _listed(spans: Column, names: list[str]) -> Column:
@@ -138,11 +160,11 @@ def _of_kind(i: int):
     return lambda s: s["kind"] == i
 
 
-def scan(versions: DataFrame, path: str = "doc_id", rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION, ledger: BlobLedger | None = None) -> DataFrame:
-    """Findings of every row of ``versions`` (path, text): counts and digest of the base kinds, and all spans."""
+def scan(versions: DataFrame, path: str = "doc_id", rules: tuple[Rule, ...] = RULES, ledger: BlobLedger | None = None) -> DataFrame:
+    """Findings of every row of ``versions`` (path, text): counts and digest of the base kinds, and all spans.  Without a ledger, a fresh one is used."""
     names = [r.kind for r in rules]
     n_base = len(BASE_RULES)
-    found = _found(versions, rules, rule_version, ledger)
+    found = (ledger or BlobLedger.fresh(versions.sparkSession)).update(versions, rules)
     spans = F.sort_array(F.collect_list(F.struct("start", "kind", "end")))
     by_blob = found.groupBy("digest").agg(spans.alias("all"))
     base = F.filter("all", lambda s: s["kind"] < n_base)
@@ -153,7 +175,7 @@ def scan(versions: DataFrame, path: str = "doc_id", rules: tuple[Rule, ...] = RU
         _listed(F.col("all"), names).alias("spans"),
     )
     paths = versions.select(versions[path].alias(path), digest(versions["text"]).alias("digest"))
-    out = paths.join(by_blob, "digest", "left")
+    out = join_by_count(paths, table(by_blob, "secrets"), "digest", size=F.length("base") + F.length("spans") + 100)
     return out.select(
         path,
         *(F.coalesce(f"n_{names[i]}", F.lit(0).cast("long")).alias(f"n_{names[i]}") for i in range(n_base)),
@@ -162,12 +184,24 @@ def scan(versions: DataFrame, path: str = "doc_id", rules: tuple[Rule, ...] = RU
     )
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def history(versions: DataFrame, path: str = "doc_id") -> DataFrame:
+    """``scan`` of a table that a fresh ledger gets to know in two steps.
+
+    First the rows of one half (by a hash of the path) under the first rule version, then
+    all rows under all versions.  The second step runs every rule on the blobs that are
+    new, and only the later rules on those known, so no pair is scanned twice.
+    """
+    ledger = BlobLedger.fresh(versions.sparkSession)
+    ledger.update(versions.where(F.pmod(F.xxhash64(versions[path]), F.lit(2)) == 0), BASE_RULES)
+    return scan(versions, path, RULES, ledger)
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: BlobLedger | None = None) -> DataFrame:
     """``docs`` with every span replaced by a mask, ``n_chars`` (where there is one) following; texts without findings are untouched.
 
     Overlapping spans of different kinds are masked once, as their union.
     """
-    found = _found(docs, rules, RULE_VERSION, None)
+    found = (ledger or BlobLedger.fresh(docs.sparkSession)).update(docs, rules)
     spans = found.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found_spans"))
     names = docs.columns
     packed = docs.select(digest(docs["text"]).alias("digest"), F.struct(*(docs[c] for c in names)).alias("whole"))
@@ -181,6 +215,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         ),
     )
     rest = F.concat(cut["out"], F.substring(text, (cut["end"] + 1).cast("int"), F.length(text)))
-    new = packed.join(spans, "digest", "left").withColumn("masked", F.when(F.col("found_spans").isNull(), text).otherwise(rest))
+    new = join_by_count(packed, table(spans, "spans"), "digest", size=16 * F.size("found_spans") + 100).withColumn("masked", F.when(F.col("found_spans").isNull(), text).otherwise(rest))
     fields = {"text": F.col("masked"), "n_chars": F.when(F.col("found_spans").isNull(), F.col("whole")["n_chars"]).otherwise(F.length("masked").cast("long")) if "n_chars" in names else None}
     return new.select(*((fields[c] if fields.get(c) is not None else F.col("whole")[c]).alias(c) for c in names))

@@ -36,8 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import join_by_count, table
-from logtide.sources.paths import shared_dir
+from logtide.llm.common import folder, join_by_count, table
 
 MIN_REVISIT = 1000
 SEGMENT_BYTES = 16_384
@@ -141,7 +140,7 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk
     html = F.coalesce(pages["html"], F.lit(""))
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
     same = rows.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
-    joined = join_by_count(rows, table(same.where("n > 1"), "warc-same"), "digest")
+    joined = join_by_count(rows, table(same.where("n > 1").drop("n"), "warc-same"), "digest")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     joined = joined.select(F.col("page_id").cast("string"), "url", F.when(~revisit, F.col("html")).alias("html"), "digest", F.when(revisit, F.col("response").cast("string")).alias("refers_to"))
 
@@ -260,8 +259,8 @@ def read(spark, path: str, page_type: str = "bigint") -> DataFrame:
     pages = pages.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     responses = pages.where("type = 'response'")
     revisits = pages.where("type = 'revisit'").drop("payload_bytes")
-    wanted = revisits.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    sizes = responses.groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes")).join(wanted, "digest")
+    wanted = revisits.select("digest").distinct()
+    sizes = responses.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"))
     revisits = join_by_count(revisits, table(sizes, "warc-sizes"), "digest")
     every = responses.unionByName(revisits.select(*responses.columns))
     return every.select(
@@ -276,6 +275,6 @@ def read(spark, path: str, page_type: str = "bigint") -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to the shared folder and read the archive back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/logtide/warc-{uuid.uuid4().hex}"
+    path = folder(spark, "warc")
     write(pages, path)
     return read(spark, path, pages.schema["page_id"].dataType.simpleString())

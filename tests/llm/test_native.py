@@ -209,7 +209,8 @@ def test_secrets(spark):
             assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(f[1] == k for f in base) for k in range(3)]
             assert r["base_sha256"] == hashlib.sha256(listed(base, names).encode()).hexdigest()
             assert r["spans"] == listed(found, names)
-    assert secret_scan.scan(d.limit(0)).count() == 0
+    assert secret_scan.scan(d.limit(0)).count() == 0 == secret_scan.history(d.limit(0)).count()
+    assert secret_scan.redact(d.limit(0)).count() == 0
 
 
 def test_redaction(spark):
@@ -221,18 +222,33 @@ def test_redaction(spark):
     assert secret_scan.redact(d).columns == d.columns
 
 
-def test_ledger_scans_only_unseen_blobs(spark, tmp_path, monkeypatch):
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path, monkeypatch):
     scanned = []
     real = secret_scan.scan_blobs
-    monkeypatch.setattr(secret_scan, "scan_blobs", lambda b, r=secret_scan.RULES: scanned.append(b.count()) or real(b, r))
+    monkeypatch.setattr(secret_scan, "scan_blobs", lambda b, r=secret_scan.RULES: scanned.append(sorted(tuple(x["todo"]) for x in b.select("todo").collect())) or real(b, r))
     ledger = secret_scan.BlobLedger(spark, f"file://{tmp_path}/l")
-    one = spark.createDataFrame([("a", "token=abcdefghijklmnop"), ("b", "nothing"), ("c", "nothing")], "path string, text string")
-    two = spark.createDataFrame([("a", "token=abcdefghijklmnop"), ("d", "deadbeefdeadbeef"), ("e", "token=abcdefghijklmnop")], "path string, text string")
-    secret_scan.scan(one, "path", ledger=ledger).collect()
+    key = "ghp_" + "zQ" * 20
+    one = spark.createDataFrame([("a", "token=abcdefghijklmnop"), ("b", "nothing"), ("c", "nothing"), ("d", key)], "path string, text string")
+    two = spark.createDataFrame([("a", "token=abcdefghijklmnop"), ("d", "deadbeefdeadbeef"), ("e", "token=abcdefghijklmnop"), ("f", key)], "path string, text string")
+    secret_scan.scan(one, "path", secret_scan.BASE_RULES, ledger).collect()
+    got = {r["path"]: r["spans"] for r in secret_scan.scan(two, "path", secret_scan.BASE_RULES, ledger).collect()}
+    assert got == {"a": "assign:0:22", "d": "hex:0:16", "e": "assign:0:22", "f": ""}
     got = {r["path"]: r["spans"] for r in secret_scan.scan(two, "path", ledger=ledger).collect()}
-    assert got == {"a": "assign:0:22", "d": "hex:0:16", "e": "assign:0:22"}
-    secret_scan.scan(two, "path", rule_version=2, ledger=ledger).collect()
-    assert scanned == [2, 1, 2]  # both blobs of the first, one new, then all again under new rules
+    assert got == {"a": "assign:0:22", "d": "hex:0:16", "e": "assign:0:22", "f": "forge:0:44"}
+    secret_scan.scan(two, "path", ledger=ledger).collect()
+    # three blobs, then one new, then the later rules on the three of them, then nothing
+    assert scanned == [[(1,)] * 3, [(1,)], [(2,)] * 3, []]
+
+
+def test_history_equals_one_scan(spark, monkeypatch):
+    d = docs(spark, SECRETS)
+    expected = sorted(map(str, secret_scan.scan(d).collect()))
+    assert sorted(map(str, secret_scan.history(d).collect())) == expected
+    from logtide.llm import common
+
+    real = common.join_by_count
+    monkeypatch.setattr(secret_scan, "join_by_count", lambda *a, **k: real(*a, few=1, large=1, **k))
+    assert sorted(map(str, secret_scan.history(d).collect())) == expected
 
 
 URLS = [
