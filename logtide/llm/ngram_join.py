@@ -43,7 +43,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.llm.common import table
-from logtide.llm.pieces import Remembered
 
 #: What links unless the caller says otherwise.
 GRAM, PERCENT = 3, 90
@@ -57,8 +56,7 @@ HOT = 20_000
 BROADCAST_WANTED = 300_000
 FOLLOWERS_PER_KEY = 100
 
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-_hashes = Remembered(xxhash.xxh64_intdigest, limit=100_000)
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def shingles(text: str | None, gram: int = GRAM) -> np.ndarray:
@@ -66,7 +64,7 @@ def shingles(text: str | None, gram: int = GRAM) -> np.ndarray:
     ws = (text or "").encode().lower().split()
     if not ws:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
     size = min(gram, len(ws))
     mixed = np.full(len(ws) - size + 1, size, np.uint64)
     for k in range(size):
@@ -75,7 +73,8 @@ def shingles(text: str | None, gram: int = GRAM) -> np.ndarray:
     mixed ^= mixed >> np.uint64(32)
     mixed *= _MIX[1]
     mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -120,7 +119,7 @@ def _sketch(texts: DataFrame, gram: int = GRAM) -> np.ndarray:
 
 def _described(docs: DataFrame, key: str, gram: int, percent: int) -> DataFrame:
     """Per row: size, class, group, ordered prefix, parity bitmap, and how common its rarest shingle is."""
-    rows = docs.select(docs[key].alias("key"), docs["text"].alias("text"))
+    rows = docs.select(docs[key].alias("key"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("text_hash"))
     counts = docs.sparkSession.sparkContext.broadcast(_sketch(rows.select("text"), gram))
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -142,17 +141,16 @@ def _described(docs: DataFrame, key: str, gram: int, percent: int) -> DataFrame:
                 first = s[order]
                 prefix.append(first.view(np.int64))
                 salts.append(np.where(weight[order] > HOT, weight[order] // (HOT // 2), 0).astype(np.int32))
-                # groups of different prefixes under one number would only mean more candidates
-                gid.append(int.from_bytes(hashlib.blake2b(first.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True))
+                gid.append(hashlib.blake2b(first.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest())
                 odd = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
                 bitmap.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 rare.append(int(weight.min()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(bitmap, pa.list_(pa.int64())), pa.array(rare, pa.int64())],
-                ["key", "n", "sig", "gid", "prefix", "salts", "bitmap", "rare"],
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(gid, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(bitmap, pa.list_(pa.int64())), pa.array(rare, pa.int64())],
+                ["key", "text_hash", "n", "sig", "gid", "prefix", "salts", "bitmap", "rare"],
             )
 
-    return rows.mapInArrow(run, f"key {kind}, n long, sig binary, gid long, prefix array<long>, salts array<int>, bitmap array<long>, rare long")
+    return rows.mapInArrow(run, f"key {kind}, text_hash long, n long, sig binary, gid binary, prefix array<long>, salts array<int>, bitmap array<long>, rare long")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -248,7 +246,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     slot = F.arrays_zip(F.col("prefix").alias("shingle"), F.col("salts").alias("salts"))
     slots = groups.select("gid", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), F.posexplode(slot).alias("pos", "s"))
     salted = F.col("s.salts") > 1
-    slots = slots.select("gid", "n", "rare", "pos", F.col("s.shingle").alias("shingle"), F.when(salted, F.pmod(F.col("gid"), F.col("s.salts")).cast("int")).otherwise(F.lit(-1)).alias("salt"))
+    slots = slots.select("gid", "n", "rare", "pos", F.col("s.shingle").alias("shingle"), F.when(salted, F.pmod(F.xxhash64("gid"), F.col("s.salts")).cast("int")).otherwise(F.lit(-1)).alias("salt"))
     w = Window.partitionBy("shingle", "salt").orderBy(F.desc("rare"), "gid")
     alone = F.lag("gid").over(w).isNull() & F.lead("gid").over(w).isNull() & (F.col("salt") < 0)
     top = F.first(F.struct("gid", "n")).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -302,31 +300,51 @@ def _cross_pairs(classes: DataFrame, shared: DataFrame, comps: DataFrame, percen
     return pairs.where(_bitmaps_fit("bitmap_a", "bitmap_b", F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def _least_named(key: Column, text_hash: Column) -> Column:
+    """Aggregate: the least (key, text_hash), one without a key only if there is no other."""
+    name = F.struct(key.alias("key"), text_hash.alias("text_hash"))
+    return F.coalesce(F.min(F.when(key.isNotNull(), name)), F.min(name))
+
+
 def _classified(docs: DataFrame, key: str, gram: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their class, and (sig, component_id) of every class."""
+    """Rows with their class, and for every class (sig, ``of``: least key of its component and the hash of that row's text)."""
     rows = table(_described(docs, key, gram, percent), "shingled")
-    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("key").alias("name"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bitmap").alias("bitmap"))
-    classes = table(classes, "classes")
+    least = _least_named(F.col("key"), F.col("text_hash"))
+    classes = rows.where("sig is not null").groupBy("sig").agg(least.alias("least"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bitmap").alias("bitmap"))
+    classes = table(classes.withColumn("name", F.col("least.key")), "classes")
     shared = _shared(rows)
     links = _verified(docs, key, classes, _first_pairs(classes, shared, percent), gram, percent)
     comps = components_of(links)
     more = _verified(docs, key, classes, _cross_pairs(classes, shared, comps, percent), gram, percent)
     comps = components_of(links.unionByName(more))
-    named = classes.select("sig", "name").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    least = named.groupBy("comp").agg(F.min("name").alias("component_id"))
-    return rows, named.join(least, "comp").select("sig", "component_id")
+    named = classes.select("sig", "least").join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    of = named.groupBy("comp").agg(_least_named(F.col("least.key"), F.col("least.text_hash")).alias("of"))
+    return rows, named.join(of, "comp").select("sig", "of")
 
 
 def components(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Size of the shingle set and component of every row of ``docs`` (key, text)."""
     rows, classes = _classified(docs, key, gram, percent)
     out = rows.select("key", "n", "sig").join(classes, "sig", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("of.key")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, and those without shingles; rows of one id stand or fall together."""
-    rows = table(components(docs, key, gram, percent), "components")
-    drop = rows.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("drop_key")).distinct()
-    small = drop.count() <= BROADCAST_WANTED
-    return docs.join(F.broadcast(drop) if small else drop, docs[key].eqNullSafe(drop["drop_key"]), "left_anti")
+    """One row of each component of ``docs``: that of the least key (then least text hash); rows without shingles all stay.
+
+    Rows are told apart by key and text, so rows of one key may part company; of rows equal in both, one stays.
+    """
+    rows, classes = _classified(docs, key, gram, percent)
+    first = F.col("key").eqNullSafe(F.col("of.key")) & (F.col("text_hash") == F.col("of.text_hash"))
+    rows = rows.where("sig is not null").select("key", "text_hash", "sig").join(classes, "sig").select("key", "text_hash", first.alias("first"))
+    every = rows.groupBy("key", "text_hash").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    marked = table(every.where("n > 1 or not first").select(F.col("key").alias("its_key"), F.col("text_hash").alias("its_hash"), "first"), "marked")
+    small, again = marked.count() <= BROADCAST_WANTED, marked.where("first").limit(1).count() > 0
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), docs[key].alias("key"), F.xxhash64(docs["text"]).alias("text_hash"))
+    hint = F.broadcast(marked) if small else marked
+    on = packed["key"].eqNullSafe(hint["its_key"]) & (packed["text_hash"] == hint["its_hash"])
+    joined = packed.join(hint, on, "left")
+    kept = joined.where(F.col("first").isNull()).select("whole")
+    if again:
+        kept = kept.unionByName(joined.where("first").dropDuplicates(["key", "text_hash"]).select("whole"))
+    return kept.select(*(F.col("whole")[c].alias(c) for c in docs.columns))

@@ -351,7 +351,21 @@ def test_components(spark):
     assert sorted(got, key=str) == brute(rows)
     kept = ngram_join.one_of_each(df)
     assert kept.columns == df.columns
-    assert {r["doc_id"] for r in kept.collect()} == {k for k, _ in rows if k is not None and (str(k), k) in {(a, c) for a, _, c in brute(rows)}}
+    found = brute(rows)
+    named = {c for _, n, c in found if n}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*named, *(int(k) for k, n, _ in found if not n)], key=str)
+
+
+def test_one_row_of_each_component_where_ids_repeat(spark, monkeypatch):
+    a, b, c = (" ".join(sentence(50, 5000)) for _ in range(3))
+    rows = [(5, a), (5, a), (5, b), (3, b + " more"), (3, c), (7, c), (None, c), (None, "alone here by itself"), (8, None), (8, None), (9, "")]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, key int")
+    expected = sorted([(5, a), (3, b + " more"), (3, c), (None, "alone here by itself"), (8, None), (8, None), (9, "")], key=str)
+    for wanted in (300_000, -1):
+        monkeypatch.setattr(ngram_join, "BROADCAST_WANTED", wanted)
+        kept = ngram_join.one_of_each(df, percent=90)
+        assert kept.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == expected
 
 
 def test_components_of_hot_keys(spark, monkeypatch):
