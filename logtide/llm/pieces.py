@@ -17,6 +17,7 @@ Only models with the identity normaliser are accepted.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -114,12 +115,35 @@ def in_bits(vocab: Vocabulary) -> Vocabulary:
 
 
 class Merges:
-    """Plain merging of short strings, remembered for pairs of pieces."""
+    """Merging of strings, and which pairs of pieces it leaves as they are.
+
+    ``merge`` is plain merging: the best-scored pair first, the leftmost of equals.
+    ``stable`` answers for a pair by undoing merges at the boundary: the later of the two
+    pieces' last merges is taken back, and a merge across the boundary that would have
+    come before it spoils the pair.  That needs pieces to rank behind their parts; pairs
+    with one that does not (runs of blanks, often) are answered by merging.
+    """
 
     def __init__(self, vocab: Vocabulary, limit: int = 150_000):
         self.scores, self.limit, self.known = vocab.scores, limit, {}
-
-    def merge(self, symbols: list[str]) -> list[str]:
+        ranked = sorted(self.scores, key=self.scores.get, reverse=True)
+        self.rank = {p: i for i, p in enumerate(ranked) if len(p) > 1}
+        #: Piece -> the two parts of its last merge; None for one that merging does not give.
+        self.parts: dict[str, tuple[str, str] | None] = {}
+        for p in self.rank:
+            self._split(p)
+        of_score = Counter(self.scores[p] for p in self.rank)
+        #: Pieces that do not rank behind their parts or share a score, and those made from such.
+        self.odd = {p for p, lr in self.parts.items() if of_score[self.scores[p]] > 1 or (lr and max(self.rank.get(x, -1) for x in lr) >= self.rank[p])}
+        while more := {p for p, lr in self.parts.items() if lr and p not in self.odd and not self.odd.isdisjoint(lr)}:
+            self.odd |= more
+
+    def _split(self, piece: str) -> None:
+        last: list = []
+        symbols = self.merge(list(piece), last)
+        self.parts[piece] = last[-1] if symbols == [piece] else None
+
+    def merge(self, symbols: list[str], steps: list | None = None) -> list[str]:
         scores = self.scores
         while True:
             best = None
@@ -130,6 +154,8 @@ class Merges:
             if best is None:
                 return symbols
             i = best[1]
+            if steps is not None:
+                steps.append((symbols[i], symbols[i + 1]))
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
 
     def stable(self, left: str, right: str) -> bool:
@@ -138,15 +164,43 @@ class Merges:
         if got is None:
             if len(self.known) >= self.limit:
                 self.known.clear()
-            got = self.known[key] = self.merge(list(left + right)) == ([left, right] if left else [right])
+            got = self.known[key] = self._undone(left, right)
         return got
 
+    def _merged(self, left: str, right: str) -> bool:
+        return self.merge(list(left + right)) == ([left, right] if left else [right])
+
+    def _undone(self, left: str, right: str) -> bool:
+        rank, parts = self.rank, self.parts
+        if parts.get(left, True) is None or parts.get(right, True) is None:
+            return False
+        if not left:
+            return True
+        if left in self.odd or right in self.odd:
+            return self._merged(left, right)
+        whole = left, right
+        before = len(rank) + len(self.scores)  # merges across the boundary ranked below this spoil the pair
+        while True:
+            across = rank.get(left + right)
+            if across is not None:
+                if left + right in self.odd:
+                    return self._merged(*whole)
+                if across < before:
+                    return False
+            one, two = rank.get(left, -1), rank.get(right, -1)
+            if one < 0 and two < 0:
+                return True
+            if one > two:  # the left piece was completed later; of equals the left one is first
+                before, left = one, parts[left][1]
+            else:  # a merge across stands left of one inside the right piece, so it wins against its equal
+                before, right = two + 1, parts[right][0]
+
 
 class StreamingViterbi:
     """Left-to-right encoder that keeps a window bounded by the longest piece.
 
-    ``push`` takes more of a (normalised) text and returns the ids that no later
-    text can change: those before the boundary at which the backpointer paths of all
+    ``push`` takes more of a (normalised) text and, once the window is longer than the
+    longest piece, returns the ids that no later text can change: those before the boundary at which the backpointer paths of all
     survivors have met.  Survivors are the positions from which a later piece can
     still start, that is those whose rest of the text is the beginning of a piece,
     and the end.  Matches and scores reach back no further than the longest piece;
@@ -181,7 +235,7 @@ class StreamingViterbi:
         else:
             self._pairs(done)
         self.fresh = False
-        return self._commit(False)
+        return self._commit(False) if len(self.text) > self.v.longest else []
 
     def finish(self) -> list[int]:
         out = self._commit(True) if self.text else []
@@ -208,23 +262,20 @@ class StreamingViterbi:
             self.begun[begin] = self.last[: BEGIN + 1]
 
     def _pairs(self, done: int) -> None:
-        text, last, known, stable = self.text, self.last, self.m.known, self.m.stable
+        text, last, known, stable = self.text, self.last, self.m.known.get, self.m.stable
+        settled = len(last)
         for end, piece in self.automaton.iter(text, max(0, done - self.v.longest + 1)):
-            settled = len(last)
-            if end < done or settled > end + 1:
+            if settled > end + 1 or end < done:
                 continue
             while settled <= end:  # no piece ends there: a character without one
                 last.append(text[settled - 1])
                 settled += 1
-            start = end + 1 - len(piece)
-            if start < 0:
-                continue
-            left = last[start]
-            ok = known.get((left, piece))
+            left = last[end + 1 - len(piece)]
+            ok = known((left, piece))
             if ok or (ok is None and stable(left, piece)):
                 last.append(piece)
-        for i in range(len(last) - 1, len(text)):
-            last.append(text[i])
+                settled += 1
+        last.extend(text[settled - 1 :])
 
     def _scores(self, done: int) -> None:
         text, last, score, scores, worst = self.text, self.last, self.score, self.v.scores, self.v.worst

@@ -92,6 +92,21 @@ def test_counts_equal_the_library():
         assert score == known + unknown * (min(c.window.u.scores.values()) - 10), t
 
 
+def test_pairs_left_alone_by_merging():
+    v = pieces.load_vocabulary(MODEL)
+    m = pieces.Merges(v)
+    assert 0 < len(m.odd) < 50
+    some = [p for p in v.ids if rng.random() < 0.05 or len(p) < 3] + ["漢", "\x01", *(p for p in v.ids if p.startswith("▁▁"))]
+    close = {}
+    for p in v.ids:
+        close.setdefault(p[0], []).append(p)
+    for _ in range(30_000):
+        left = rng.choice(some)
+        right = rng.choice(some if rng.random() < 0.5 else close.get(left[-1], some))
+        assert m._undone(left, right) == m._merged(left, right), (left, right)
+    assert all(m._undone("", p) == m._merged("", p) for p in some)
+
+
 def test_cache_keeps_results(monkeypatch):
     r = pieces.Remembered(len, limit=3)
     for x in ["a", "bb", "ccc", "dddd", "a", "bb", "eeeee"] * 3:
