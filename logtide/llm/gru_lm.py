@@ -6,15 +6,17 @@ most frequent ``VOCABULARY`` of them; any other word is the unknown word times t
 word's share of the counts outside the vocabulary, so every probability comes from
 one distribution over the words seen plus one slot for a word never seen.
 
-The output softmax is factored: words are put by rank of frequency into classes of
-``CLASS`` words, and a word's probability is that of its class times that of the
-word within its class.  Output biases start at the counts, weights at small fixed
+The output softmax is factored: words are put by rank of frequency into classes, the
+unknown word into one of its own and frequent words into small ones, and a word's
+probability is that of its class times that of the word within its class.  Output biases start at the counts, weights at small fixed
 random numbers.  Training is truncated backpropagation in windows of ``WINDOW``
 tokens, the state carried from window to window and reset between documents; lanes
 are equally long, so that no long document is left to make steps alone.  Each task trains on its own documents from the common weights, and the weights are
 averaged by tokens trained on; ``ROUNDS`` times.  The rounds deal the training
 documents among them by a hash of the id, so every one makes gradient steps in
 exactly one round; counts, vocabulary and all scores take every document as well.
+Weights, and with them ``score``, depend on how rows fall into tasks; the other
+columns do not.
 
 Scoring carries the state across windows through each whole document.  Documents
 are laid end to end in parallel lanes, long ones first.
@@ -31,8 +33,10 @@ unknown to the base score; texts are scored whole; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +45,17 @@ from pyspark.sql import functions as F
 
 from logtide.llm.common import table
 
-VOCABULARY, CLASS = 4096, 64
+VOCABULARY = 4096
+#: Sizes of classes, and the word numbers up to which they hold.
+CLASSES = ((1, 1), (16, 65), (32, 1025), (128, 1 << 31))
 KNOWN = 131_072
 HIDDEN = 16
-WINDOW, LANES = 16, 64
+WINDOW, LANES = 16, 1024
 #: Few tokens are laid in fewer lanes, so that they still make about so many steps.
 LEAST_STEPS = 100
 SCORE_WINDOW, SCORE_LANES, SCORE_TOKENS = 32, 512, 1_500_000
 ROUNDS = 2
-RATE = 0.005
+RATE = 0.02
 HELD_OUT = 10
 FLUSH = 400_000
 END = b""
@@ -62,21 +68,49 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+def class_starts(n: int, sizes=CLASSES) -> np.ndarray:
+    """Where the classes of ``n`` words begin, and where the last ends (at ``n`` or, filled up, behind it)."""
+    out = [0]
+    while out[-1] < n:
+        out.append(out[-1] + next(size for size, upto in sizes if out[-1] < upto))
+    return np.array(out)
+
+
+def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and their sums by row."""
+    p = np.exp(logits)
+    total = p.sum(1)
+    if not np.isfinite(total).all():
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        total = p.sum(1)
+    return p, total
+
+
+def _sum_by(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by key, for keys below ``n``."""
+    out = np.empty((n, rows.shape[1]), rows.dtype)
+    for i, column in enumerate(np.ascontiguousarray(rows.T)):
+        out[:, i] = np.bincount(keys, weights=column, minlength=n)
+    return out
+
+
 class Network:
     """Weights, by name, of a network whose words are numbered by falling frequency; word 0 is the unknown word."""
 
     NAMES = ("embed", "wx", "wh", "bias", "wc", "bc", "wo", "bo")
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+    def __init__(self, weights: dict[str, np.ndarray], starts: np.ndarray):
+        self.w, self.starts = weights, starts
+        self.class_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts)).astype(np.int16)
 
     @classmethod
-    def fresh(cls, counts: np.ndarray, hidden: int = HIDDEN, size: int = CLASS) -> Network:
+    def fresh(cls, counts: np.ndarray, hidden: int = HIDDEN, sizes=CLASSES) -> Network:
         """Starting weights for words with these counts (of the unknown word first); the last class is filled up with words that never occur."""
-        n = -(-len(counts) // size) * size
+        starts = class_starts(len(counts), sizes)
+        n = int(starts[-1])
         share = np.full(n, 1e-12)
         share[: len(counts)] = np.maximum(counts, 0) + 0.1
-        by_class = share.reshape(-1, size)
+        by_class = np.add.reduceat(share, starts[:-1])
         rng = np.random.default_rng(7)
 
         def small(*shape):
@@ -88,11 +122,12 @@ class Network:
                 "wx": small(hidden, 3 * hidden),
                 "wh": small(hidden, 3 * hidden),
                 "bias": np.zeros(3 * hidden, np.float32),
-                "wc": small(hidden, n // size) * 0.1,
-                "bc": np.log(by_class.sum(1) / share.sum()).astype(np.float32),
+                "wc": small(hidden, len(by_class)) * 0.1,
+                "bc": np.log(by_class / share.sum()).astype(np.float32),
                 "wo": small(n, hidden) * 0.1,
-                "bo": np.log(share / np.repeat(by_class.sum(1), size)).astype(np.float32),
-            }
+                "bo": np.log(share / np.repeat(by_class, np.diff(starts))).astype(np.float32),
+            },
+            starts,
         )
 
     def packed(self) -> np.ndarray:
@@ -104,40 +139,45 @@ class Network:
             n = self.w[k].size
             out[k] = flat[at : at + n].reshape(self.w[k].shape).astype(np.float32)
             at += n
-        return Network(out)
+        return Network(out, self.starts)
 
-    @property
-    def size(self) -> int:
-        return len(self.w["bo"]) // len(self.w["bc"])
+    def table(self) -> np.ndarray:
+        """What each word as input adds to the gates."""
+        return self.w["embed"] @ self.w["wx"] + self.w["bias"]
 
     def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False, table: np.ndarray | None = None):
         """Hidden states for a window of inputs (time, lane).  ``fresh``: 1 where a document starts; ``keep``: also what the backward pass needs."""
-        w, n = self.w, len(h[0])
-        x = (table if table is not None else w["embed"] @ w["wx"] + w["bias"])[inputs]
-        out = np.empty((len(inputs), *h.shape), np.float32)
-        kept = []
+        n, wh = h.shape[1], self.w["wh"]
+        x = (table if table is not None else self.table())[inputs]
+        out = np.empty((len(inputs), *h.shape), x.dtype)
+        kept = np.empty((5, len(inputs), *h.shape), x.dtype) if keep else None
         for t in range(len(inputs)):
             before = h * (1 - fresh[t])[:, None]
-            g = before @ w["wh"]
-            zr = 1 / (1 + np.exp(-(x[t, :, : 2 * n] + g[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(x[t, :, 2 * n :] + r * g[:, 2 * n :])
-            h = c + z * (before - c)
-            out[t] = h
+            g = before @ wh
+            zr = x[t, :, : 2 * n] + g[:, : 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r, gn = zr[:, :n], zr[:, n:], g[:, 2 * n :]
+            c = r * gn
+            c += x[t, :, 2 * n :]
+            np.tanh(c, out=c)
             if keep:
-                kept.append((before, z, r, c, g[:, 2 * n :]))
+                kept[0, t], kept[1, t], kept[2, t], kept[3, t], kept[4, t] = before, z, r, c, gn
+            before -= c
+            before *= z
+            before += c
+            out[t] = h = before
         return out, h, kept
 
     def output(self, hidden: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target; adds weight gradients of minus their sum, and returns those of the hidden states."""
-        w, size = self.w, self.size
-        cls = targets // size
-        logits = hidden @ w["wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
+        w = self.w
+        cls = self.class_of[targets]
+        p, total = _softmax(hidden @ w["wc"] + w["bc"])
         rows = np.arange(len(targets))
-        logp = logits[rows, cls] - np.log(total)
+        picked = p[rows, cls] / total
         back = None
         if grads is not None:
             p /= total[:, None]
@@ -145,18 +185,16 @@ class Network:
             grads["wc"] += hidden.T @ p
             grads["bc"] += p.sum(0)
             back = p @ w["wc"].T
+        logp = np.log(picked)
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(w["bc"]) + 1))
-        for c in np.unique(cls):
-            at = order[bounds[c] : bounds[c + 1]]
-            mine = slice(c * size, (c + 1) * size)
+        ends = np.searchsorted(cls[order], np.arange(len(self.starts)))
+        for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.starts) > 1)):
+            at = order[ends[c] : ends[c + 1]]
+            mine = slice(self.starts[c], self.starts[c + 1])
             h = hidden[at]
-            logits = h @ w["wo"][mine].T + w["bo"][mine]
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(1)
-            k, i = targets[at] - c * size, np.arange(len(at))
-            logp[at] += logits[i, k] - np.log(total)
+            p, total = _softmax(h @ w["wo"][mine].T + w["bo"][mine])
+            k, i = targets[at] - self.starts[c], np.arange(len(at))
+            logp[at] += np.log(p[i, k] / total)
             if grads is not None:
                 p /= total[:, None]
                 p[i, k] -= 1
@@ -174,57 +212,47 @@ class Network:
         logp, back = self.output(states[on], targets[on], grads)
         dstates = np.zeros_like(states)
         dstates[on] = back
-        n = states.shape[2]
-        dg = np.zeros((*inputs.shape, 3 * n), np.float32)
+        n, whole = states.shape[2], w["wh"].T
+        before, z, r, c, gn = kept
+        # what a change of the state does to the gates, before it is known
+        of_c = (1 - z) * (1 - c * c)
+        of_z = (before - c) * z * (1 - z)
+        of_r = gn * r * (1 - r)
+        go = 1 - fresh
+        dg = np.empty((*inputs.shape, 3 * n), states.dtype)
+        through = np.empty_like(dg)
         dnext = np.zeros_like(last)
         for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, c, gn = kept[t]
             dh = dstates[t] + dnext
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * gn * r * (1 - r)
-            dg[t] = np.concatenate([dz, dr, dc], 1)
-            through = np.concatenate([dz, dr, dc * r], 1)
-            grads["wh"] += before.T @ through
-            dnext = (dh * z + through @ w["wh"].T) * (1 - fresh[t])[:, None]
-        flat, x = dg.reshape(-1, 3 * n), w["embed"][inputs].reshape(-1, n)
-        grads["wx"] += x.T @ flat
+            dc = np.multiply(dh, of_c[t], out=dg[t, :, 2 * n :])
+            np.multiply(dh, of_z[t], out=dg[t, :, :n])
+            np.multiply(dc, of_r[t], out=dg[t, :, n : 2 * n])
+            through[t, :, : 2 * n] = dg[t, :, : 2 * n]
+            np.multiply(dc, r[t], out=through[t, :, 2 * n :])
+            dh *= z[t]
+            dh += through[t] @ whole
+            dh *= go[t][:, None]
+            dnext = dh
+        grads["wh"] += before.reshape(-1, n).T @ through.reshape(-1, 3 * n)
+        flat, words = dg.reshape(-1, 3 * n), inputs.ravel()
+        grads["wx"] += w["embed"][words].T @ flat
         grads["bias"] += flat.sum(0)
-        np.add.at(grads["embed"], inputs.ravel(), flat @ w["wx"].T)
+        grads["embed"] += _sum_by(words, flat @ w["wx"].T, len(w["embed"]))
         return -float(logp.sum()), grads, last
 
 
 def lanes(docs: list[np.ndarray], width: int):
-    """Documents end to end in at most ``width`` lanes: arrays (time, lane) of targets, of document starts, and of row numbers (-1: nothing), lanes by falling length."""
-    import heapq
-
+    """Documents end to end in at most ``width`` lanes: the lanes' lengths, falling, and all lanes end to end as
+    arrays of document numbers in order; nothing is as large as the longest lane times their number."""
     heap = [(0, i) for i in range(min(width, len(docs)))]
     mine: list[list[int]] = [[] for _ in heap]
     for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
         n, i = heapq.heappop(heap)
         mine[i].append(d)
         heapq.heappush(heap, (n + len(docs[d]), i))
-    mine.sort(key=lambda ds: -sum(len(docs[d]) for d in ds))
-    length = max((sum(len(docs[d]) for d in ds) for ds in mine), default=0)
-    targets = np.zeros((length, len(mine)), np.int32)
-    fresh = np.zeros((length, len(mine)), np.float32)
-    rows = np.full((length, len(mine)), -1, np.int32)
-    for i, ds in enumerate(mine):
-        at = 0
-        for d in ds:
-            fresh[at, i] = 1
-            targets[at : at + len(docs[d]), i] = docs[d]
-            rows[at : at + len(docs[d]), i] = d
-            at += len(docs[d])
-    return targets, fresh, rows
-
-
-def _inputs(targets: np.ndarray, fresh: np.ndarray, end: int) -> np.ndarray:
-    """The word before each target; the end mark before a document's first."""
-    out = np.roll(targets, 1, axis=0)
-    out[0] = end
-    out[fresh > 0] = end
-    return out
+    sizes = [sum(len(docs[d]) for d in ds) for ds in mine]
+    order = sorted(range(len(mine)), key=lambda i: -sizes[i])
+    return np.array([sizes[i] for i in order], np.int64), [d for i in order for d in mine[i]]
 
 
 def stream(net: Network, docs: list[np.ndarray], end: int, width: int, window: int):
@@ -253,12 +281,15 @@ def stream(net: Network, docs: list[np.ndarray], end: int, width: int, window: i
     owner = starts[np.searchsorted(starts, cuts, side="right") - 1]
     # (first, length) of what has to be read before each cut, long ones first; a document cut more than once is read to each cut
     lead = sorted(((int(c - o), int(o), i) for i, (c, o) in enumerate(zip(cuts, owner), 1) if c > o), reverse=True)
-    table_ = net.w["embed"] @ net.w["wx"] + net.w["bias"]
-    at = np.zeros((len(lead), h.shape[1]), np.float32)
+    table_ = net.table()
+    at, nothing = np.zeros((len(lead), h.shape[1]), np.float32), np.zeros((1, len(lead)), np.float32)
+    lengths, firsts = np.array([k for k, _, _ in lead]), np.array([o for _, o, _ in lead])
+    live = len(lead)
     for t in range(lead[0][0] if lead else 0):
-        live = sum(k > t for k, _, _ in lead)
-        now = before[[o + t for _, o, _ in lead[:live]]][None]
-        _, at[:live], _ = net.states(now, np.zeros((1, live), np.float32), at[:live], table=table_)
+        while lengths[live - 1] <= t:
+            live -= 1
+        now = before[firsts[:live] + t][None]
+        _, at[:live], _ = net.states(now, nothing[:, :live], at[:live], table=table_)
     for x, (_, _, i) in zip(at, lead):
         h[i] = x
     return laid(before, np.int32), laid(flat, np.int32), laid(1, bool), laid(first, np.float32), h
@@ -282,27 +313,40 @@ def train(net: Network, docs: list[np.ndarray], end: int, rate: float = RATE, wi
         for k, g in grads.items():
             g /= n
             first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            net.w[k] -= (rate / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+            g *= g
+            second[k] += 0.01 * (g - second[k])
+            g = np.sqrt(second[k] / (1 - 0.99**step))
+            g += 1e-6
+            net.w[k] -= (rate / (1 - 0.9**step)) * first[k] / g
     return net, int(used.sum())
 
 
 def log_probabilities(net: Network, docs: list[np.ndarray], end: int, width: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
     """Natural log probability of every document, the state carried through all of it."""
     out = np.zeros(len(docs))
-    targets, fresh, rows = lanes(docs, width)
-    inputs = _inputs(targets, fresh, end)
-    table_ = net.w["embed"] @ net.w["wx"] + net.w["bias"]
-    h = np.zeros((targets.shape[1], net.w["wh"].shape[0]), np.float32)
-    for t in range(0, len(targets), window):
-        part = slice(t, t + window)
-        live = int((rows[t] >= 0).sum())
-        cut = (part, slice(0, live))
-        states, h, _ = net.states(inputs[cut], fresh[cut], h[:live], table=table_)
-        mine = rows[cut]
-        on = np.nonzero(mine >= 0)
-        logp, _ = net.output(states[on], targets[cut][on])
-        out += np.bincount(mine[on], weights=logp, minlength=len(docs))
+    sizes, order = lanes(docs, width)
+    if not order:
+        return out
+    targets = np.concatenate([docs[d] for d in order]).astype(np.int32)
+    lengths = np.array([len(docs[d]) for d in order])
+    rows = np.repeat(np.array(order, np.int32), lengths)
+    starts = np.cumsum(lengths) - lengths
+    inputs = np.roll(targets, 1)
+    inputs[starts] = end
+    first = np.zeros(len(targets), np.float32)
+    first[starts] = 1
+    offsets = np.cumsum(sizes) - sizes
+    table_ = net.table()
+    h = np.zeros((len(sizes), net.w["wh"].shape[0]), np.float32)
+    for t in range(0, int(sizes[0]), window):
+        live = int((sizes > t).sum())
+        steps = np.arange(t, min(t + window, int(sizes[0])))[:, None]
+        on = steps < sizes[None, :live]
+        at = np.where(on, offsets[None, :live] + steps, 0)
+        states, h, _ = net.states(inputs[at], first[at], h[:live], table=table_)
+        at = at[on]
+        logp, _ = net.output(states[on], targets[at])
+        out += np.bincount(rows[at], weights=logp, minlength=len(docs))
     return out
 
 
@@ -326,6 +370,10 @@ class Words:
         self.share[:inside] = 0.0
         self.end = int(self.number[self.of[END]]) if END in self.of else 0
 
+    def looked_up(self, ts: list[bytes]) -> np.ndarray:
+        """Places of tokens among the frequent ones; their number for any other."""
+        return np.fromiter(map(self.of.get, ts, repeat(len(self.of))), np.int64, len(ts))
+
 
 def counts_of(texts: DataFrame) -> DataFrame:
     """(token, c) over all texts."""
@@ -350,21 +398,30 @@ def counts_of(texts: DataFrame) -> DataFrame:
 def frequent(counts: DataFrame, most: int | None = None) -> list[tuple[bytes, int]]:
     """The most frequent tokens, at most ``most`` of them, by falling count.
 
-    Whole bins of counts (octaves cut in eight) are taken from the top while they fit,
-    so what reaches the driver is bounded however many tasks hold counts.
+    Whole bins of counts (octaves cut in eight) are taken from the top while they fit, then
+    whole counts of the next bin, then tokens of the next count by a hash, a few short of
+    the room.  So what reaches the driver is bounded however many tasks hold counts.
     """
-    most = KNOWN if most is None else most
+    room = KNOWN if most is None else most
     bin_ = F.floor(F.log2("c") * 8)
-    bins = counts.groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()
-    least, room = None, most
-    for r in bins:
-        room -= r["n"]
-        if room < 0:
+    wanted = F.lit(False)
+    for level, of in ((bin_, F.lit(True)), (F.col("c"), None)):
+        of = of if of is not None else bin_ == next_
+        sizes = counts.where(of).groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()
+        next_ = least = None
+        for r in sizes:
+            if r["n"] > room:
+                next_, of_next = r["b"], r["n"]
+                break
+            least, room = r["b"], room - r["n"]
+        if least is not None:
+            wanted = wanted | (of & (level >= least))
+        if next_ is None:
             break
-        least = r["b"]
-    if least is None:
-        return []
-    rows = counts.where(bin_ >= least).collect()
+    else:
+        part = 1 << 20
+        wanted = wanted | ((F.col("c") == next_) & (F.pmod(F.xxhash64("token"), F.lit(part)) < int(part * 0.98 * room / of_next)))
+    rows = counts.where(wanted).collect()
     return sorted(((bytes(r["token"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
@@ -378,8 +435,8 @@ def _train_round(net: Network, words: Words, texts: DataFrame) -> Network:
         now, done, docs, size = start, 0, [], 0
         for b in batches:
             for t in b.column(0):
-                at = np.array([w.of.get(x, len(w.of)) for x in tokens(t.as_py())], np.int64)
-                docs.append(w.number[at])
+                docs.append(w.number[w.looked_up(tokens(t.as_py()))])
+                at = docs[-1]
                 size += len(at)
                 if size >= SCORE_TOKENS:
                     now, k = train(now, docs, w.end)
@@ -434,7 +491,7 @@ def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, w = sent.value
-        of, other = w.of, len(w.of)
+        other = len(w.of)
 
         def scored(keys, held, ids, docs, head, base, extra, rest):
             logp = log_probabilities(net, docs, w.end) / _LN10 + np.array(extra)
@@ -449,7 +506,7 @@ def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         for b in batches:
             for i in range(len(b)):
                 ts = tokens(b.column(1)[i].as_py())
-                at = np.array([of.get(x, other) for x in ts], np.int64)
+                at = w.looked_up(ts)
                 outside = at == other
                 now[0].append(b.column(0).slice(i, 1))
                 now[1].append(b.column(2)[i].as_py())
@@ -458,7 +515,7 @@ def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 now[4].append(int(len(at) - outside.sum()))
                 now[5].append(float(w.base[at].sum()))
                 now[6].append(float(w.share[at].sum()))
-                rest = Counter(ts[k] for k in np.flatnonzero(outside))
+                rest = Counter(map(ts.__getitem__, np.flatnonzero(outside).tolist()))
                 now[7].append([{"token": x, "m": m} for x, m in rest.items()])
                 size += len(at)
                 if size >= SCORE_TOKENS:

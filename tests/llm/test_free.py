@@ -220,7 +220,7 @@ def test_decontaminated_rows(spark):
 
 
 def test_gradients():
-    net = gru_lm.Network.fresh(np.array([5, 4, 3, 2, 2, 1, 1.0]), hidden=3, size=4)
+    net = gru_lm.Network.fresh(np.array([5, 4, 3, 2, 2, 1, 1.0]), hidden=3, sizes=((1, 1), (2, 3), (4, 99)))
     net.w = {k: v.astype(np.float64) * (1 if k in ("bo", "bc") else 3) for k, v in net.w.items()}
     r = np.random.default_rng(0)
     x, y, mask, fresh, h = r.integers(0, 7, (5, 2)), r.integers(0, 7, (5, 2)), np.ones((5, 2), bool), np.zeros((5, 2)), r.standard_normal((2, 3))
@@ -238,7 +238,7 @@ def test_gradients():
 
 
 def test_probabilities_sum_to_one_and_state_is_carried():
-    net = gru_lm.Network.fresh(np.array([1.0, 5, 4, 3, 2]), hidden=4, size=3)
+    net = gru_lm.Network.fresh(np.array([1.0, 5, 4, 3, 2]), hidden=4, sizes=((3, 99),))
     hidden = np.random.default_rng(2).standard_normal((1, 4)).astype(np.float32)
     every = [net.output(hidden, np.array([k]))[0][0] for k in range(6)]
     assert np.exp(every).sum() == pytest.approx(1, abs=1e-5)
@@ -246,10 +246,31 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     one = gru_lm.log_probabilities(net, docs, 1, width=1, window=7)
     assert np.allclose(one, gru_lm.log_probabilities(net, docs, 1, width=8, window=64), atol=1e-4)
     # one document, step by step without windows
-    states, _, _ = net.states(gru_lm._inputs(docs[0][:, None], np.eye(120)[:, :1], 1), np.eye(120, dtype=np.float32)[:, :1], np.zeros((1, 4), np.float32))
+    states, _, _ = net.states(np.concatenate([[1], docs[0][:-1]])[:, None], np.eye(120, dtype=np.float32)[:, :1], np.zeros((1, 4), np.float32))
     assert net.output(states[:, 0], docs[0])[0].sum() == pytest.approx(one[0], abs=1e-3)
 
 
+def test_one_long_text_among_short_ones_takes_little_memory():
+    import tracemalloc
+
+    net = gru_lm.Network.fresh(np.ones(200))
+    docs = [np.ones(300_000, np.int64), *[np.array([1, 2, 3])] * 511]
+    tracemalloc.start()
+    got = gru_lm.log_probabilities(net, docs, 1)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000 and got[1] == pytest.approx(got[511], abs=1e-4) and got[0] < got[1] < 0
+    tracemalloc.stop()
+
+
+def test_frequent_tokens_fill_the_room(spark):
+    rows = [(f"t{i}".encode(), 1 + (i < 900) + (i < 300) * 40 + (i < 20) * i * 100) for i in range(4000)]
+    counts = spark.createDataFrame(rows, "token binary, c long")
+    for most in (0, 5, 100, 310, 900, 2500, 10_000):
+        got = gru_lm.frequent(counts, most)
+        assert min(most, 4000) * 0.9 - 3 <= len(got) <= most, most
+        least = min((c for _, c in got), default=99_999)
+        assert all((t, c) in set(got) for t, c in rows if c > least)
+
+
 def test_scores(spark):
     pattern = "alpha beta gamma delta epsilon zeta"
     rows = [(i, " ".join([pattern] * 12) if i % 3 else f"Alpha rare{i} beta", "c") for i in range(300)]
@@ -288,13 +309,13 @@ def test_every_training_document_makes_gradient_steps(spark, monkeypatch):
 
 
 def test_training_lanes_hold_every_token_with_its_state():
-    net = gru_lm.Network.fresh(np.array([1.0, 5, 4, 3, 2]), hidden=4, size=3)
+    net = gru_lm.Network.fresh(np.array([1.0, 5, 4, 3, 2]), hidden=4, sizes=((3, 99),))
     docs = [np.array([2, 3, 4, 1, 2, 3, 2, 2, 4, 1]), np.array([3, 1]), np.array([4, 2, 3, 3, 2, 1]), np.array([1])]
     inputs, targets, used, fresh, h = gru_lm.stream(net, docs, 1, 4, 3)
     assert targets.T[used.T].tolist() == np.concatenate(docs).tolist() and fresh.sum() == len(docs)
     whole = []
     for d in docs:
-        states, _, _ = net.states(gru_lm._inputs(d[:, None], np.eye(len(d))[:, :1], 1), np.eye(len(d), dtype=np.float32)[:, :1], np.zeros((1, 4), np.float32))
+        states, _, _ = net.states(np.concatenate([[1], d[:-1]])[:, None], np.eye(len(d), dtype=np.float32)[:, :1], np.zeros((1, 4), np.float32))
         whole.append(states[:, 0])
     states, _, _ = net.states(inputs, fresh, h)
     assert np.allclose(states.transpose(1, 0, 2)[used.T], np.concatenate(whole), atol=1e-6)
