@@ -76,12 +76,14 @@ def class_starts(n: int, sizes=CLASSES) -> np.ndarray:
     return np.array(out)
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and their sums by row."""
-    p = np.exp(logits)
-    total = p.sum(1)
+def _exponentials(hidden: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the logits and their sums by row; where these overflow, of the logits less their greatest."""
+    p = hidden @ weights
+    np.exp(p, out=p)
+    total = p @ np.ones(p.shape[1], p.dtype)
     if not np.isfinite(total).all():
-        p = np.exp(logits - logits.max(1, keepdims=True))
+        p = hidden @ weights
+        p = np.exp(p - p.max(1, keepdims=True))
         total = p.sum(1)
     return p, total
 
@@ -174,33 +176,37 @@ class Network:
     def output(self, hidden: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target; adds weight gradients of minus their sum, and returns those of the hidden states."""
         w = self.w
+        # biases ride along as weights of a last entry that is always one
+        hidden = np.concatenate([hidden, np.ones((len(hidden), 1), hidden.dtype)], 1)
+        of_class, of_word = np.concatenate([w["wc"], w["bc"][None]]), np.concatenate([w["wo"], w["bo"][:, None]], 1)
         cls = self.class_of[targets]
-        p, total = _softmax(hidden @ w["wc"] + w["bc"])
+        p, total = _exponentials(hidden, of_class)
         rows = np.arange(len(targets))
-        picked = p[rows, cls] / total
+        logp = np.log(p[rows, cls] / total)
         back = None
         if grads is not None:
-            p /= total[:, None]
-            p[rows, cls] -= 1
-            grads["wc"] += hidden.T @ p
-            grads["bc"] += p.sum(0)
+            p[rows, cls] -= total
+            both = (hidden / total[:, None]).T @ p
+            grads["wc"] += both[:-1]
+            grads["bc"] += both[-1]
             back = p @ w["wc"].T
-        logp = np.log(picked)
+            back /= total[:, None]
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(len(self.starts)))
         for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.starts) > 1)):
             at = order[ends[c] : ends[c + 1]]
             mine = slice(self.starts[c], self.starts[c + 1])
             h = hidden[at]
-            p, total = _softmax(h @ w["wo"][mine].T + w["bo"][mine])
-            k, i = targets[at] - self.starts[c], np.arange(len(at))
+            p, total = _exponentials(h, of_word[mine].T)
+            k, i = targets[at] - self.starts[c], rows[: len(at)]
             logp[at] += np.log(p[i, k] / total)
             if grads is not None:
-                p /= total[:, None]
-                p[i, k] -= 1
-                grads["wo"][mine] += p.T @ h
-                grads["bo"][mine] += p.sum(0)
-                back[at] += p @ w["wo"][mine]
+                p[i, k] -= total
+                h /= total[:, None]
+                both = p.T @ h
+                grads["wo"][mine] += both[:, :-1]
+                grads["bo"][mine] += both[:, -1]
+                back[at] += (p @ w["wo"][mine]) / total[:, None]
         return logp, back
 
     def gradients(self, inputs, targets, mask, fresh, h) -> tuple[float, dict, np.ndarray]:
@@ -360,6 +366,8 @@ class Words:
         inside = min(vocabulary - 1, len(top))
         self.number = np.zeros(len(top) + 1, np.int32)
         self.number[:inside] = np.arange(1, inside + 1)
+        #: The network's own words alone: a small table, for steps that need no other.
+        self.inside = {w: i for i, (w, _) in enumerate(top[:inside], 1)}
         rest = total - counts[:inside].sum()
         self.network_counts = np.concatenate([[rest], counts[:inside]])
         #: Denominators of the base score and of a word's share outside the vocabulary.
@@ -370,6 +378,10 @@ class Words:
         self.share[:inside] = 0.0
         self.end = int(self.number[self.of[END]]) if END in self.of else 0
 
+    def numbers(self, ts: list[bytes]) -> np.ndarray:
+        """Numbers of tokens in the network."""
+        return np.fromiter(map(self.inside.get, ts, repeat(0)), np.int32, len(ts))
+
     def looked_up(self, ts: list[bytes]) -> np.ndarray:
         """Places of tokens among the frequent ones; their number for any other."""
         return np.fromiter(map(self.of.get, ts, repeat(len(self.of))), np.int64, len(ts))
@@ -435,9 +447,8 @@ def _train_round(net: Network, words: Words, texts: DataFrame) -> Network:
         now, done, docs, size = start, 0, [], 0
         for b in batches:
             for t in b.column(0):
-                docs.append(w.number[w.looked_up(tokens(t.as_py()))])
-                at = docs[-1]
-                size += len(at)
+                docs.append(w.numbers(tokens(t.as_py())))
+                size += len(docs[-1])
                 if size >= SCORE_TOKENS:
                     now, k = train(now, docs, w.end)
                     done, docs, size = done + k, [], 0
