@@ -1,11 +1,15 @@
 """License scans by diagonal voting.
 
 All rolling word k-grams of every text are joined, by hash and then by their
-words, to the positions of the same k-grams in the templates.  A hit votes for
+words, to the positions of the same k-grams in the templates.  Hashes are compared
+within the row first, so only k-grams that some template may have are ever built,
+exploded and joined.  A hit votes for
 the diagonal "position in the text minus position in the template".  Diagonals
 that lie close together (words put in or left out) are merged into one span, and a
 span counts when the share of the template's k-grams found in it reaches
-``MIN_SHARE`` and its length is plausible.
+``MIN_SHARE`` and it is no longer than ``MAX_STRETCH`` times the template.  A longer
+one is made up of hits scattered over the text, or of copies on neighbouring diagonals
+(less than a few words apart); it counts if one of its diagonals alone does.
 
 The base phrases are templates of their own with two-word grams; a place counts
 when every gram of the phrase votes for one and the same diagonal.
@@ -61,13 +65,19 @@ def _templates(spark, phrases, notices) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, base boolean, t_gram string, t_pos int, t_grams int, t_words int")
 
 
-def _grams(ws: Column, k: int) -> Column:
-    n = F.size(ws) - k
-    of = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", *(F.get(ws, i + j) for j in range(k))).alias("gram")),
-    )
-    return F.when(n >= 0, of).otherwise(F.slice(of, 1, 0))
+def _hashes(spark, grams: list[str]) -> list[int]:
+    """Hashes of the words of k-grams, as the scan works them out."""
+    return list(spark.range(1).select(*(F.xxhash64(*(F.lit(w) for w in g.split())).alias(f"h{i}") for i, g in enumerate(grams))).first()) if grams else []
+
+
+def _hits(ws: Column, k: int, hashes: list[int]) -> Column:
+    """(pos, gram) of the k-grams whose hash is one of ``hashes``."""
+
+    def gram(i: Column) -> list[Column]:
+        return [F.get(ws, i + j) for j in range(k)]
+
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - k, F.lit(0))), lambda i: F.xxhash64(*gram(i)).isin(hashes))
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", *gram(i)).alias("gram")))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", phrases=BASE, notices=NOTICES) -> DataFrame:
@@ -76,21 +86,16 @@ def scan(docs: DataFrame, key: str = "doc_id", phrases=BASE, notices=NOTICES) ->
     templates = _templates(spark, phrases, notices)
     marker = F.struct(F.lit(-1).alias("pos"), F.lit("").alias("gram"))
 
+    by_size = {k: sorted({r["t_gram"] for r in templates.collect() if r["t_gram"].count(" ") == k - 1}) for k in (GRAM, NOTICE_GRAM)}
+    hashes = {k: _hashes(spark, grams) for k, grams in by_size.items()}
+
     def exploded(ws: Column) -> Column:
-        n = F.size(ws)
-        empty = F.array_remove(F.array(marker), marker)
-        every = F.concat(
-            F.array(marker),
-            F.when(n >= GRAM, _grams(ws, GRAM)).otherwise(empty),
-            F.when(n >= NOTICE_GRAM, _grams(ws, NOTICE_GRAM)).otherwise(empty),
-        )
-        return F.struct(n.alias("n"), every.alias("grams"))
+        parts = [_hits(ws, k, hashes[k]) for k in hashes if hashes[k]]
+        return F.struct(F.size(ws).alias("n"), F.concat(F.array(marker), *parts).alias("grams"))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("key"), let(words(docs["text"]), exploded).alias("e"))
     grams = rows.select("row", "key", F.col("e.n").alias("n_words"), F.explode("e.grams").alias("g")).select("row", "key", "n_words", "g.pos", "g.gram")
-    t = templates.withColumn("t_hash", F.xxhash64("t_gram"))
-    on = (F.xxhash64(grams["gram"]) == t["t_hash"]) & (grams["gram"] == t["t_gram"])
-    hits = grams.join(F.broadcast(t), on, "left").where("pos < 0 or template is not null")
+    hits = grams.join(F.broadcast(templates), grams["gram"] == templates["t_gram"], "left").where("pos < 0 or template is not null")
     # votes by diagonal; a text's own row comes out with a null template
     votes = hits.groupBy("row", "template", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
         F.first("key", ignorenulls=True).alias("key"),
@@ -114,9 +119,10 @@ def scan(docs: DataFrame, key: str = "doc_id", phrases=BASE, notices=NOTICES) ->
         F.min("diagonal").alias("at"),
         (F.size(F.array_distinct(F.flatten(F.collect_list("found")))) / F.first("t_grams")).alias("share"),
         ((F.max("high") - F.min("low") + NOTICE_GRAM) <= MAX_STRETCH * F.first("t_words")).alias("plausible"),
-    )
+        (F.max(F.size("found")) / F.first("t_grams")).alias("best_share"),
+    ).withColumn("share", F.when(F.col("base") | F.col("plausible"), F.col("share")).otherwise(F.col("best_share")))
     place = F.col("base") & (F.col("share") == 1)
-    found = place | (~F.col("base") & F.col("plausible") & (F.col("share") >= MIN_SHARE))
+    found = place | (~F.col("base") & (F.col("share") >= MIN_SHARE))
     out = spans.groupBy("row").agg(
         F.first("key", ignorenulls=True).alias(key),
         F.max("n_words").cast("long").alias("n_words"),

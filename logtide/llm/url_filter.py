@@ -9,13 +9,16 @@ sweep over the sorted keys keeps the open rules as a stack; a rule's end pops
 back to the rule around it.  The longest rule that fits decides.
 
 URLs are first collapsed to (host, path cut to the longest rule path), which
-decides every rule; the sweep runs over those keys, in windows salted so that no
-host gathers in one task, with each rule's two events copied to every salt.
+decides every rule; the sweep runs over those keys at the levels that have rules, in
+windows salted by the number of keys so that no host gathers in one task, with each
+rule's two events copied to every salt.
 
 Defined results: a null URL or one without ``://`` has empty host and path, and
 gets the default verdict; repeated rows are judged alike; an empty table gives an
 empty result; other columns are ignored; of two rules with equal host and path
-the first listed counts; an empty rule list leaves the default to all.
+the first listed counts, and of two rules of equal length that fit the one with the
+longer host, which is the only other case of a tie; an empty rule list leaves the
+default to all.  Rules are arguments of ``judge``.
 
 All of it is DataFrame expressions; no Python runs on executors.
 """
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.common import lower_ascii
+from logtide.llm.common import lower_ascii, table
 
 # Fixed values: (verdict, host, path).
 BASE_RULES = (
@@ -38,7 +41,8 @@ BASE_RULES = (
 #: The method's own rules, asked only where no base rule fits, and the verdict where none of these fits either.
 MORE_RULES = (("block", "casino-win.example.net", ""),)
 DEFAULT = "allow"
-SALTS = 16
+#: Keys of one level that a salt is to hold at most, about; and the most salts.
+KEYS_PER_SALT, MOST_SALTS = 50_000, 4096
 
 
 def host_of(url: Column) -> Column:
@@ -59,8 +63,8 @@ def _rules(spark, rules, weight: int) -> DataFrame:
     first: dict = {}
     for verdict, host, path in rules:
         first.setdefault((host, path), verdict)
-    rows = [(verdict, host, path, weight) for (host, path), verdict in first.items()]
-    df = spark.createDataFrame(rows, "verdict string, rule_host string, rule_path string, weight int")
+    rows = F.array(*(F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("rule_host"), F.lit(p).alias("rule_path"), F.lit(weight).alias("weight")) for (h, p), v in first.items()))
+    df = spark.range(1).select(F.inline(rows))  # literals: no rows pass through Python
     return df.select(
         F.concat_ws(".", reversed_host(F.col("rule_host"))).alias("level"),
         "rule_path",
@@ -81,13 +85,15 @@ def _events(rules: DataFrame) -> DataFrame:
     return push.unionByName(pop)
 
 
-def _sweep(keys: DataFrame, rules: DataFrame, depth: int) -> DataFrame:
+def _sweep(keys: DataFrame, rules: DataFrame, depth: int, salts: int) -> DataFrame:
     """For every (host, short_path) the longest rule that fits, from one sorted pass over each level."""
     labels = F.slice(reversed_host(F.col("host")), 1, depth)
     levels = keys.withColumn("labels", labels).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("labels"))))
-    salt = F.pmod(F.xxhash64("host", "short_path"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("host", "short_path"), F.lit(salts)).cast("int")
     urls = levels.select(F.concat_ws(".", F.slice("labels", F.lit(1), F.col("i"))).alias("level"), salt.alias("salt"), F.col("short_path").cast("binary").alias("at"), "host", "short_path", F.lit(1).alias("url"))
-    events = _events(rules).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    # only levels that have a rule at all go into the sweep
+    urls = urls.join(F.broadcast(rules.select("level").distinct()), "level", "left_semi")
+    events = _events(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = urls.unionByName(events.withColumn("url", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy("level", "salt").orderBy("at", "url").rowsBetween(Window.unboundedPreceding, 0)
     swept = rows.withColumn("on", F.last("event", ignorenulls=True).over(w)).where("url = 1")
@@ -103,8 +109,9 @@ def judge(pages: DataFrame, rules=BASE_RULES, more_rules=MORE_RULES, default: st
     depth = max((h.count(".") + 1 for _, h, _ in every), default=1)
     urls = pages.select(pages["page_id"].alias("page_id"), host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
     urls = urls.withColumn("short_path", F.substring("path", 1, cut))
-    keys = urls.select("host", "short_path").distinct()
-    swept = [_sweep(keys, _rules(spark, r, weight), depth) for weight, r in ((1, rules), (0, more_rules)) if r]
+    keys = table(urls.select("host", "short_path").distinct(), "url-keys")
+    salts = min(MOST_SALTS, max(1, -(-keys.count() // KEYS_PER_SALT), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    swept = [_sweep(keys, _rules(spark, r, weight), depth, salts) for weight, r in ((1, rules), (0, more_rules)) if r]
     out = urls
     for i, s in enumerate(swept):
         out = out.join(s.withColumnRenamed("top", f"top{i}"), ["host", "short_path"], "left")

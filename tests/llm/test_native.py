@@ -254,7 +254,7 @@ def test_history_equals_one_scan(spark, monkeypatch):
 URLS = [
     None, "", "nonsense", "http://", "http://org", "http://Org/", "https://a.example.org/es/x?y=/en/1", "http://example.org/es", "http://example.org/en/12#f",
     "http://b.example.org/en/2", "http://notexample.org/es/", "http://x.com/fr/1", "http://x.com/de/1", "http://x.com/it/", "ftp://com?/fr/", "http://CASINO-win.example.net/", "http://example.org./es/",
-    "http://a..org/", "x://y://org/", "http://example.org/es/\U0010ffff",
+    "http://a..org/", "x://y://org/", "http://b.c/aa", "http://c/aabb", "http://b.c/aabb", "http://example.org/es/\U0010ffff",
 ]
 
 
@@ -264,15 +264,18 @@ def url_verdict(url, rules, more):
     path = re.match(r"[^?#]*", rest[len(host) :]).group()
     host = host.translate(LOW)
     for mine in (rules, more):
-        fits = [(len(h + p), h + p, v) for v, h, p in mine if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        first = {}
+        for v, h, p in mine:
+            first.setdefault((h, p), v)
+        fits = [(len(h + p), len(h), h + p, v) for (h, p), v in first.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
         if fits:
-            return host, path, max(fits)[1] if mine is rules else None, max(fits)[2]
+            return host, path, max(fits)[2] if mine is rules else None, max(fits)[3]
     return host, path, None, "allow"
 
 
 @pytest.mark.parametrize(
     "rules",
-    [url_filter.BASE_RULES, (("block", "org", ""), ("allow", "org", "/e"), ("block", "org", "/en/"), ("allow", "example.org", "/en/1"), ("block", "example.org", "/en/12")), ()],
+    [url_filter.BASE_RULES, (("block", "org", ""), ("allow", "org", "/e"), ("block", "org", "/en/"), ("allow", "example.org", "/en/1"), ("block", "example.org", "/en/12")), (), (("block", "c", "/aab"), ("allow", "b.c", "/a")), (("block", "c", "/aa"), ("allow", "b.c", "/"), ("block", "b.c", "/"))],
 )
 def test_urls(spark, rules):
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)] + [(0, None, ""), (None, "http://org/", "")], "page_id long, url string, verdict string")
@@ -312,10 +315,67 @@ def test_licenses(spark):
     assert license_scan.scan(d.limit(0)).count() == 0
 
 
+def plain_notices(ws):
+    """Labels and best share of the notices in a list of words, by votes and merged diagonals."""
+    best = {}
+    for label, text in license_scan.NOTICES:
+        t = text.split()
+        n = len(t) - 4
+        at = {}
+        for j in range(n):
+            at.setdefault(tuple(t[j : j + 5]), []).append(j)
+        votes = {}
+        for i in range(len(ws) - 4):
+            for j in at.get(tuple(ws[i : i + 5]), ()):
+                votes.setdefault(i - j, []).append((i, j))
+        span, last = [], None
+        spans = []
+        for d in sorted(votes):
+            if last is not None and d - last > 3:
+                spans.append(span)
+                span = []
+            span, last = [*span, votes[d]], d
+        spans.append(span)
+        for span in filter(None, spans):
+            places = [p for v in span for p in v]
+            stretch = max(i for i, _ in places) - min(i for i, _ in places) + 5
+            shares = [len({j for _, j in places})] if stretch <= 1.5 * len(t) else [len({j for _, j in v}) for v in span]
+            if max(shares) / n >= 0.6:
+                best[label] = max(best.get(label, 0), max(shares) / n)
+    return best
+
+
+def test_notices_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(60):
+        ws = []
+        for _ in range(rng.integers(1, 4)):
+            notice = license_scan.NOTICES[rng.integers(0, len(license_scan.NOTICES))][1].split()
+            for _ in range(rng.integers(0, 6)):
+                i, kind = rng.integers(0, len(notice)), rng.random()
+                notice[i : i + (kind < 0.6)] = [] if kind < 0.3 else ["other"]
+            ws += list(notice[rng.integers(0, 8) :]) + ["filler"] * rng.integers(0, 5)
+        texts.append(" ".join(ws))
+    twice = license_scan.NOTICES[1][1]
+    texts += [twice + " " + twice, twice + " x " + twice, " ".join(w for w in twice.split() for _ in range(2))]
+    out = {r["doc_id"]: r for r in license_scan.scan(docs(spark, texts)).where("doc_id > 0").collect()}
+    some = 0
+    for i, r in out.items():
+        best = plain_notices(texts[i].split())
+        assert set(r["labels"].split(",")) - {""} == set(best) | (set(r["base_labels"].split(",")) - {""}), texts[i]
+        if not r["n_base"]:
+            assert r["score"] == pytest.approx(max(best.values(), default=0.0))
+            some += bool(best)
+    assert some > 10
+
+
 def test_no_python_on_the_main_path(spark):
     d = docs(spark)
     for df in (quality_rules.judge(d), secret_scan.scan(d), secret_scan.redact(d), quality_rules.keep(d)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
-    pages = spark.createDataFrame([(1, "http://org/")], "page_id long, url string").withColumn("page_id", F.col("page_id"))
-    assert "Python" not in url_filter.judge(pages)._jdf.queryExecution().executedPlan().toString()
+    # rows made in Python show as an existing RDD, so these come from expressions
+    pages = spark.range(3).select(F.col("id").alias("page_id"), F.lit("http://org/").alias("url"))
+    plan = url_filter.judge(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan
