@@ -384,7 +384,10 @@ class Words:
 
     def looked_up(self, ts: list[bytes]) -> np.ndarray:
         """Places of tokens among the frequent ones; their number for any other."""
-        return np.fromiter(map(self.of.get, ts, repeat(len(self.of))), np.int64, len(ts))
+        at = self.numbers(ts).astype(np.int64) - 1  # the network's words are the first of the frequent ones
+        rest = np.flatnonzero(at < 0)
+        at[rest] = np.fromiter(map(self.of.get, map(ts.__getitem__, rest.tolist()), repeat(len(self.of))), np.int64, len(rest))
+        return at
 
 
 def counts_of(texts: DataFrame) -> DataFrame:
@@ -433,17 +436,17 @@ def frequent(counts: DataFrame, most: int | None = None) -> list[tuple[bytes, in
     else:
         part = 1 << 20
         wanted = wanted | ((F.col("c") == next_) & (F.pmod(F.xxhash64("token"), F.lit(part)) < int(part * 0.98 * room / of_next)))
-    rows = counts.where(wanted).collect()
-    return sorted(((bytes(r["token"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    found = counts.where(wanted).select("token", "c").toArrow()
+    return sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
-def _train_round(net: Network, words: Words, texts: DataFrame) -> Network:
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast((net, words))
+def _train_round(net: Network, words, texts: DataFrame) -> Network:
+    """One round over ``texts``; ``words`` is a broadcast."""
+    sent = texts.sparkSession.sparkContext.broadcast(net)
     n = len(net.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, w = sent.value
+        start, w = sent.value, words.value
         now, done, docs, size = start, 0, [], 0
         for b in batches:
             for t in b.column(0):
@@ -456,10 +459,10 @@ def _train_round(net: Network, words: Words, texts: DataFrame) -> Network:
             now, k = train(now, docs, w.end)
             done += k
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array([(now.packed().astype(np.float64) * done).tobytes()], pa.binary()), pa.array([done], pa.int64())], ["sums", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([(now.packed() * np.float32(done)).tobytes()], pa.binary()), pa.array([done], pa.int64())], ["sums", "n"])
 
     def add(pdf):
-        total = sum(np.frombuffer(x) for x in pdf["sums"])
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["sums"]).astype(np.float32)
         return pdf.iloc[:1][["salt"]].assign(sums=[total.tobytes()], n=[int(pdf["n"].sum())])
 
     rows = texts.mapInArrow(run, "sums binary, n long").withColumn("salt", F.spark_partition_id() % 32)
@@ -467,23 +470,25 @@ def _train_round(net: Network, words: Words, texts: DataFrame) -> Network:
     once = rows.groupBy("salt").applyInPandas(add, "salt int, sums binary, n long")
     total, done = np.zeros(n), 0
     for r in once.collect():
-        total += np.frombuffer(r["sums"])
+        total += np.frombuffer(r["sums"], np.float32)
         done += r["n"]
+    sent.destroy()
     return net.unpacked(total / done) if done else net
 
 
-def fit(docs: DataFrame, key: str = "doc_id") -> tuple[Network, Words, DataFrame]:
-    """Network, frequent words and counts from ``docs`` (key, text), the held-out tenth left aside."""
+def fit(docs: DataFrame, key: str = "doc_id"):
+    """Network, frequent words (themselves, and as a broadcast) and counts from ``docs`` (key, text), the held-out tenth left aside."""
     crc = _crc(docs, key)
     training = docs.where(crc % HELD_OUT != 0)
     counts = table(counts_of(training.select("text")), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     words = Words(frequent(counts), total["n"] or 0, total["v"])
+    sent = docs.sparkSession.sparkContext.broadcast(words)
     net = Network.fresh(words.network_counts)
     for k in range(ROUNDS):
         share = F.floor(crc / HELD_OUT) % ROUNDS == k
-        net = _train_round(net, words, training.where(share).select("text"))
-    return net, words, counts
+        net = _train_round(net, sent, training.where(share).select("text"))
+    return net, words, sent, counts
 
 
 def _crc(docs: DataFrame, key: str):
@@ -492,16 +497,15 @@ def _crc(docs: DataFrame, key: str):
 
 def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Base score and network's log10 probability of every row of ``docs`` (key, text)."""
-    net, words, counts = fit(docs, key)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((net, words))
+    net, words, sent_words, counts = fit(docs, key)
+    sent = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.select(docs[key].alias("key"), docs["text"], (_crc(docs, key) % HELD_OUT == 0).alias("held_out"), F.monotonically_increasing_id().alias("row"))
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, held_out boolean, row long, n_tokens long, n_head long, base double, score double, rest array<struct<token:binary,m:int>>"
     rest_type = pa.list_(pa.struct([("token", pa.binary()), ("m", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, w = sent.value
+        net, w = sent.value, sent_words.value
         other = len(w.of)
 
         def scored(keys, held, ids, docs, head, base, extra, rest):

@@ -46,8 +46,7 @@ class Window:
         self.reset()
 
     def reset(self) -> None:
-        self.at, self.context = 0, ""
-        self.rings = tuple([x] * self.width for x in ("", 0, 0.0, 0))
+        self.at, self.context, self.rings = 0, "", None
 
     def push(self, text: str) -> None:
         """Go on over more of a text; what came before it is kept as far as a piece can reach back."""
@@ -56,6 +55,7 @@ class Window:
         if known is not None:
             self._run(text, pieces.BEGIN, tuple(r.copy() for r in known))
             return
+        self.rings = self.rings or tuple([x] * self.width for x in ("", 0, 0.0, 0))
         if begin:
             self._run(begin, 0, self.rings)
             if len(self.begun) >= pieces.BEGUN:
@@ -108,6 +108,8 @@ class Window:
 
     def finish(self) -> tuple[float, int, int]:
         """Score and number of pieces of the best path, and the merge count (0 if the vocabulary is none of merges)."""
+        if not self.at:
+            return 0.0, 0, 0
         here = self.at % self.width
         out = self.rings[2][here], self.rings[3][here], self.rings[1][here]
         self.reset()
@@ -122,7 +124,7 @@ class Counter:
         self.window = Window(self.v)
         # scores of the library's kind may be fractions; whole thousandths are summed
         self.scale = 1 if self.v.merges else 1000
-        self.of_chunk = pieces.Remembered(self._chunk)
+        self.of_chunk = pieces.Remembered(self._chunk, 300_000)
         self.of_word = pieces.Remembered(self._word, 400_000)
 
     def _finish(self) -> int:
