@@ -345,5 +345,7 @@ class Materializer:
 
 
 def offsets(classified: DataFrame) -> DataFrame:
-    """One row: the last offset that was applied or passed over."""
-    return classified.agg(F.coalesce(format_column(F.max("position")), F.lit("")).alias("last_offset"))
+    """One row: the last offset that was applied or passed over before the first row that failed."""
+    first = classified.where(F.col("outcome").isin(UNDECODABLE, UNKNOWN_TYPE)).agg(F.min("position").alias("first_failed"))
+    before = classified.select("position").join(F.broadcast(first), F.col("first_failed").isNull() | (F.col("position") < F.col("first_failed")))
+    return before.agg(F.coalesce(format_column(F.max("position")), F.lit("")).alias("last_offset"))

@@ -18,8 +18,9 @@ from logtide.operators import delivery, metrics, state
 from logtide.operators.registry import TypeRegistry
 from logtide.operators.upcast import Upcasts
 from logtide.sources import chunks
-from logtide.sources.log import EventLog
+from logtide.sources.log import Checkpoints, EventLog
 from logtide.sources.paths import shared_dir
+from logtide.streaming import follow as streams
 
 OWN = "bus-1"
 SNAPSHOT_AT = 400
@@ -98,28 +99,50 @@ USERS = [state.Collection(USER)]
 # ---- scans ----------------------------------------------------------------------------------------------
 
 
+_written: dict[tuple, EventLog] = {}
+
+
+def _log_table(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", "id", "origin", "type", "data", F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("metadata"), "timestamp")
+
+
+def _in_order(spark, sf_dir) -> EventLog:
+    """All events appended to a log in the order of their ids; queries that only read share it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        written = EventLog(spark, f"{shared_dir(spark)}/logtide/log-{uuid.uuid4().hex}")
+        written.append(_log_table(log(spark, sf_dir)), order_by=["event_id"])
+        _written[key] = written
+    return _written[key]
+
+
 def log_scan_range(spark, sf_dir):
-    return log(spark, sf_dir).where("position > 250").orderBy("position").limit(100).select("position", "offset", "type", "data")
+    return _in_order(spark, sf_dir).read(offsets.format_offset(250), 100).select("position", "offset", "type", "data")
 
 
 def log_tail(spark, sf_dir):
-    return log(spark, sf_dir).agg(F.coalesce(offsets.format_column(F.max("position")), F.lit("")).alias("tail"))
+    return spark.range(1).select(F.lit(_in_order(spark, sf_dir).tail()).alias("tail"))
 
 
 def log_tail_empty(spark, sf_dir):
-    return log(spark, sf_dir).where("position < 0").agg(F.coalesce(offsets.format_column(F.max("position")), F.lit("")).alias("tail"))
+    empty = EventLog(spark, f"{shared_dir(spark)}/logtide/log-{uuid.uuid4().hex}")
+    return spark.range(1).select(F.lit(empty.tail()).alias("tail"))
 
 
 def log_replay_from(spark, sf_dir):
-    return log(spark, sf_dir).where(F.col("position") > offsets.parse_offset("00000000000000000700")).select("position", "offset", "id", "origin", "type", "data", "timestamp")
+    return _in_order(spark, sf_dir).read(offsets.format_offset(700)).select("position", "offset", "id", "origin", "type", "data", "timestamp")
 
 
 def log_keyset_page(spark, sf_dir):
-    return log(spark, sf_dir).where("position > 300 and position <= 350").select("position", "offset", "type")
+    """The seventh page of fifty, each page read from where the one before it ended."""
+    written, at = _in_order(spark, sf_dir), offsets.OLDEST
+    for _ in range(7):
+        page, at = written.read_batch(at, 50)
+    return page.select("position", "offset", "type")
 
 
 def offset_compare(spark, sf_dir):
-    rows = log(spark, sf_dir).where("event_id < 200")
+    rows = log(spark, sf_dir)
     plain = F.col("user_id").cast("string")
     return rows.select("position", offsets.compare_columns(F.col("offset"), plain).alias("order"), offsets.parse_column(F.col("offset")).alias("parsed"))
 
@@ -197,7 +220,7 @@ def poison_abort_prefix(spark, sf_dir):
 
 
 def poison_skip_checkpoint(spark, sf_dir):
-    rows = _poisoned(spark, sf_dir).where("position <= 601").withColumn("type", F.lit("click"))
+    rows = _poisoned(spark, sf_dir).withColumn("type", F.lit("click"))
     return delivery.deliver(rows, PROPS["click"], policy=delivery.SKIP).checkpoint
 
 
@@ -211,7 +234,24 @@ def replay_checkpoint_filtered(spark, sf_dir):
 
 
 def follow_checkpoint(spark, sf_dir):
-    return log(spark, sf_dir).agg(offsets.format_column(F.max("position")).alias("checkpoint"))
+    saved = Checkpoints(spark, f"{shared_dir(spark)}/logtide/checkpoints-{uuid.uuid4().hex}")
+    saved.save("follower", offsets.NEWEST, _in_order(spark, sf_dir))
+    return saved.table().select(F.col("offset").alias("checkpoint"))
+
+
+def follow_restart(spark, sf_dir):
+    """Rows of one type that a follower delivers in two bounded runs on one checkpoint, half of the log appended between them."""
+    base = f"{shared_dir(spark)}/logtide/follow-{uuid.uuid4().hex}"
+    rows, half = _log_table(log(spark, sf_dir)), F.col("event_id") % 2 == 0
+    followed = EventLog(spark, f"{base}/log")
+
+    def deliver(df, _):
+        df.select("position", "id").write.mode("append").parquet(f"{base}/out")
+
+    for part in (half, ~half):
+        followed.append(rows.where(part), order_by=["event_id"])
+        streams.follow(followed, deliver, ["view"], f"{base}/checkpoint", start=offsets.OLDEST, once=True).awaitTermination()
+    return spark.read.schema("position long, id string").parquet(f"{base}/out").select("id", "position")
 
 
 # ---- migration ------------------------------------------------------------------------------------------
@@ -259,18 +299,18 @@ def state_classify(spark, sf_dir):
     rows = _messages(spark, sf_dir, True)
     e = F.col("event_id") % 10
     data = (
-        F.when(e == 1, F.lit('{"type":"user","key":"1","value":"not-an-object","headers":{"operation":"insert"}}'))
-        .when(e == 2, F.lit('{"headers":{"control":"must-refetch"}}'))
-        .when(e == 3, F.lit('{"url":"/x","headers":{"Accept":"application/json"},"type":200}'))
-        .when(e == 4, F.lit('{"type":"other","key":"1","value":{},"headers":{"operation":"insert"}}'))
+        F.when(e == 1, F.lit('{"type":"user","key":"1","value":[7,"seven"],"headers":{"operation":"insert"}}'))
+        .when(e == 2, F.lit('{"headers":{"control":"reload-all"}}'))
+        .when(e == 3, F.lit('{"probe":"/health","headers":{"X-Trace":"7f"},"type":12}'))
+        .when(e == 4, F.lit('{"type":"vendor","key":"1","value":{},"headers":{"operation":"insert"}}'))
         .otherwise(F.col("data"))
     )
-    kind = F.when(e == 2, F.lit(state.CONTROL)).when(e == 3, F.lit("http.Request")).otherwise(F.col("type"))
+    kind = F.when(e == 2, F.lit(state.CONTROL)).when(e == 3, F.lit("probe.Result")).otherwise(F.col("type"))
     return metrics.counters(state.classify(rows.withColumns({"data": data, "type": kind}), USERS, strict=True), ["outcome"])
 
 
 def composite_keys(spark, sf_dir):
-    rows = log(spark, sf_dir).where("event_id < 300")
+    rows = log(spark, sf_dir)
     kind = F.concat(F.lit("a/b%"), F.col("type"))
     key = F.concat((F.col("event_id") % 7).cast("string"), F.lit("%2F/"), F.col("user_id").cast("string"))
     full = keys.composite_key_column(kind, key)
@@ -302,8 +342,10 @@ def snapshot_restore(spark, sf_dir):
 
 
 def truncate_survivors(spark, sf_dir):
-    rows = log(spark, sf_dir)
-    return rows.agg(F.count_if(F.col("position") <= TRUNCATE_AT).alias("deleted"), F.count_if(F.col("position") > TRUNCATE_AT).alias("left"), offsets.format_column(F.max("position")).alias("tail"))
+    written = EventLog(spark, f"{shared_dir(spark)}/logtide/log-{uuid.uuid4().hex}")
+    written.append(_log_table(log(spark, sf_dir)), order_by=["event_id"])
+    deleted = written.truncate(offsets.format_offset(TRUNCATE_AT))
+    return written.read().agg(F.lit(deleted).cast("long").alias("deleted"), F.count(F.lit(1)).alias("left"), F.lit(written.tail()).alias("tail"))
 
 
 def account_balance(spark, sf_dir):
@@ -316,7 +358,7 @@ def account_balance(spark, sf_dir):
 
 
 def chunk_offsets(spark, sf_dir):
-    rows = log(spark, sf_dir).where("event_id < 1000")
+    rows = log(spark, sf_dir)
     number = F.floor(F.col("event_id") / 100)
     member = F.struct(F.when(F.col("event_id") % 300 == 7, F.col("offset")).alias("offset"), F.col("id"), F.col("type"), F.struct(F.col("user_id").alias("u")).alias("data"))
     items = F.transform(F.sort_array(F.collect_list(F.struct("position", member.alias("m")))), lambda x: x["m"])
@@ -393,7 +435,7 @@ QUERIES = {
     for f in (
         log_scan_range, log_tail, log_tail_empty, log_replay_from, log_keyset_page, offset_compare,
         route_by_type, filter_predicate, unknown_type_skip, once_per_handler, origin_skip, follow_dedup, follow_dedup_ring, follow_pipeline,
-        decode_props, poison_abort_prefix, poison_skip_checkpoint, poison_dead_letters, replay_checkpoint_filtered, follow_checkpoint,
+        decode_props, poison_abort_prefix, poison_skip_checkpoint, poison_dead_letters, replay_checkpoint_filtered, follow_checkpoint, follow_restart,
         upcast_chain, upcast_terminal_types, upcast_failure_abort,
         log_append_read, log_truncate_read, snapshot_restore,
         state_fold_lww, state_fold_reset, state_last_offset, state_classify, composite_keys, state_collection, snapshot_plus_tail, truncate_survivors, account_balance,
@@ -433,7 +475,7 @@ ORACLE_SQL = {
     "log_tail_empty": _with(_LOG, "SELECT coalesce(lpad(CAST(max(position) AS VARCHAR), 20, '0'), '') AS tail FROM log WHERE position < 0"),
     "log_replay_from": _with(_LOG, 'SELECT position, "offset", id, origin, type, data, timestamp FROM log WHERE position > 700'),
     "log_keyset_page": _with(_LOG, 'SELECT position, "offset", type FROM log WHERE position > 300 ORDER BY position LIMIT 50'),
-    "offset_compare": _with(_LOG, 'SELECT position, CAST(sign(position - user_id) AS INTEGER) AS "order", position AS parsed FROM log WHERE event_id < 200'),
+    "offset_compare": _with(_LOG, 'SELECT position, CAST(sign(position - user_id) AS INTEGER) AS "order", position AS parsed FROM log'),
     "log_append_read": _with(
         _LOG + ", n AS (SELECT *, row_number() OVER (ORDER BY event_id < 500, event_id) AS p FROM log)",
         """SELECT p AS position, lpad(CAST(p AS VARCHAR), 20, '0') AS "offset", id, origin, type, data, CAST(user_id AS VARCHAR) AS "user" FROM n WHERE p > 100""",
@@ -448,9 +490,10 @@ ORACLE_SQL = {
     "follow_pipeline": _with(_LOG, f"SELECT position, id, origin, {_K} AS k FROM log WHERE type = 'click' AND origin <> '{OWN}'"),
     "decode_props": _with(_LOG, f"SELECT position, {_K} AS k FROM log WHERE type = 'view'"),
     "poison_abort_prefix": _with(_LOG, f"SELECT position, {_K} AS k FROM log WHERE position < {_ABORT}"),
-    "poison_skip_checkpoint": _with(_LOG, "SELECT lpad(CAST(max(position) AS VARCHAR), 20, '0') AS delivered, lpad(CAST(max(position) AS VARCHAR), 20, '0') AS scanned FROM log WHERE position <= 601"),
+    "poison_skip_checkpoint": _with(_LOG, "SELECT lpad(CAST(max(position) AS VARCHAR), 20, '0') AS delivered, lpad(CAST(max(position) AS VARCHAR), 20, '0') AS scanned FROM log"),
     "poison_dead_letters": _with(_LOG, f"""SELECT position, 'click' AS type, 'undecodable' AS reason, '{{"k": "poison"}}' AS data FROM log WHERE {_POISON}"""),
     "replay_checkpoint_filtered": _with(_LOG, f"SELECT lpad(CAST(max(position) FILTER (type = 'click' AND {_K} < 5) AS VARCHAR), 20, '0') AS delivered, lpad(CAST(max(position) AS VARCHAR), 20, '0') AS scanned FROM log"),
+    "follow_restart": _with(_LOG + ", n AS (SELECT *, row_number() OVER (ORDER BY event_id % 2, event_id) AS p FROM log)", "SELECT id, p AS position FROM n WHERE type = 'view'"),
     "follow_checkpoint": _with(_LOG, "SELECT lpad(CAST(max(position) AS VARCHAR), 20, '0') AS checkpoint FROM log"),
     "upcast_chain": _with(_LOG, f"""SELECT position, "offset", id, 'click.v3' AS type, '{{"key":' || {_K} || ',"label":"k' || {_K} || '","twice":' || 2 * {_K} || '}}' AS data FROM log WHERE type = 'click'"""),
     "upcast_terminal_types": _with(_LOG, "SELECT CASE WHEN type = 'click' THEN 'click.v3' ELSE type END AS type, count(*) AS events FROM log GROUP BY 1"),
@@ -464,7 +507,7 @@ ORACLE_SQL = {
             WHEN event_id % 2500 = 0 THEN 'reset' ELSE 'change' END AS outcome, count(*) AS events FROM log GROUP BY 1""",
     ),
     "composite_keys": _with(
-        _LOG + ", k AS (SELECT position, 'a/b%' || type AS t, (event_id % 7) || '%2F/' || user_id AS key FROM log WHERE event_id < 300)",
+        _LOG + ", k AS (SELECT position, 'a/b%' || type AS t, (event_id % 7) || '%2F/' || user_id AS key FROM log)",
         """SELECT position, replace(replace(t, '%', '%25'), '/', '%2F') || '/' || replace(replace(key, '%', '%25'), '/', '%2F') AS composite_key, key, t = 'a/b%click' AS is_click FROM k""",
     ),
     "state_collection": _with(_LOG, f"SELECT count(*) AS entities, max(position) AS last FROM ({_FOLD}{_ALIVE})"),
@@ -473,7 +516,7 @@ ORACLE_SQL = {
     "truncate_survivors": _with(_LOG, f"""SELECT count(*) FILTER (position <= {TRUNCATE_AT}) AS deleted, count(*) FILTER (position > {TRUNCATE_AT}) AS "left", lpad(CAST(max(position) AS VARCHAR), 20, '0') AS tail FROM log"""),
     "account_balance": _with(_LOG, "SELECT user_id, CAST(sum(CASE type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END * CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS balance_cents FROM log GROUP BY user_id"),
     "chunk_offsets": _with(
-        _LOG + ", c AS (SELECT *, event_id // 100 AS c, event_id % 100 AS m FROM log WHERE event_id < 1000)",
+        _LOG + ", c AS (SELECT *, event_id // 100 AS c, event_id % 100 AS m FROM log)",
         """SELECT CAST(c AS VARCHAR) AS chunk_start, m AS member, CASE WHEN event_id % 300 = 7 THEN "offset" WHEN event_id = max(event_id) OVER (PARTITION BY c) THEN CAST(c + 1 AS VARCHAR) ELSE CAST(c AS VARCHAR) END AS "offset",
            id, type, '{"u":' || user_id || '}' AS data FROM c""",
     ),

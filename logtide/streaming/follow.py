@@ -1,13 +1,17 @@
 """Structured Streaming consumers of the event log.
 
-The log's Parquet batches are read by the file source, one data folder per append.
-Order within a micro-batch is by position; across micro-batches the source follows
-the files' times, so a reader that must not go back drops what lies at or before the
-position it has already passed.
+``subscribe`` and ``follow`` stream the log's manifest versions, the only thing that
+an append commits, and let each micro-batch read the rows that the newest version
+names between the offset saved last and its high-water mark.  So rows of appends that
+are not committed, or lost their race, are never seen, truncated ones are not either,
+and rows come in order of position however many files an append has.
 
 Delivery is at least once: the handler runs in ``foreachBatch``, and the offset of
-the last delivered row is saved after it; on restart rows up to that offset are left
-out.
+the last row passed is saved after it; a restart goes on from there.  The start of a
+first run is saved before anything is read.
+
+``read_stream`` is the plain file source over the data folders, for stateful
+operators; it knows of no commits.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ POLL_MILLIS = 200
 
 
 def read_stream(log: EventLog, after: str = OLDEST, files_per_trigger: int | None = None) -> DataFrame:
-    """The log as a stream of rows after a concrete offset."""
+    """The log's files as a stream of rows after a concrete offset, committed or not; ``subscribe`` and ``follow`` deliver committed rows alone."""
     spark = log.spark
     log._files.fs.mkdirs(log._files.path("data"))
     reader = spark.readStream.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
@@ -41,6 +45,24 @@ def read_stream(log: EventLog, after: str = OLDEST, files_per_trigger: int | Non
     return reader.parquet(f"{log.path}/data").where(F.col("position") > parse_offset(after))
 
 
+def _commits(log: EventLog) -> DataFrame:
+    """The manifest versions as a stream; batches only need to know that there are new ones."""
+    log._files.fs.mkdirs(log._files.path("manifest"))
+    return log.spark.readStream.text(f"{log.path}/manifest")
+
+
+def _start(log: EventLog, checkpoints: Checkpoints, name: str, start: str) -> str:
+    """The offset saved under a name; on a first run the start, which is saved first."""
+    saved, found = checkpoints.lookup(name)
+    return saved if found else checkpoints.save(name, log.resolve(start))
+
+
+def _new_rows(log: EventLog, checkpoints: Checkpoints, name: str) -> tuple[DataFrame | None, int, int]:
+    """Committed rows behind the saved offset (None: there are none), that offset, and the log's last position."""
+    passed, high = parse_offset(checkpoints.load(name)), log.manifest().high
+    return (log.scan(passed, high) if high > passed else None), passed, high
+
+
 def _trigger(writer, once: bool, poll_millis: int):
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{poll_millis} milliseconds")
 
@@ -95,13 +117,13 @@ def subscribe(
     """
     registry.own(subscription_id)
     try:
-        saved, found = checkpoints.lookup(subscription_id)
-        if not found:
-            saved = checkpoints.save(subscription_id, log.resolve(start) if start == NEWEST else start)
+        _start(log, checkpoints, subscription_id, start)
 
-        def batch(rows: DataFrame, _: int) -> None:
-            passed = parse_offset(checkpoints.load(subscription_id))
-            rows = rows.where(F.col("position") > passed).persist()
+        def batch(_: DataFrame, __: int) -> None:
+            rows, _, _ = _new_rows(log, checkpoints, subscription_id)
+            if rows is None:
+                return
+            rows = rows.persist()
             try:
                 out = delivery.deliver(rows, event_type, predicate, policy, upcasts)
                 events = out.events.orderBy("position")
@@ -118,7 +140,7 @@ def subscribe(
             finally:
                 rows.unpersist()
 
-        writer = read_stream(log, saved).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoints.path}/streams/{subscription_id.encode().hex()}")
+        writer = _commits(log).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoints.path}/streams/{subscription_id.encode().hex()}")
         return Subscription(_trigger(writer, once, poll_millis).start(), registry, subscription_id)
     except Exception:
         registry.release(subscription_id)
@@ -139,21 +161,42 @@ def follow(
 ) -> StreamingQuery:
     """Deliver rows of the subscribed types from other processes: dedup, origin, type, in that order.
 
-    Live only unless told otherwise: the tail is resolved before the stream starts.
-    ``dedup_millis`` drops repeated ids whose times lie that close (blank ids are kept).
+    Live only unless told otherwise: the tail is saved under ``checkpoint`` before the
+    stream starts, and a later run goes on behind the last row passed.
+    ``dedup_millis`` drops a row if one of the same id and at most so much older stands
+    before it in the log (blank ids are kept); as the log itself is asked, that holds
+    across restarts.
     """
-    rows = read_stream(log, log.resolve(start))
-    if dedup_millis:
-        blank = F.col("id").isNull() | (F.col("id") == "")
-        key = F.when(blank, F.concat(F.lit("@"), F.col("offset"))).otherwise(F.col("id"))
-        rows = rows.withColumn("__id", key).withWatermark("timestamp", f"{dedup_millis} milliseconds").dropDuplicatesWithinWatermark(["__id"]).drop("__id")
-    if origin is not None:
-        rows = delivery.foreign(rows, origin, include_own)
-    rows = delivery.of_types(rows, names)
-    writer = rows.writeStream.foreachBatch(lambda df, n: handler(df.orderBy("position"), n)).option("checkpointLocation", checkpoint)
+    checkpoints, name = Checkpoints(log.spark, f"{checkpoint}/offsets"), "follow"
+    _start(log, checkpoints, name, start)
+
+    def batch(_: DataFrame, n: int) -> None:
+        rows, passed, high = _new_rows(log, checkpoints, name)
+        if rows is None:
+            return
+        if dedup_millis:
+            rows = _first_sights(log, rows, high, dedup_millis)
+        if origin is not None:
+            rows = delivery.foreign(rows, origin, include_own)
+        handler(delivery.of_types(rows, names).orderBy("position"), n)
+        checkpoints.save(name, format_offset(high))
+
+    writer = _commits(log).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream")
     return _trigger(writer, once, poll_millis).start()
 
 
+def _first_sights(log: EventLog, rows: DataFrame, high: int, millis: int) -> DataFrame:
+    """``rows`` without those that repeat the id of an earlier row of the log at most ``millis`` older."""
+    least = rows.agg(F.min("timestamp")).first()[0]
+    if least is None:
+        return rows
+    span = F.expr(f"INTERVAL {int(millis)} MILLISECONDS")
+    earlier = log.scan(0, high).where(F.col("timestamp") >= F.lit(least) - span).where("id <> ''")
+    earlier = earlier.select(F.col("id").alias("their_id"), F.col("position").alias("their_position"), F.col("timestamp").alias("their_timestamp"))
+    same = (F.col("id") == F.col("their_id")) & (F.col("their_position") < F.col("position")) & (F.col("their_timestamp") >= F.col("timestamp") - span)
+    return rows.join(earlier, same, "left_anti")
+
+
 def fold_stream(changes: DataFrame) -> DataFrame:
     """A stream of applied changes (classified rows) folded per key by a stateful operator; emits the state of every key that changed.
 

@@ -25,20 +25,20 @@ RULES = [
     (state.CHANGE, "nonsense", state.UNDECODABLE, state.UNDECODABLE),
     (state.CHANGE, change("other", "1", "insert", {}), state.IGNORE, state.UNKNOWN_TYPE),
     (state.CHANGE, change("user", "1", "upsert", {}), state.UNDECODABLE, state.UNDECODABLE),
-    (state.CHANGE, change("user", "1", "insert", "not-an-object"), state.UNDECODABLE, state.UNDECODABLE),
+    (state.CHANGE, change("user", "1", "insert", [7, "seven"]), state.UNDECODABLE, state.UNDECODABLE),
     (state.CHANGE, change("user", "1", "insert"), state.UNDECODABLE, state.UNDECODABLE),
     (state.CONTROL, "[1]", state.UNDECODABLE, state.UNDECODABLE),
     (state.CONTROL, state.control(state.RESET), state.RESETS, state.RESETS),
     (state.CONTROL, state.control(state.SNAPSHOT_END, "5"), state.MARK, state.MARK),
-    (state.CONTROL, '{"headers":{"control":"must-refetch"}}', state.IGNORE, state.UNDECODABLE),
-    ("http", "not json", state.IGNORE, state.IGNORE),
-    ("http", '{"a":1}', state.IGNORE, state.IGNORE),
-    ("http", '{"url":"/x","headers":{"Accept":"application/json"},"type":200}', state.IGNORE, state.IGNORE),
-    ("http", '{"headers":{"control":"no-cache"}}', state.IGNORE, state.IGNORE),
-    ("http", state.control(state.RESET), state.RESETS, state.RESETS),
-    ("some.other.Writer", change("user", "1", "update", {"name": "b"}), state.APPLY, state.APPLY),
-    ("some.other.Writer", change("user", "1", "upsert", {}), state.UNDECODABLE, state.UNDECODABLE),
-    ("some.other.Writer", change("", "1", "insert", {}), state.IGNORE, state.IGNORE),
+    (state.CONTROL, '{"headers":{"control":"reload-all"}}', state.IGNORE, state.UNDECODABLE),
+    ("probe", "not json", state.IGNORE, state.IGNORE),
+    ("probe", '{"a":1}', state.IGNORE, state.IGNORE),
+    ("probe", '{"probe":"/health","headers":{"X-Trace":"7f"},"type":12}', state.IGNORE, state.IGNORE),
+    ("probe", '{"headers":{"control":"hush"}}', state.IGNORE, state.IGNORE),
+    ("probe", state.control(state.RESET), state.RESETS, state.RESETS),
+    ("vendor.feed", change("user", "1", "update", {"name": "b"}), state.APPLY, state.APPLY),
+    ("vendor.feed", change("user", "1", "upsert", {}), state.UNDECODABLE, state.UNDECODABLE),
+    ("vendor.feed", change("", "1", "insert", {}), state.IGNORE, state.IGNORE),
 ]
 
 
@@ -81,7 +81,7 @@ def test_materializer(spark):
     m = state.Materializer(spark, [USER], policy="skip")
     with pytest.raises(state.StateError):
         m.snapshot()
-    poison = (state.CHANGE, change("user", "1", "insert", "not-an-object"))
+    poison = (state.CHANGE, change("user", "1", "insert", [7, "seven"]))
     assert m.apply(log(spark, [put("1", "a"), poison, put("2", "b")])).count() == 1
     assert m.last_offset.endswith("3") and json.loads(m.get("user", "2")) == {"name": "b"}
     offset, blob = m.snapshot()

@@ -88,6 +88,51 @@ def test_follow(parts, tmp_path):
     assert seen == [2]  # live only by default
 
 
+def test_follow_loses_nothing_between_runs(parts, tmp_path):
+    log, seen = parts[0], []
+
+    def go():
+        fl.follow(log, lambda df, _: seen.extend(r["position"] for r in df.collect()), ["t"], f"file://{tmp_path}/f", once=True).awaitTermination()
+
+    append(log, 1)
+    go()
+    append(log, 2)
+    go()
+    go()
+    append(log, 3)
+    append(log, 4)
+    go()
+    assert seen == [2, 3, 4]
+
+
+def test_only_committed_and_live_rows_are_delivered(parts, tmp_path, spark):
+    log, seen = parts[0], []
+    append(log, 1, 2, 3, 4)
+    log.truncate("2")
+    # an append that was never committed
+    log.scan().withColumn("position", F.col("position") + 10).write.parquet(f"{log.path}/data/{format_offset(11)}-lost")
+    run(parts, seen)
+    assert seen == [3, 4]
+    got = []
+    fl.follow(log, lambda df, _: got.extend(r["position"] for r in df.collect()), ["t"], f"file://{tmp_path}/f", start="", once=True).awaitTermination()
+    assert got == [3, 4]
+
+
+def test_follow_drops_repeated_ids(parts, tmp_path):
+    log, seen = parts[0], []
+
+    def go():
+        fl.follow(log, lambda df, _: seen.extend(r["position"] for r in df.collect()), ["t"], f"file://{tmp_path}/f", start="", dedup_millis=3_600_000, once=True).awaitTermination()
+
+    append(log, 1, 2, id="x")
+    append(log, 3, id="y")
+    go()
+    append(log, 4, id="x")
+    append(log, 5, id="z")
+    go()
+    assert seen == [1, 3, 5]
+
+
 def test_streamed_fold(parts, tmp_path, spark):
     log = parts[0]
     append(log, 1, 2, 3)
