@@ -142,6 +142,16 @@ class Upcasts:
         rows = rows.withColumns({"type": F.when(ok, F.col("__type")).otherwise(F.col("type")), "data": F.when(ok, F.col("__data")).otherwise(F.col("data"))})
         return rows.drop("__type", "__data", "__moved")
 
+    def report(self, log: DataFrame) -> bool:
+        """Hand the rows of ``log`` whose chain fails to the error handler, if one is set; whether there were any."""
+        if self.on_error is None:
+            return False
+        failed = self.apply(log).where(F.col("upcast_error").isNotNull())
+        if failed.isEmpty():
+            return False
+        self.on_error(failed)
+        return True
+
     @staticmethod
     def _bound(rows: DataFrame, moved: Column) -> DataFrame:
         # Python functions cannot feed a generator; their results are kept in a column of their own anyway

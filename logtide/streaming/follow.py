@@ -113,7 +113,8 @@ def subscribe(
     A first run that starts live saves the tail before it reads anything, so a
     crash before the first batch does not move the start.  Under ``abort`` a row that
     cannot be decoded fails the query after the rows before it have been delivered
-    and saved; under ``skip`` it is reported and passed over.
+    and saved; under ``skip`` it is reported and passed over.  Rows whose migration fails
+    also go to the error handler of ``upcasts``, again if the batch is repeated.
     """
     registry.own(subscription_id)
     try:
@@ -125,6 +126,8 @@ def subscribe(
                 return
             rows = rows.persist()
             try:
+                if upcasts is not None:
+                    upcasts.report(rows)
                 out = delivery.deliver(rows, event_type, predicate, policy, upcasts)
                 events = out.events.orderBy("position")
                 if not events.isEmpty():

@@ -8,6 +8,7 @@ from logtide.bus import Bus
 from logtide.functions.offsets import NEWEST, format_offset
 from logtide.operators import delivery
 from logtide.operators.registry import RegistryError, TypeRegistry
+from logtide.operators.upcast import Upcasts
 from logtide.sources.log import Checkpoints, EventLog
 from logtide.streaming import follow as fl
 
@@ -88,6 +89,21 @@ def test_follow(parts, tmp_path):
     assert seen == [2]  # live only by default
 
 
+def test_failed_migrations_reach_their_handler(parts):
+    log, checkpoints, registry, event_type = parts
+    old = registry.register("old", T.StructType().add("N", T.LongType()))
+    failed, seen = [], []
+    ups = Upcasts(on_error=lambda df: failed.extend(r["position"] for r in df.collect()))
+    ups.typed(old, event_type, lambda v: {"ID": v["N"] * 10})
+    append(log, '{"N": 4}', '{"N": "four"}', kind="old")
+    append(log, 7)
+    run(parts, seen, upcasts=ups, policy=delivery.SKIP)
+    assert failed == [2] and seen == [40, 7]
+    append(log, 8)
+    run(parts, seen, upcasts=ups, policy=delivery.SKIP)
+    assert failed == [2] and seen == [40, 7, 8]
+
+
 def test_follow_loses_nothing_between_runs(parts, tmp_path):
     log, seen = parts[0], []
 
