@@ -108,17 +108,20 @@ def classify(log: DataFrame, collections: list[Collection], strict: bool = False
     """``log`` with what each row does: ``outcome``, ``entity_type``, ``key``, ``composite_key``, ``operation``, ``value``.
 
     Rows typed as messages are held to their schema; others count by their shape
-    and are ignored where they have none of the protocol's.
+    and are ignored where they have none of the protocol's.  A row typed as a
+    message is parsed once, by the schema of its type.
     """
     names = [c.name for c in collections]
-    change_ = F.from_json("data", _STRICT, {"columnNameOfCorruptRecord": "__corrupt"})
-    head = F.from_json("data", _HEADERS, {"columnNameOfCorruptRecord": "__corrupt"})
+    kind_is = F.coalesce(F.col("type"), F.lit(""))
+    change_ = F.when(kind_is != CONTROL, F.from_json("data", _STRICT, {"columnNameOfCorruptRecord": "__corrupt"}))
+    head = F.when(kind_is != CHANGE, F.from_json("data", _HEADERS, {"columnNameOfCorruptRecord": "__corrupt"}))
     rows = bind(bind(log, "__c", change_), "__h", head)
     c_ok = F.col("__c").isNotNull() & F.col("__c.__corrupt").isNull()
     h_ok = F.col("__h").isNotNull() & F.col("__h.__corrupt").isNull() & F.col("__h.headers").isNotNull()
     entity, key, op = (F.coalesce(F.col(x), F.lit("")) for x in ("__c.type", "__c.key", "__c.headers.operation"))
-    value = F.to_json(F.col("__c.value"))
     registered = entity.isin(names) if names else F.lit(False)
+    rows = bind(rows, "__v", F.when(registered & (op != DELETE), F.to_json(F.col("__c.value"))))
+    value = F.col("__v")
     fits = F.lit(False)
     for c in collections:
         fits = F.when(entity == c.name, value.isNotNull() & ~decode_column(value, c.event_type)["poison"]).otherwise(fits)
@@ -171,9 +174,16 @@ def last_reset(classified: DataFrame) -> DataFrame:
 
 
 def after_reset(classified: DataFrame) -> DataFrame:
-    """Applied changes that no later reset clears; the reset's position is one broadcast row."""
+    """Applied changes that no later reset clears; the reset's position is one broadcast row.
+
+    Resets are looked for only in rows whose text could hold one (the word, or an
+    escape that may spell it) and which are not typed as changes: a filter that
+    reaches the scan, so that the log is not parsed a second time.
+    """
     changes = classified.where(F.col("outcome") == APPLY)
-    return changes.join(F.broadcast(last_reset(classified)), how="cross").where("position > reset_at").drop("reset_at")
+    text = F.col("data")
+    possible = (F.coalesce(F.col("type"), F.lit("")) != CHANGE) & (text.contains(RESET) | text.contains("\\u"))
+    return changes.join(F.broadcast(last_reset(classified.where(possible))), how="cross").where("position > reset_at").drop("reset_at")
 
 
 def collection(state: DataFrame, entity_type: str) -> DataFrame:
