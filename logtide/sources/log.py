@@ -138,14 +138,18 @@ class EventLog:
         last = rows.agg(F.max("position")).first()[0]
         return rows, offset if last is None else format_offset(last)
 
-    def replay(self, callback, offset: str = OLDEST) -> str:
-        """Call back with every row up to the tail as it is now, in order; the first failure ends the replay and is raised."""
+    def replay(self, callback, offset: str = OLDEST, batch_rows: int = 0) -> str:
+        """Call back with every row up to the tail as it is now, in order, reading at most ``batch_rows`` at a time (0: all); the first failure ends the replay and is raised."""
         tail = self.tail()
         if offset == NEWEST:
             return tail
-        for row in self.scan(parse_offset(offset), parse_offset(tail)).orderBy("position").toLocalIterator():
-            callback(row)
-            offset = row["offset"]
+        at, end = parse_offset(offset), parse_offset(tail)
+        while at < end:
+            upto = min(end, at + batch_rows) if batch_rows > 0 else end
+            for row in self.scan(at, upto).orderBy("position").toLocalIterator():
+                callback(row)
+                offset = row["offset"]
+            at = upto
         return offset
 
     # ---- writing

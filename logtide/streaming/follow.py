@@ -33,6 +33,8 @@ from logtide.operators.upcast import Upcasts
 from logtide.sources.log import LOG_SCHEMA, Checkpoints, EventLog
 
 POLL_MILLIS = 200
+#: The name under which a follower's offset is saved in its checkpoint folder.
+FOLLOWER = "follow"
 
 
 def read_stream(log: EventLog, after: str = OLDEST, files_per_trigger: int | None = None) -> DataFrame:
@@ -57,10 +59,13 @@ def _start(log: EventLog, checkpoints: Checkpoints, name: str, start: str) -> st
     return saved if found else checkpoints.save(name, log.resolve(start))
 
 
-def _new_rows(log: EventLog, checkpoints: Checkpoints, name: str) -> tuple[DataFrame | None, int, int]:
-    """Committed rows behind the saved offset (None: there are none), that offset, and the log's last position."""
+def _slices(log: EventLog, checkpoints: Checkpoints, name: str, batch_rows: int) -> Iterator[tuple[DataFrame, int]]:
+    """Committed rows behind the saved offset, at most ``batch_rows`` positions at a time (0: all), with the last position of each part."""
     passed, high = parse_offset(checkpoints.load(name)), log.manifest().high
-    return (log.scan(passed, high) if high > passed else None), passed, high
+    while passed < high:
+        upto = min(high, passed + batch_rows) if batch_rows > 0 else high
+        yield log.scan(passed, upto), upto
+        passed = upto
 
 
 def _trigger(writer, once: bool, poll_millis: int):
@@ -107,8 +112,9 @@ def subscribe(
     start: str = OLDEST,
     once: bool = False,
     poll_millis: int = POLL_MILLIS,
+    batch_rows: int = 0,
 ) -> Subscription:
-    """Replay, catch up and stay live on one type, resuming from the saved offset.
+    """Replay, catch up and stay live on one type, resuming from the saved offset; the handler gets at most ``batch_rows`` rows at a time (0: all).
 
     A first run that starts live saves the tail before it reads anything, so a
     crash before the first batch does not move the start.  Under ``abort`` a row that
@@ -120,10 +126,7 @@ def subscribe(
     try:
         _start(log, checkpoints, subscription_id, start)
 
-        def batch(_: DataFrame, __: int) -> None:
-            rows, _, _ = _new_rows(log, checkpoints, subscription_id)
-            if rows is None:
-                return
+        def part(rows: DataFrame) -> None:
             rows = rows.persist()
             try:
                 if upcasts is not None:
@@ -143,6 +146,10 @@ def subscribe(
             finally:
                 rows.unpersist()
 
+        def batch(_: DataFrame, __: int) -> None:
+            for rows, _ in _slices(log, checkpoints, subscription_id, batch_rows):
+                part(rows)
+
         writer = _commits(log).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoints.path}/streams/{subscription_id.encode().hex()}")
         return Subscription(_trigger(writer, once, poll_millis).start(), registry, subscription_id)
     except Exception:
@@ -161,28 +168,32 @@ def follow(
     dedup_millis: int | None = None,
     once: bool = False,
     poll_millis: int = POLL_MILLIS,
+    upcasts: Upcasts | None = None,
+    batch_rows: int = 0,
 ) -> StreamingQuery:
-    """Deliver rows of the subscribed types from other processes: dedup, origin, type, in that order.
+    """Deliver rows of the subscribed types from other processes: dedup, origin, upcast, type, in that order.
 
     Live only unless told otherwise: the tail is saved under ``checkpoint`` before the
     stream starts, and a later run goes on behind the last row passed.
     ``dedup_millis`` drops a row if one of the same id and at most so much older stands
     before it in the log (blank ids are kept); as the log itself is asked, that holds
-    across restarts.
+    across restarts.  With ``upcasts`` rows come migrated, with an ``upcast_error`` column that
+    is null but where a migration failed; ``batch_rows`` bounds the rows of one call (0: no bound).
     """
-    checkpoints, name = Checkpoints(log.spark, f"{checkpoint}/offsets"), "follow"
-    _start(log, checkpoints, name, start)
+    checkpoints = Checkpoints(log.spark, f"{checkpoint}/offsets")
+    _start(log, checkpoints, FOLLOWER, start)
 
     def batch(_: DataFrame, n: int) -> None:
-        rows, passed, high = _new_rows(log, checkpoints, name)
-        if rows is None:
-            return
-        if dedup_millis:
-            rows = _first_sights(log, rows, high, dedup_millis)
-        if origin is not None:
-            rows = delivery.foreign(rows, origin, include_own)
-        handler(delivery.of_types(rows, names).orderBy("position"), n)
-        checkpoints.save(name, format_offset(high))
+        for rows, upto in _slices(log, checkpoints, FOLLOWER, batch_rows):
+            if dedup_millis:
+                rows = _first_sights(log, rows, upto, dedup_millis)
+            if origin is not None:
+                rows = delivery.foreign(rows, origin, include_own)
+            if upcasts is not None:
+                upcasts.report(rows)
+                rows = upcasts.apply(rows)
+            handler(delivery.of_types(rows, names).orderBy("position"), n)
+            checkpoints.save(FOLLOWER, format_offset(upto))
 
     writer = _commits(log).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream")
     return _trigger(writer, once, poll_millis).start()
