@@ -56,5 +56,13 @@ def rejected(chunks: DataFrame) -> DataFrame:
 
 
 def next_offset(chunks: DataFrame, start: str = "") -> DataFrame:
-    """Where a scan of these chunks ends (one row): the next token of the last chunk, past any number of empty ones."""
-    return chunks.agg(F.coalesce(F.max_by("next_offset", F.struct(F.length("chunk_start"), "chunk_start")), F.lit(start)).alias("next_offset"))
+    """Where a scan of these chunks ends (one row), past any number of empty ones.
+
+    With a ``seq`` column that is the next token of the last chunk.  Without one it is
+    the token that no chunk starts at, since tokens themselves have no order; a chunk
+    that did not advance ends the scan at its own start.
+    """
+    if "seq" in chunks.columns:
+        return chunks.agg(F.coalesce(F.max_by("next_offset", "seq"), F.lit(start)).alias("next_offset"))
+    moved = chunks.where("chunk_start <> next_offset").select(F.col("chunk_start").alias("next_offset"))
+    return chunks.select("next_offset").join(moved, "next_offset", "left_anti").agg(F.coalesce(F.max("next_offset"), F.lit(start)).alias("next_offset"))
