@@ -8,6 +8,7 @@ Once the last reset is known the fold is one aggregate per key.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,6 +21,9 @@ from logtide.functions.envelope import format_time, null_if_empty
 from logtide.functions.offsets import format_column, format_offset, parse_offset
 from logtide.operators.decode import decode_column
 from logtide.operators.registry import EventType
+from logtide.sources.log import _Files
+from logtide.sources.paths import shared_dir
+from logtide.sources.states import STATE_SCHEMA, ParquetStates, StateStore
 
 # The protocol's names.
 CHANGE, CONTROL = "state.ChangeMessage", "state.ControlMessage"
@@ -52,16 +56,17 @@ def change(
     value: Column | None = None,
     old_value: Column | None = None,
     txid: Column | str | None = None,
-    timestamp: Column | None = None,
+    timestamp: Column | bool | None = None,
 ) -> Column:
-    """JSON of a change message; ``value`` and ``old_value`` are JSON texts.  An empty key fails the query."""
+    """JSON of a change message; ``value`` and ``old_value`` are JSON texts, ``timestamp`` True is the time of the query.  An empty key fails the query."""
     if operation not in (INSERT, UPDATE, DELETE):
         raise StateError(f"unknown operation {operation!r}")
     checked = F.when(F.coalesce(key, F.lit("")) == "", F.raise_error(F.lit("a change needs a key")).cast("string")).otherwise(key)
+    timestamp = F.current_timestamp() if timestamp is True else timestamp
     headers = F.struct(
         F.lit(operation).alias("operation"),
         null_if_empty(_text(txid)).alias("txid"),
-        (format_time(timestamp) if timestamp is not None else F.lit(None).cast("string")).alias("timestamp"),
+        (format_time(timestamp) if isinstance(timestamp, Column) else F.lit(None).cast("string")).alias("timestamp"),
     )
     fields = [_text(entity_type).alias("type"), checked.alias("key")]
     if value is not None:
@@ -243,7 +248,12 @@ def _plain(blob: str) -> dict[str, dict]:
 
 @dataclass
 class Materializer:
-    """Folds a log into collections, remembers how far it got, and saves and restores snapshots."""
+    """Folds a log into collections, remembers how far it got, and saves and restores snapshots.
+
+    Each fold is kept in ``store`` before the offset moves: the next one starts from
+    rows, not from the plans and logs of all before it, and a store that fails leaves
+    state and offset as they were.
+    """
 
     spark: object
     collections: list[Collection]
@@ -254,18 +264,20 @@ class Materializer:
     on_error: Callable[[DataFrame], None] | None = None
     last_offset: str = ""
     state: DataFrame = field(default=None)
+    store: StateStore | None = None
 
-    _STATE = "entity_type string, key string, composite_key string, value string, position long"
+    _STATE = STATE_SCHEMA
 
     def __post_init__(self):
         names = [c.name for c in self.collections]
         if len(set(names)) != len(names):
             raise StateError("a collection is registered twice")
-        self._clear()
+        self.store = self.store or ParquetStates(self.spark, f"{shared_dir(self.spark)}/logtide/state-{uuid.uuid4().hex}")
+        if self.state is None:
+            self.state = self.spark.createDataFrame([], self._STATE)
 
     def _clear(self) -> None:
-        self.state = self.spark.createDataFrame([], self._STATE)
-        self.last_offset = ""
+        self.state, self.last_offset = self.spark.createDataFrame([], self._STATE), ""
 
     def apply(self, log: DataFrame) -> DataFrame:
         """Fold the rows of ``log`` behind ``last_offset`` into the state and return the rows that failed.
@@ -274,9 +286,18 @@ class Materializer:
         stays there; under ``skip`` undecodable rows are passed over.  An unknown
         entity type in strict mode is no decoding failure and is never skipped.
         """
-        rows = classify(log.where(F.col("position") > parse_offset(self.last_offset)), self.collections, self.strict)
-        failures = [UNKNOWN_TYPE] if self.policy == "skip" else [UNKNOWN_TYPE, UNDECODABLE]
-        failed = rows.where(F.col("outcome").isin(UNKNOWN_TYPE, UNDECODABLE)).select("position", "type", F.col("outcome").alias("reason"), "data")
+        classified = classify(log.where(F.col("position") > parse_offset(self.last_offset)), self.collections, self.strict)
+        bad = F.col("outcome").isin(UNKNOWN_TYPE, UNDECODABLE)
+        # parsed once for all that follows; a lost block is worked out again
+        held = classified.select("position", "outcome", "entity_type", "key", "composite_key", "operation", "value", F.when(bad, F.struct("type", "data")).alias("bad")).persist()
+        try:
+            return self._apply(held, bad)
+        finally:
+            held.unpersist()
+
+    def _apply(self, held: DataFrame, bad: Column) -> DataFrame:
+        rows, failures = held, [UNKNOWN_TYPE] if self.policy == "skip" else [UNKNOWN_TYPE, UNDECODABLE]
+        failed = rows.where(bad).select("position", "bad.type", F.col("outcome").alias("reason"), "bad.data")
         stop = rows.where(F.col("outcome").isin(failures)).agg(F.min("position")).first()[0]
         if stop is not None:
             rows = rows.where(F.col("position") < stop)
@@ -286,15 +307,18 @@ class Materializer:
             F.max(F.when(F.col("outcome") == RESETS, F.col("position"))).alias("reset"),
             F.count_if(F.col("outcome") == RESETS).alias("resets"),
             F.count_if(F.col("outcome") == MARK).alias("marks"),
+            F.count_if(F.col("outcome") == APPLY).alias("changes"),
         ).first()
-        changes = rows.where(F.col("outcome") == APPLY)
-        before = self.state
-        if facts["reset"] is not None:
-            changes = changes.where(F.col("position") > facts["reset"])
-            before = before.where(~F.col("entity_type").isin([c.name for c in self.collections]))
-        tail = fold(changes, keep_deletes=True)
-        untouched = before.join(tail.select("composite_key"), "composite_key", "left_anti")
-        self.state = untouched.select(*before.columns).unionByName(tail.where(F.col("operation") != DELETE).drop("operation").select(*before.columns))
+        before, reset = self.state, facts["reset"] is not None
+        if facts["changes"] or reset:
+            changes = rows.where(F.col("outcome") == APPLY)
+            if reset:
+                changes = changes.where(F.col("position") > facts["reset"])
+                before = before.where(~F.col("entity_type").isin([c.name for c in self.collections]))
+            tail = fold(changes, keep_deletes=True)
+            untouched = before.join(tail.select("composite_key"), "composite_key", "left_anti")
+            alive = tail.where(F.col("operation") != DELETE).drop("operation")
+            self.state = self.store.replace(untouched.select(*before.columns).unionByName(alive.select(*before.columns)))
         if facts["end"] is not None:
             self.last_offset = format_offset(facts["end"])
         if facts["resets"] and self.on_reset:
@@ -314,7 +338,46 @@ class Materializer:
         return collection(self.state, entity_type)
 
     def clear(self, entity_type: str) -> None:
-        self.state = self.state.where(~keys.in_collection(F.col("composite_key"), entity_type))
+        self.state = self.store.replace(self.state.where(~keys.in_collection(F.col("composite_key"), entity_type)))
+
+    def save(self, path: str) -> str:
+        """Write the state as a snapshot folder: Parquet rows and, when they are complete, a file that says what they are.  For states too large for one text."""
+        if not self.last_offset:
+            raise StateError("nothing has been applied yet")
+        names = [c.name for c in self.collections]
+        self.state.where(F.col("entity_type").isin(names)).write.parquet(f"{path}/entities")
+        about = {"version": SNAPSHOT_VERSION, "key_codec": KEY_CODEC, "offset": self.last_offset, "collections": names}
+        if not _Files(self.spark, path).put(json.dumps(about), "snapshot.json"):
+            raise StateError(f"there is a snapshot in {path} already")
+        return self.last_offset
+
+    def restore_from(self, path: str) -> str:
+        """Replace the state by that of a snapshot folder, after the checks ``restore`` makes."""
+        files = _Files(self.spark, path)
+        try:
+            if "snapshot.json" not in files.names():
+                raise StateError(f"no complete snapshot in {path}")
+            about = json.loads(files.read("snapshot.json"))
+            if (about["version"], about["key_codec"]) != (SNAPSHOT_VERSION, KEY_CODEC):
+                raise StateError(f"snapshot of version {about['version']} and key codec {about['key_codec']!r} is unknown")
+            missing = sorted({c.name for c in self.collections} - set(about["collections"]))
+            if missing:
+                raise StateError(f"snapshot lacks registered collections {missing}")
+            rows = self.spark.read.schema(self._STATE).parquet(f"{path}/entities").where(F.col("entity_type").isin([c.name for c in self.collections]))
+            self._check(rows)
+        except StateError:
+            self._clear()
+            raise
+        self.state, self.last_offset = self.store.replace(rows), about["offset"]
+        return self.last_offset
+
+    def _check(self, rows: DataFrame) -> None:
+        fits = F.lit(True)
+        for c in self.collections:
+            fits = F.when(F.col("entity_type") == c.name, ~decode_column(F.col("value"), c.event_type)["poison"]).otherwise(fits)
+        wrong = rows.where(~fits).select("entity_type").first()
+        if wrong is not None:
+            raise StateError(f"snapshot has entities of {wrong[0]!r} that do not fit its schema")
 
     def snapshot(self) -> tuple[str, str]:
         """Offset and JSON of the state; refused where nothing has been applied."""
@@ -347,10 +410,7 @@ class Materializer:
                 name, key = keys.split_key(composite)
                 rows.append((name, key, composite, json.dumps(entity), at))
         df = self.spark.createDataFrame(rows, self._STATE)
-        for c in self.collections:
-            mine = df.where(F.col("entity_type") == c.name)
-            if mine.where(decode_column(F.col("value"), c.event_type)["poison"]).limit(1).count():
-                raise StateError(f"snapshot has entities of {c.name!r} that do not fit its schema")
+        self._check(df)
         return df
 
 
