@@ -50,11 +50,15 @@ def foreign(log: DataFrame, origin: str, include_own: bool = False) -> DataFrame
 
 
 def _unique_ids(log: DataFrame) -> DataFrame:
-    """The first row of each id; blank ids are never duplicates."""
-    blank = F.col("id").isNull() | (F.col("id") == "")
-    row = F.struct(*log.columns)
-    firsts = log.where(~blank).groupBy("id").agg(F.min_by(row, F.col("position")).alias("__row")).select("__row.*")
-    return log.where(blank).unionByName(firsts)
+    """The first row of each id; blank ids are never duplicates.
+
+    Only ids and positions are aggregated; rows are compared with the ids that repeat,
+    so that payloads are not shuffled where those are few enough to be broadcast.
+    """
+    seen = log.where("id <> ''").groupBy("id").agg(F.min("position").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    repeated = seen.where("__n > 1").select("id", "__first")
+    kept = log.join(repeated, "id", "left").where("__first is null or position = __first")
+    return kept.select(*(F.col(f"`{c}`") for c in log.columns))
 
 
 class Ring:

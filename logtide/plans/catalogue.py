@@ -18,7 +18,7 @@ from logtide.operators import delivery, metrics, state
 from logtide.operators.registry import TypeRegistry
 from logtide.operators.upcast import Upcasts
 from logtide.sources import chunks
-from logtide.sources.log import Checkpoints, EventLog
+from logtide.sources.log import Checkpoints, EventLog, Snapshots
 from logtide.sources.paths import shared_dir
 from logtide.streaming import follow as streams
 
@@ -33,6 +33,7 @@ PROPS = {n: _REGISTRY.register(n, T.StructType().add("k", T.LongType())) for n i
 CLICK_2 = _REGISTRY.register("click.v2", _KEY_LABEL)
 CLICK_3 = _REGISTRY.register("click.v3", T.StructType([*_KEY_LABEL.fields, T.StructField("twice", T.LongType())]))
 USER = _REGISTRY.register("user", T.StructType().add("event", T.LongType()))
+ADMIN = _REGISTRY.register("user/admin", T.StructType().add("event", T.LongType()))
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +255,37 @@ def follow_restart(spark, sf_dir):
     return spark.read.schema("position long, id string").parquet(f"{base}/out").select("id", "position")
 
 
+def follow_live_only(spark, sf_dir):
+    """What a follower delivers that started behind the first half of the log, and then ran again behind the second."""
+    base = f"{shared_dir(spark)}/logtide/follow-{uuid.uuid4().hex}"
+    rows, half = _log_table(log(spark, sf_dir)), F.col("event_id") % 2 == 0
+    followed = EventLog(spark, f"{base}/log")
+
+    def deliver(df, _):
+        df.select("position", "id", "origin").write.mode("append").parquet(f"{base}/out")
+
+    for part in (half, ~half):
+        followed.append(rows.where(part), order_by=["event_id"])
+        streams.follow(followed, deliver, ["view", "click"], f"{base}/checkpoint", origin=OWN, once=True).awaitTermination()
+    return spark.read.schema("position long, id string, origin string").parquet(f"{base}/out").select("id", "position", "origin")
+
+
+def subscription_resume(spark, sf_dir):
+    """Events delivered by two bounded runs of one subscription, half of the log appended between them, with the offset saved in the end."""
+    base = f"{shared_dir(spark)}/logtide/subscription-{uuid.uuid4().hex}"
+    rows, half = _log_table(log(spark, sf_dir)), F.col("event_id") % 2 == 0
+    written, saved, registry = EventLog(spark, f"{base}/log"), Checkpoints(spark, f"{base}/checkpoints"), TypeRegistry()
+
+    def deliver(df):
+        df.select("position", "id", F.col("event.k").alias("k")).write.mode("append").parquet(f"{base}/out")
+
+    for part in (half, ~half):
+        written.append(rows.where(part), order_by=["event_id"])
+        streams.subscribe(written, saved, registry, "clicks", PROPS["click"], deliver, F.col("event.k") < 50, once=True).wait()
+    out = spark.read.schema("position long, id string, k long").parquet(f"{base}/out")
+    return out.select("position", "id", "k", F.lit(saved.lookup("clicks")[0]).alias("checkpoint"))
+
+
 # ---- migration ------------------------------------------------------------------------------------------
 
 
@@ -279,6 +311,25 @@ def upcast_failure_abort(spark, sf_dir):
     return out.events.select("position", F.col("event.k").alias("k"))
 
 
+def upcast_raw(spark, sf_dir):
+    """A step by a Python function, which refuses some payloads: those rows keep their type and say why."""
+    ups = Upcasts()
+
+    def widen(text: str) -> tuple[str, str]:
+        if "poison" in text:
+            raise ValueError("no number")
+        return text.replace('"k"', '"key"'), "view.v2"
+
+    ups.raw("view", "view.v2", widen)
+    rows = ups.apply(_poisoned(spark, sf_dir).where("type = 'view'"))
+    return rows.select("position", "id", "type", "data", F.col("upcast_error").alias("error"))
+
+
+def upcast_ancestors(spark, sf_dir):
+    """Rows of a type and of all that migrate into it, by a scan that reads no others."""
+    return metrics.counters(_upcasts().scan(_poisoned(spark, sf_dir), CLICK_2.name, prune=True), ["type"], F.col("upcast_error").isNotNull())
+
+
 # ---- state ----------------------------------------------------------------------------------------------
 
 
@@ -341,6 +392,81 @@ def snapshot_restore(spark, sf_dir):
     return second.state
 
 
+def _bad_messages(spark, sf_dir) -> DataFrame:
+    """The users' messages, with a value that does not fit at every 997th event."""
+    wrong = state.update("user", F.lit("1"), F.lit('{"event":"many"}'))
+    return _messages(spark, sf_dir, False).withColumn("data", F.when(F.col("event_id") % 997 == 600, wrong).otherwise(F.col("data")))
+
+
+def _applied(spark, sf_dir, policy: str) -> state.Materializer:
+    m = state.Materializer(spark, USERS, policy=policy)
+    m.apply(_bad_messages(spark, sf_dir))
+    return m
+
+
+def materializer_abort(spark, sf_dir):
+    return _applied(spark, sf_dir, "abort").state
+
+
+def materializer_skip(spark, sf_dir):
+    return _applied(spark, sf_dir, "skip").state
+
+
+def materializer_offsets(spark, sf_dir):
+    ends = [F.lit(_applied(spark, sf_dir, p).last_offset).alias(p) for p in ("abort", "skip")]
+    return spark.range(1).select(*ends)
+
+
+def materializer_failures(spark, sf_dir):
+    return state.Materializer(spark, USERS, policy="skip").apply(_bad_messages(spark, sf_dir)).select("position", "reason")
+
+
+def state_shared_store(spark, sf_dir):
+    """Entities of two types, the name of one beginning with that of the other and a separator, kept in one store and told apart by prefix."""
+    even = F.col("event_id") % 2 == 0
+    key, value = F.col("user_id").cast("string"), F.to_json(F.struct(F.col("event_id").alias("event")))
+    data = F.when(even, state.insert("user", key, value)).otherwise(state.insert("user/admin", key, value))
+    rows = log(spark, sf_dir).select("position", F.lit(state.CHANGE).alias("type"), data.alias("data"))
+    m = state.Materializer(spark, [*USERS, state.Collection(ADMIN)])
+    m.apply(rows)
+    counts = [m.all(t).agg(F.lit(t).alias("collection"), F.count(F.lit(1)).alias("entities"), F.max("position").alias("last")) for t in ("user", "user/admin")]
+    return counts[0].unionByName(counts[1])
+
+
+def state_message_text(spark, sf_dir):
+    """Change messages with a transaction, a time and the value before."""
+    rows, value = log(spark, sf_dir), F.to_json(F.struct(F.col("event_id").alias("event")))
+    key, tx = F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("tx-"), F.col("event_id").cast("string"))).otherwise(F.lit(""))
+    return rows.select("position", state.update("user", key, value, value, txid=tx, timestamp=F.col("timestamp")).alias("message"))
+
+
+def snapshot_truncate_resume(spark, sf_dir):
+    """Messages stored in a log; state at one offset saved, the log cut there, and the fold resumed by another materializer from what is left."""
+    base = f"{shared_dir(spark)}/logtide/resume-{uuid.uuid4().hex}"
+    written, saved = EventLog(spark, f"{base}/log"), Snapshots(spark, f"{base}/snapshots")
+    written.append(_messages(spark, sf_dir, False).select("event_id", "type", "data"), order_by=["event_id"])
+    first = state.Materializer(spark, USERS)
+    first.apply(written.scan(0, SNAPSHOT_AT))
+    saved.save("users", *first.snapshot())
+    written.truncate(first.last_offset)
+    second = state.Materializer(spark, USERS)
+    second.restore(*saved.load("users"))
+    second.apply(written.read(second.last_offset))
+    return second.state
+
+
+def snapshot_folder_resume(spark, sf_dir):
+    """State saved as a folder at one offset and carried on by another materializer."""
+    rows, path = _messages(spark, sf_dir, True), f"{shared_dir(spark)}/logtide/snapshot-{uuid.uuid4().hex}"
+    first = state.Materializer(spark, USERS)
+    first.apply(rows.where(F.col("position") <= SNAPSHOT_AT))
+    first.save(path)
+    second = state.Materializer(spark, USERS)
+    second.restore_from(path)
+    second.apply(rows)
+    return second.state
+
+
 def truncate_survivors(spark, sf_dir):
     written = EventLog(spark, f"{shared_dir(spark)}/logtide/log-{uuid.uuid4().hex}")
     written.append(_log_table(log(spark, sf_dir)), order_by=["event_id"])
@@ -367,6 +493,30 @@ def chunk_offsets(spark, sf_dir):
     return chunks.decode_chunks(made).select("chunk_start", F.col("member").cast("long").alias("member"), "offset", "id", "type", "data")
 
 
+def _spoilt_chunks(spark, sf_dir) -> DataFrame:
+    """Chunks of ten events: every fourth is empty, and every seventh member is no event."""
+    rows = log(spark, sf_dir)
+    number = F.floor(F.col("event_id") / 10)
+    good = F.to_json(F.struct("id", "type", F.struct(F.col("user_id").alias("u")).alias("data")))
+    item = F.when(F.col("event_id") % 7 == 3, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]"))).otherwise(good)
+    items = F.transform(F.sort_array(F.collect_list(F.struct("position", item.alias("m")))), lambda x: x["m"])
+    body = F.when(F.col("c") % 4 == 2, F.lit("[]")).otherwise(F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")))
+    made = rows.groupBy(number.alias("c")).agg(items.alias("items"))
+    return made.select(F.concat(F.lit("t"), F.col("c").cast("string")).alias("chunk_start"), F.concat(F.lit("t"), (F.col("c") + 1).cast("string")).alias("next_offset"), F.lit(False).alias("up_to_date"), body.alias("body"))
+
+
+def chunk_rejected(spark, sf_dir):
+    return chunks.rejected(_spoilt_chunks(spark, sf_dir)).select("chunk_start", F.col("member").cast("long").alias("member"), "text")
+
+
+def chunk_scan_end(spark, sf_dir):
+    return chunks.next_offset(_spoilt_chunks(spark, sf_dir))
+
+
+def chunk_events(spark, sf_dir):
+    return chunks.decode_chunks(_spoilt_chunks(spark, sf_dir)).select("chunk_start", "offset", "id", "data")
+
+
 def ulid_time_prefix(spark, sf_dir):
     return log(spark, sf_dir).select("position", ulid.time_prefix(F.col("timestamp")).alias("prefix"))
 
@@ -426,6 +576,12 @@ def metrics_p95_async(spark, sf_dir):
     return metrics.histogram_quantile(cells, 0.95, ["type"]).select("type", F.round("quantile", 6).alias("p95"))
 
 
+def metrics_gaps(spark, sf_dir):
+    """Milliseconds between events of one type, as durations."""
+    gaps = metrics.gaps(log(spark, sf_dir), ["type"])
+    return gaps.groupBy("type").agg(F.count("gap_ms").alias("gaps"), F.round(F.sum("gap_ms"), 3).alias("total_ms"), F.max("gap_ms").alias("longest_ms"))
+
+
 def metrics_label_values(spark, sf_dir):
     return metrics.label_values(log(spark, sf_dir), "type")
 
@@ -435,12 +591,13 @@ QUERIES = {
     for f in (
         log_scan_range, log_tail, log_tail_empty, log_replay_from, log_keyset_page, offset_compare,
         route_by_type, filter_predicate, unknown_type_skip, once_per_handler, origin_skip, follow_dedup, follow_dedup_ring, follow_pipeline,
-        decode_props, poison_abort_prefix, poison_skip_checkpoint, poison_dead_letters, replay_checkpoint_filtered, follow_checkpoint, follow_restart,
-        upcast_chain, upcast_terminal_types, upcast_failure_abort,
-        log_append_read, log_truncate_read, snapshot_restore,
+        decode_props, poison_abort_prefix, poison_skip_checkpoint, poison_dead_letters, replay_checkpoint_filtered, follow_checkpoint, follow_restart, follow_live_only, subscription_resume,
+        upcast_chain, upcast_terminal_types, upcast_failure_abort, upcast_raw, upcast_ancestors,
+        log_append_read, log_truncate_read, snapshot_restore, snapshot_truncate_resume, snapshot_folder_resume,
+        materializer_abort, materializer_skip, materializer_offsets, materializer_failures, state_shared_store, state_message_text,
         state_fold_lww, state_fold_reset, state_last_offset, state_classify, composite_keys, state_collection, snapshot_plus_tail, truncate_survivors, account_balance,
-        chunk_offsets, ulid_time_prefix, metadata_roundtrip, time_text,
-        metrics_rate_1m, metrics_rate_5m, metrics_error_rate, metrics_counters, metrics_histogram, metrics_p95, metrics_p95_by_type, metrics_p95_async, metrics_label_values,
+        chunk_offsets, chunk_rejected, chunk_scan_end, chunk_events, ulid_time_prefix, metadata_roundtrip, time_text,
+        metrics_rate_1m, metrics_rate_5m, metrics_error_rate, metrics_counters, metrics_histogram, metrics_p95, metrics_p95_by_type, metrics_p95_async, metrics_gaps, metrics_label_values,
     )
 }
 
@@ -450,6 +607,12 @@ _FOLD = """SELECT 'user' AS entity_type, CAST(user_id AS VARCHAR) AS key, 'user/
 FROM log WHERE TRUE """
 _ALIVE = " GROUP BY user_id HAVING arg_max(type, position) <> 'error'"
 _RESET = " AND event_id % 2500 <> 0 AND position > coalesce((SELECT max(position) FROM log WHERE event_id % 2500 = 0), 0)"
+_WRONG = "event_id % 997 = 600"
+_BEFORE_WRONG = f"position < coalesce((SELECT min(position) FROM log WHERE {_WRONG}), 1 << 62)"
+_HALVES = _LOG + ", n AS (SELECT *, row_number() OVER (ORDER BY event_id % 2, event_id) AS p FROM log)"
+_SPOILT = _LOG + """,
+m AS (SELECT *, event_id // 10 AS c, event_id % 10 AS m, event_id % 7 = 3 AS bad FROM log)"""
+_AT_SNAPSHOT = f"SELECT * REPLACE (CASE WHEN position <= {SNAPSHOT_AT} THEN {SNAPSHOT_AT} ELSE position END AS position) FROM "
 _BOUNDS = "(VALUES " + ", ".join(f"(CAST({b} AS DOUBLE))" for b in metrics.BOUNDS) + ", (NULL))"
 
 
@@ -487,6 +650,14 @@ ORACLE_SQL = {
     "once_per_handler": _with(_LOG, "SELECT type, min(position) AS position, arg_min(id, position) AS id FROM log WHERE value > 20 GROUP BY type"),
     "origin_skip": _with(_LOG, f"SELECT origin, count(*) AS events, max(position) AS last FROM log WHERE origin <> '{OWN}' GROUP BY origin"),
     "follow_dedup": _with(_LOG + ", twice AS (SELECT * FROM log UNION ALL SELECT * REPLACE (position + 1000000 AS position) FROM log WHERE event_id % 10 = 0)", "SELECT id, min(position) AS position, arg_min(type, position) AS type FROM twice GROUP BY id"),
+    "follow_dedup_ring": f"""WITH RECURSIVE {_LOG.replace("'ev-' || event_id AS id", "'user-' || user_id AS id")},
+ids AS MATERIALIZED (SELECT list(id ORDER BY position) AS ids FROM log),
+r(position, ring, fresh) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), FALSE
+  UNION ALL
+  SELECT position + 1, CASE WHEN list_contains(ring, ids[position + 1]) THEN ring ELSE list_append(ring, ids[position + 1])[-64:] END, NOT list_contains(ring, ids[position + 1])
+  FROM r, ids WHERE position < len(ids))
+SELECT l.id, l.position, l.type FROM r JOIN log l USING (position) WHERE fresh""",
     "follow_pipeline": _with(_LOG, f"SELECT position, id, origin, {_K} AS k FROM log WHERE type = 'click' AND origin <> '{OWN}'"),
     "decode_props": _with(_LOG, f"SELECT position, {_K} AS k FROM log WHERE type = 'view'"),
     "poison_abort_prefix": _with(_LOG, f"SELECT position, {_K} AS k FROM log WHERE position < {_ABORT}"),
@@ -494,10 +665,18 @@ ORACLE_SQL = {
     "poison_dead_letters": _with(_LOG, f"""SELECT position, 'click' AS type, 'undecodable' AS reason, '{{"k": "poison"}}' AS data FROM log WHERE {_POISON}"""),
     "replay_checkpoint_filtered": _with(_LOG, f"SELECT lpad(CAST(max(position) FILTER (type = 'click' AND {_K} < 5) AS VARCHAR), 20, '0') AS delivered, lpad(CAST(max(position) AS VARCHAR), 20, '0') AS scanned FROM log"),
     "follow_restart": _with(_LOG + ", n AS (SELECT *, row_number() OVER (ORDER BY event_id % 2, event_id) AS p FROM log)", "SELECT id, p AS position FROM n WHERE type = 'view'"),
+    "follow_live_only": _with(_HALVES, f"SELECT id, p AS position, origin FROM n WHERE type IN ('view', 'click') AND origin <> '{OWN}' AND event_id % 2 = 1"),
+    "subscription_resume": _with(_HALVES + f", c AS (SELECT *, {_K} AS k FROM n WHERE type = 'click' AND {_K} < 50)", "SELECT p AS position, id, k, lpad(CAST(max(p) OVER () AS VARCHAR), 20, '0') AS checkpoint FROM c"),
     "follow_checkpoint": _with(_LOG, "SELECT lpad(CAST(max(position) AS VARCHAR), 20, '0') AS checkpoint FROM log"),
     "upcast_chain": _with(_LOG, f"""SELECT position, "offset", id, 'click.v3' AS type, '{{"key":' || {_K} || ',"label":"k' || {_K} || '","twice":' || 2 * {_K} || '}}' AS data FROM log WHERE type = 'click'"""),
     "upcast_terminal_types": _with(_LOG, "SELECT CASE WHEN type = 'click' THEN 'click.v3' ELSE type END AS type, count(*) AS events FROM log GROUP BY 1"),
     "upcast_failure_abort": _with(_LOG, f"SELECT position, {_K} AS k FROM log WHERE event_id % 2 = 1 AND type = 'view' AND position < (SELECT min(position) FROM log WHERE {_POISON} AND (event_id % 2 = 0 OR type IN ('click', 'view')))"),
+    "upcast_raw": _with(
+        _LOG + f", r AS (SELECT *, {_POISON} AS bad FROM log WHERE type = 'view')",
+        """SELECT position, id, CASE WHEN bad THEN 'view' ELSE 'view.v2' END AS type, CASE WHEN bad THEN '{"k": "poison"}' ELSE replace(data, '"k"', '"key"') END AS data,
+           CASE WHEN bad THEN 'ValueError: no number' END AS error FROM r""",
+    ),
+    "upcast_ancestors": _with(_LOG, f"SELECT 'click' AS type, count(*) AS events, count(*) AS errors FROM log WHERE type = 'click' AND {_POISON} HAVING count(*) > 0"),
     "state_fold_lww": _with(_LOG, _FOLD + _ALIVE),
     "state_fold_reset": _with(_LOG, _FOLD + _RESET + _ALIVE),
     "state_last_offset": _with(_LOG, "SELECT lpad(CAST(max(position) AS VARCHAR), 20, '0') AS last_offset FROM log"),
@@ -513,6 +692,19 @@ ORACLE_SQL = {
     "state_collection": _with(_LOG, f"SELECT count(*) AS entities, max(position) AS last FROM ({_FOLD}{_ALIVE})"),
     "snapshot_plus_tail": _with(_LOG, _FOLD + _ALIVE),
     "snapshot_restore": _with(_LOG, f"SELECT * REPLACE (CASE WHEN position <= {SNAPSHOT_AT} THEN {SNAPSHOT_AT} ELSE position END AS position) FROM ({_FOLD}{_ALIVE})"),
+    "snapshot_truncate_resume": _with(_LOG, f"{_AT_SNAPSHOT}({_FOLD}{_ALIVE})"),
+    "snapshot_folder_resume": _with(_LOG, _FOLD + _RESET + _ALIVE),
+    "materializer_abort": _with(_LOG, f"{_FOLD} AND {_BEFORE_WRONG}{_ALIVE}"),
+    "materializer_skip": _with(_LOG, f"{_FOLD} AND NOT {_WRONG}{_ALIVE}"),
+    "materializer_offsets": _with(_LOG, f"SELECT lpad(CAST(max(position) FILTER ({_BEFORE_WRONG}) AS VARCHAR), 20, '0') AS abort, lpad(CAST(max(position) AS VARCHAR), 20, '0') AS skip FROM log"),
+    "materializer_failures": _with(_LOG, f"SELECT position, 'undecodable' AS reason FROM log WHERE {_WRONG}"),
+    "state_shared_store": _with(_LOG, "SELECT CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'user/admin' END AS collection, count(DISTINCT user_id) AS entities, max(position) AS last FROM log GROUP BY 1"),
+    "state_message_text": _with(
+        _LOG,
+        """SELECT position, '{"type":"user","key":"' || user_id || '","value":{"event":' || event_id || '},"old_value":{"event":' || event_id || '},"headers":{"operation":"update"'
+           || CASE WHEN event_id % 2 = 0 THEN ',"txid":"tx-' || event_id || '"' ELSE '' END
+           || ',"timestamp":"' || regexp_replace(strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0*$', '') || 'Z"}}' AS message FROM log""",
+    ),
     "truncate_survivors": _with(_LOG, f"""SELECT count(*) FILTER (position <= {TRUNCATE_AT}) AS deleted, count(*) FILTER (position > {TRUNCATE_AT}) AS "left", lpad(CAST(max(position) AS VARCHAR), 20, '0') AS tail FROM log"""),
     "account_balance": _with(_LOG, "SELECT user_id, CAST(sum(CASE type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END * CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS balance_cents FROM log GROUP BY user_id"),
     "chunk_offsets": _with(
@@ -520,6 +712,9 @@ ORACLE_SQL = {
         """SELECT CAST(c AS VARCHAR) AS chunk_start, m AS member, CASE WHEN event_id % 300 = 7 THEN "offset" WHEN event_id = max(event_id) OVER (PARTITION BY c) THEN CAST(c + 1 AS VARCHAR) ELSE CAST(c AS VARCHAR) END AS "offset",
            id, type, '{"u":' || user_id || '}' AS data FROM c""",
     ),
+    "chunk_rejected": _with(_SPOILT, "SELECT 't' || c AS chunk_start, m AS member, '[' || event_id || ']' AS text FROM m WHERE bad AND c % 4 <> 2"),
+    "chunk_scan_end": _with(_SPOILT, "SELECT 't' || (max(c) + 1) AS next_offset FROM m"),
+    "chunk_events": _with(_SPOILT + ", g AS (SELECT *, m = max(m) OVER (PARTITION BY c) AS last FROM m WHERE NOT bad AND c % 4 <> 2)", """SELECT 't' || c AS chunk_start, 't' || CASE WHEN last THEN c + 1 ELSE c END AS "offset", id, '{"u":' || user_id || '}' AS data FROM g"""),
     "ulid_time_prefix": _with(_LOG, "SELECT position, " + " || ".join(f"substr('{ulid.ALPHABET}', CAST((((epoch_us(timestamp) // 1000) >> {s}) & 31) AS INTEGER) + 1, 1)" for s in range(45, -1, -5)) + " AS prefix FROM log"),
     "metadata_roundtrip": _with(
         _LOG,
@@ -535,5 +730,9 @@ ORACLE_SQL = {
     "metrics_p95": _quantile("TRUE", ""),
     "metrics_p95_by_type": _quantile("TRUE", "type"),
     "metrics_p95_async": _quantile("user_id % 2 = 0", "type"),
+    "metrics_gaps": _with(
+        _LOG + ", g AS (SELECT type, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY type ORDER BY position))) / 1000.0 AS gap FROM log)",
+        "SELECT type, count(gap) AS gaps, round(sum(gap), 3) AS total_ms, max(gap) AS longest_ms FROM g GROUP BY type",
+    ),
     "metrics_label_values": _with(_LOG, "SELECT DISTINCT type FROM log"),
 }
